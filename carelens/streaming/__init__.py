@@ -1,0 +1,6 @@
+"""Streaming.
+
+The reference is a daily batch: it has no stream source, watermark, window
+over event time or state.  Nothing here is needed to match it, so this
+package is intentionally empty (see README, "Not built").
+"""
