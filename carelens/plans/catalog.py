@@ -73,3 +73,103 @@ QUERIES = {
     "mart_vitals": q_mart_vitals,
     "mart_summary": q_mart_summary,
 }
+
+
+# --- anomaly preparation and the mean model -------------------------------
+from ..operators import anomaly, checks, dashboard, detectors, review, trust  # noqa: E402
+
+
+class ScoreCtx(Ctx):
+    """Adds the fixed scores: the mean reconstruction model and
+    trust_score = raw_dq_score."""
+
+    def __init__(self, spark, sf_dir):
+        super().__init__(spark, sf_dir)
+        self.pivot = anomaly.scoring_pivot(self.charts)
+
+    @property
+    def medians(self):
+        if not hasattr(self, "_med"):
+            self._med = anomaly.column_medians(self.pivot)
+        return self._med
+
+    @property
+    def mean_model(self):
+        if not hasattr(self, "_mm"):
+            self._mm = anomaly.MeanModel.fit(anomaly.train_matrix(self.charts))
+        return self._mm
+
+    @property
+    def scores(self):
+        return anomaly.score_anomalies(self.charts, self.mean_model, self.medians)
+
+    @property
+    def trust(self):
+        return trust.fixed_trust(self.summary)
+
+    @property
+    def board(self):
+        return dashboard.dashboard_summary(self.summary, self.trust)
+
+    @property
+    def flagged_ids(self):
+        return self.trust.where(F.col("dq_flagged"))
+
+    def tables(self):
+        return {**self.stg, "mart_icu_vitals": self.vitals, "mart_patient_summary": self.summary}
+
+
+def _rounded(df, cols, digits=6):
+    return df.select(*[round_avg(c, digits).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def _sc(fn):
+    def run(spark, sf_dir):
+        return fn(ScoreCtx(spark, sf_dir))
+    run.__name__ = fn.__name__
+    return run
+
+
+QUERIES.update({
+    "clean_readings": _sc(lambda c: anomaly.clean_readings(c.charts)),
+    "pivot_scoring": _sc(lambda c: c.pivot),
+    "scaled_vitals": _sc(lambda c: anomaly.scale_vitals(c.pivot, keep=["hadm_id", "charttime"])),
+    "column_medians": _sc(lambda c: c.pivot.agg(*[
+        F.round(e, anomaly.PARAM_DIGITS).alias(v)
+        for e, v in zip(anomaly.median_exprs(), anomaly.VITALS)])),
+    "imputed_vitals": _sc(lambda c: anomaly.impute(c.pivot, c.medians)),
+    "shortest_column": _sc(lambda c: anomaly.shortest_column(c.charts)),
+    "train_matrix": _sc(lambda c: anomaly.train_matrix(c.charts)),
+    "anomaly_threshold": _sc(lambda c: _rounded(anomaly.threshold_frame(
+        anomaly.train_matrix(c.charts), c.mean_model), ["threshold", "mean_error"], 9)),
+    "anomaly_flags_mean": _sc(lambda c: c.scores),
+    "anomaly_rollup": _sc(lambda c: _rounded(anomaly.anomaly_rollup(c.scores), ["avg_recon_error"])),
+    "scoring_summary": _sc(lambda c: _rounded(anomaly.scoring_summary(c.scores), ["flagged_share"])),
+    "trust_features": _sc(lambda c: _rounded(trust.trust_features(c.summary, c.scores),
+                                             ["avg_recon_error"])),
+    "label_balance": _sc(lambda c: _rounded(trust.label_balance(
+        trust.trust_features(c.summary, c.scores)), ["positive_share"])),
+    "kpis": _sc(lambda c: _rounded(dashboard.kpis(c.board), [
+        "flagged_share", "avg_trust_score", "avg_missing_vitals"])),
+    "failures_by_type": _sc(lambda c: dashboard.failures_by_type(c.board)),
+    "trust_histogram": _sc(lambda c: dashboard.trust_histogram(c.board)),
+    "flagged_filter": _sc(lambda c: dashboard.flagged(c.board, ["Missing vitals", "Invalid ICD"])),
+    "flagged_sorted": _sc(lambda c: dashboard.flagged(c.board)),
+    "worklist": _sc(lambda c: review.worklist(c.trust)),
+    "vitals_sample": _sc(lambda c: review.vitals_sample(c.charts, c.flagged_ids)),
+    "record_context": _sc(lambda c: review.record_context(c.summary, c.flagged_ids)),
+    "trust_verdict": _sc(lambda c: review.trust_verdict(c.trust)),
+    "review_table": _sc(lambda c: review.review_table(c.summary, c.trust, c.charts)),
+    "check_not_null": _sc(lambda c: checks.run_checks(c.tables(), tests=["not_null"])),
+    "check_unique": _sc(lambda c: checks.run_checks(c.tables(), tests=["unique"])),
+    "check_accepted": _sc(lambda c: checks.run_checks(c.tables(), tests=["accepted_values"])),
+    "oor_detail": _sc(lambda c: detectors.missing_and_out_of_range(c.vitals)),
+    "icd_mismatch": _sc(lambda c: detectors.icd_mismatch(c.stg["stg_diagnoses_icd"])),
+    "dup_readings": _sc(lambda c: detectors.duplicate_readings(c.charts)),
+    "time_gaps": _sc(lambda c: detectors.time_gaps(c.charts)),
+    "spikes": _sc(lambda c: detectors.spikes(c.charts)),
+    "failure_report": _sc(lambda c: detectors.failure_report(
+        c.vitals, c.stg["stg_diagnoses_icd"], c.charts)),
+    "failure_counts": _sc(lambda c: detectors.failure_counts(detectors.failure_report(
+        c.vitals, c.stg["stg_diagnoses_icd"], c.charts))),
+})

@@ -159,3 +159,287 @@ ORACLE: dict[str, str] = {
     "mart_vitals": q("SELECT * FROM mart_icu_vitals"),
     "mart_summary": q(f"SELECT {SUMMARY_COLS} FROM mart_patient_summary"),
 }
+
+# --- anomaly preparation, mean model, fixed trust --------------------------
+VITALS = ["heart_rate", "systolic_bp", "diastolic_bp", "spo2", "temperature_c", "respiratory_rate"]
+
+SCORE = """
+ranges AS (
+  SELECT * FROM (VALUES ('heart_rate', 20.0::double, 300.0::double), ('systolic_bp', 40.0, 280.0),
+                        ('diastolic_bp', 10.0, 180.0), ('spo2', 50.0, 100.0),
+                        ('temperature_c', 33.0, 42.0), ('respiratory_rate', 4.0, 60.0)) r(vital_name, lo, hi)),
+clean AS (
+  SELECT c.hadm_id, c.subject_id, c.charttime, c.vital_name, c.valuenum
+  FROM stg_chartevents c JOIN ranges r USING (vital_name)
+  WHERE c.valuenum IS NOT NULL AND c.valuenum BETWEEN r.lo AND r.hi * 1.5),
+pivot_scoring AS (
+  SELECT hadm_id, charttime,
+         max(CASE WHEN vital_name = 'heart_rate' THEN valuenum END) AS heart_rate,
+         max(CASE WHEN vital_name = 'systolic_bp' THEN valuenum END) AS systolic_bp,
+         max(CASE WHEN vital_name = 'diastolic_bp' THEN valuenum END) AS diastolic_bp,
+         max(CASE WHEN vital_name = 'spo2' THEN valuenum END) AS spo2,
+         max(CASE WHEN vital_name = 'temperature_c' THEN valuenum END) AS temperature_c,
+         max(CASE WHEN vital_name = 'respiratory_rate' THEN valuenum END) AS respiratory_rate
+  FROM stg_chartevents GROUP BY hadm_id, charttime),
+ranked AS (
+  SELECT vital_name, valuenum,
+         row_number() OVER (PARTITION BY vital_name ORDER BY hadm_id, charttime, valuenum) AS rn
+  FROM clean),
+top_wide AS (
+  SELECT rn,
+         max(CASE WHEN vital_name = 'heart_rate' THEN valuenum END) AS heart_rate,
+         max(CASE WHEN vital_name = 'systolic_bp' THEN valuenum END) AS systolic_bp,
+         max(CASE WHEN vital_name = 'diastolic_bp' THEN valuenum END) AS diastolic_bp,
+         max(CASE WHEN vital_name = 'spo2' THEN valuenum END) AS spo2,
+         max(CASE WHEN vital_name = 'temperature_c' THEN valuenum END) AS temperature_c,
+         max(CASE WHEN vital_name = 'respiratory_rate' THEN valuenum END) AS respiratory_rate
+  FROM ranked WHERE rn <= 5000 GROUP BY rn),
+train_matrix AS (
+  SELECT cast(rn AS integer) AS rn, {scaled_train}
+  FROM top_wide WHERE {all_present}),
+means AS (SELECT {mean_cols} FROM train_matrix),
+train_err AS (SELECT {err_train} AS e FROM train_matrix, means),
+thr AS (SELECT quantile_cont(e, 0.95) AS threshold, avg(e) AS mean_error FROM train_err),
+medians AS (SELECT {median_cols} FROM pivot_scoring),
+imputed AS (
+  SELECT p.hadm_id, p.charttime, {imputed_cols} FROM pivot_scoring p, medians m),
+scaled_imp AS (
+  SELECT p.hadm_id, p.charttime, {raw_cols}, {scaled_imp} FROM pivot_scoring p, medians m),
+scores AS (
+  SELECT s.hadm_id, s.charttime, {plain_cols}, {err_scored} AS reconstruction_error
+  FROM scaled_imp s, means mm),
+anomaly_scores AS (
+  SELECT s.*, CASE WHEN s.reconstruction_error > t.threshold THEN 1 ELSE 0 END AS anomaly_flag
+  FROM scores s, thr t),
+anomaly_agg AS (
+  SELECT hadm_id, avg(reconstruction_error) AS avg_recon_error, sum(anomaly_flag)::bigint AS flagged_count
+  FROM anomaly_scores GROUP BY hadm_id),
+features AS (
+  SELECT s.hadm_id, s.total_missing_vitals, s.total_chart_rows, s.hr_oor_count, s.spo2_oor_count,
+         s.rr_oor_count, s.invalid_icd_count, s.raw_dq_score, s.los_hours,
+         coalesce(a.avg_recon_error, 0.0) AS avg_recon_error,
+         CASE WHEN (s.hr_oor_count > 0 OR s.spo2_oor_count > 0
+                    OR (s.invalid_icd_count::double / nullif(s.total_diagnoses, 0) > 0.25)
+                    OR coalesce(a.flagged_count, 0) > 2) THEN 1 ELSE 0 END AS has_dq_problem
+  FROM mart_patient_summary s LEFT JOIN anomaly_agg a USING (hadm_id)),
+trust AS (
+  SELECT hadm_id, raw_dq_score AS trust_score, raw_dq_score < 60 AS dq_flagged FROM mart_patient_summary),
+board AS (
+  SELECT s.*, t.trust_score, t.dq_flagged FROM mart_patient_summary s LEFT JOIN trust t USING (hadm_id))"""
+
+RANGES = {"heart_rate": (20.0, 300.0), "systolic_bp": (40.0, 280.0), "diastolic_bp": (10.0, 180.0),
+          "spo2": (50.0, 100.0), "temperature_c": (33.0, 42.0), "respiratory_rate": (4.0, 60.0)}
+
+
+def _scale(expr: str, v: str) -> str:
+    lo, hi = RANGES[v]
+    x = f"(({expr}) - {lo!r}::double) / {hi - lo!r}::double"
+    return f"CASE WHEN ({expr}) IS NULL THEN NULL ELSE least(greatest({x}, 0.0::double), 1.0::double) END"
+
+
+def _err(prefix: str, mean_prefix: str) -> str:
+    terms = [f"({prefix}{v} - {mean_prefix}{v}) * ({prefix}{v} - {mean_prefix}{v})" for v in VITALS]
+    return "(" + " + ".join(terms) + ") / 6.0::double"
+
+
+SCORE = SCORE.format(
+    scaled_train=", ".join(f"{_scale(v, v)} AS {v}" for v in VITALS),
+    all_present=" AND ".join(f"{v} IS NOT NULL" for v in VITALS),
+    mean_cols=", ".join(f"round(avg({v}), 9) AS m_{v}" for v in VITALS),
+    err_train=_err("", "m_"),
+    median_cols=", ".join(f"round(median({v}), 9) AS {v}" for v in VITALS),
+    imputed_cols=", ".join(f"coalesce(p.{v}, m.{v}) AS {v}" for v in VITALS),
+    raw_cols=", ".join(f"p.{v}" for v in VITALS),
+    scaled_imp=", ".join(f"{_scale(f'coalesce(p.{v}, m.{v})', v)} AS s_{v}" for v in VITALS),
+    plain_cols=", ".join(f"s.{v}" for v in VITALS),
+    err_scored=_err("s.s_", "mm.m_"),
+)
+
+
+def sq(select: str, *ctes: str) -> str:
+    return with_base(SCORE, *ctes) + "\n" + select
+
+
+FLAGGED8 = ("hadm_id, trust_score, admission_type, los_hours, total_missing_vitals, hr_oor_count, "
+            "invalid_icd_count, raw_dq_score")
+
+
+def _fmt(expr: str, pattern: str) -> str:
+    return f"coalesce(printf('{pattern}', ({expr})::double), 'nan')"
+
+
+CONTEXT = ("'Admission ' || s.hadm_id || ': type=' || coalesce(s.admission_type, 'None')"
+           f" || ', LOS=' || {_fmt('s.los_hours', '%.0f')}"
+           f" || 'h, trust=' || {_fmt('t.trust_score', '%.1f')}"
+           f" || '/100, dq_score=' || {_fmt('s.raw_dq_score', '%.1f')}"
+           f" || '/100 | missing_vitals=' || {_fmt('s.total_missing_vitals', '%.0f')}"
+           f" || '/' || {_fmt('s.total_chart_rows', '%.0f')}"
+           f" || ', hr_oor=' || {_fmt('s.hr_oor_count', '%.0f')}"
+           f" || ', spo2_oor=' || {_fmt('s.spo2_oor_count', '%.0f')}"
+           f" || ', invalid_icd=' || {_fmt('s.invalid_icd_count', '%.0f')}"
+           f" || '/' || {_fmt('s.total_diagnoses', '%.0f')}")
+
+VERDICT = (f"'Trust score: ' || {_fmt('trust_score', '%.1f')} || '/100 (' || "
+           "CASE WHEN dq_flagged THEN 'FLAGGED' ELSE 'CLEAN' END || ')'")
+
+REVIEW = f"""
+wl AS (
+  SELECT hadm_id, trust_score,
+         cast(row_number() OVER (ORDER BY trust_score, hadm_id) AS integer) AS review_rank
+  FROM trust WHERE dq_flagged ORDER BY trust_score, hadm_id LIMIT 10),
+flagged_ids AS (SELECT hadm_id FROM trust WHERE dq_flagged),
+sample AS (
+  SELECT hadm_id, cast(rn AS integer) AS rn, charttime, vital_name, valuenum FROM (
+    SELECT c.*, row_number() OVER (PARTITION BY hadm_id
+                                   ORDER BY charttime, vital_name, valuenum NULLS FIRST) AS rn
+    FROM stg_chartevents c WHERE hadm_id IN (SELECT hadm_id FROM flagged_ids)) x
+  WHERE rn <= 15),
+wl_sample AS (
+  SELECT hadm_id, string_agg(strftime(charttime, '%Y-%m-%d %H:%M:%S') || ' ' || vital_name || ' '
+                             || coalesce(cast(valuenum AS varchar), 'NaN'), chr(10) ORDER BY rn) AS vitals_sample
+  FROM sample WHERE hadm_id IN (SELECT hadm_id FROM wl) GROUP BY hadm_id)"""
+
+CHECK_RULES = [
+    ("stg_patients", "subject_id", "not_null"), ("stg_patients", "subject_id", "unique"),
+    ("stg_patients", "gender", "not_null"), ("stg_patients", "gender", "accepted_values", ["M", "F"]),
+    ("stg_patients", "anchor_age", "not_null"),
+    ("stg_admissions", "hadm_id", "not_null"), ("stg_admissions", "hadm_id", "unique"),
+    ("stg_admissions", "subject_id", "not_null"), ("stg_admissions", "los_hours", "not_null"),
+    ("stg_admissions", "admission_type", "accepted_values", ["EMERGENCY", "ELECTIVE", "URGENT"]),
+    ("stg_chartevents", "hadm_id", "not_null"), ("stg_chartevents", "vital_name", "not_null"),
+    ("stg_chartevents", "vital_name", "accepted_values", VITALS),
+    ("stg_diagnoses_icd", "hadm_id", "not_null"), ("stg_diagnoses_icd", "icd9_code", "not_null"),
+    ("stg_diagnoses_icd", "is_valid_icd", "not_null"),
+    ("mart_icu_vitals", "hadm_id", "not_null"), ("mart_icu_vitals", "charttime", "not_null"),
+    ("mart_icu_vitals", "missing_vitals_count", "not_null"),
+    ("mart_patient_summary", "hadm_id", "not_null"), ("mart_patient_summary", "hadm_id", "unique"),
+]
+
+
+def _check_sql(test: str) -> str:
+    parts = []
+    for r in CHECK_RULES:
+        if r[2] != test:
+            continue
+        m, c = r[0], r[1]
+        if test == "not_null":
+            f = f"(SELECT count(*) FROM {m} WHERE {c} IS NULL)"
+        elif test == "unique":
+            f = (f"(SELECT count(*) FROM (SELECT {c} FROM {m} WHERE {c} IS NOT NULL "
+                 f"GROUP BY {c} HAVING count(*) > 1) d)")
+        else:
+            vals = ", ".join(f"'{v}'" for v in r[3])
+            f = f"(SELECT count(DISTINCT {c}) FROM {m} WHERE {c} NOT IN ({vals}))"
+        parts.append(f"SELECT '{m}' AS model, '{c}' AS column_name, '{test}' AS test, {f}::bigint AS failures")
+    return " UNION ALL ".join(parts)
+
+
+OOR = {"heart_rate": (20.0, 300.0), "spo2": (50.0, 100.0), "respiratory_rate": (4.0, 60.0)}
+SPIKE = {v: 0.5 * (hi - lo) for v, (lo, hi) in RANGES.items()}
+
+DETECT = f"""
+long_vitals AS (
+  {" UNION ALL ".join(f"SELECT hadm_id, charttime, '{v}' AS vital_name, {v} AS value FROM mart_icu_vitals" for v in VITALS)}),
+j5 AS (
+  SELECT hadm_id, charttime,
+         CASE WHEN value IS NULL THEN 'missing_vital'
+              WHEN {" OR ".join(f"(vital_name = '{v}' AND (value < {lo} OR value > {hi}))" for v, (lo, hi) in OOR.items())}
+              THEN 'out_of_range' END AS failure_type,
+         vital_name AS item, value
+  FROM long_vitals),
+dups AS (
+  SELECT hadm_id, subject_id, charttime, vital_name, valuenum, count(*) AS copies
+  FROM stg_chartevents GROUP BY hadm_id, subject_id, charttime, vital_name, valuenum HAVING count(*) > 1),
+tpts AS (SELECT DISTINCT hadm_id, charttime FROM stg_chartevents WHERE charttime IS NOT NULL),
+tlag AS (
+  SELECT hadm_id, lag(charttime) OVER (PARTITION BY hadm_id ORDER BY charttime) AS prev_charttime, charttime
+  FROM tpts),
+gaps AS (
+  SELECT hadm_id, prev_charttime, charttime,
+         (epoch_us(charttime) - epoch_us(prev_charttime)) / 60000000.0::double AS gap_minutes
+  FROM tlag WHERE prev_charttime IS NOT NULL
+    AND (epoch_us(charttime) - epoch_us(prev_charttime)) / 60000000.0::double > 240),
+spike_limits AS (
+  SELECT * FROM (VALUES {", ".join(f"('{v}', {lim!r}::double)" for v, lim in SPIKE.items())}) s(vital_name, lim)),
+vlag AS (
+  SELECT hadm_id, vital_name, lag(charttime) OVER w AS prev_charttime, charttime,
+         lag(valuenum) OVER w AS prev_value, valuenum
+  FROM stg_chartevents
+  WHERE valuenum IS NOT NULL AND charttime IS NOT NULL
+  WINDOW w AS (PARTITION BY hadm_id, vital_name ORDER BY charttime, valuenum)),
+spikes AS (
+  SELECT v.hadm_id, v.vital_name, v.prev_charttime, v.charttime, v.prev_value, v.valuenum,
+         v.valuenum - v.prev_value AS jump
+  FROM vlag v JOIN spike_limits l USING (vital_name)
+  WHERE v.prev_value IS NOT NULL AND abs(v.valuenum - v.prev_value) > l.lim),
+report AS (
+  SELECT hadm_id, charttime, failure_type, item, value FROM j5 WHERE failure_type IS NOT NULL
+  UNION ALL
+  SELECT hadm_id, NULL::timestamp, 'invalid_icd', icd9_code, NULL::double FROM stg_diagnoses_icd WHERE NOT is_valid_icd
+  UNION ALL
+  SELECT hadm_id, charttime, 'duplicate', vital_name, valuenum FROM dups
+  UNION ALL
+  SELECT hadm_id, charttime, 'time_gap', NULL::varchar, gap_minutes FROM gaps
+  UNION ALL
+  SELECT hadm_id, charttime, 'spike', vital_name, jump FROM spikes)"""
+
+ORACLE.update({
+    "clean_readings": sq("SELECT * FROM clean"),
+    "pivot_scoring": sq("SELECT * FROM pivot_scoring"),
+    "scaled_vitals": sq("SELECT hadm_id, charttime, "
+                        + ", ".join(f"{_scale(v, v)} AS {v}" for v in VITALS) + " FROM pivot_scoring"),
+    "column_medians": sq("SELECT * FROM medians"),
+    "imputed_vitals": sq("SELECT * FROM imputed"),
+    "shortest_column": sq("SELECT min(least(n, 5000)) AS n_rows FROM "
+                          "(SELECT vital_name, count(*) AS n FROM clean GROUP BY vital_name) c"),
+    "train_matrix": sq("SELECT * FROM train_matrix"),
+    "anomaly_threshold": sq("SELECT round(threshold, 9) AS threshold, round(mean_error, 9) AS mean_error FROM thr"),
+    "anomaly_flags_mean": sq("SELECT * FROM anomaly_scores"),
+    "anomaly_rollup": sq("SELECT hadm_id, round(avg_recon_error, 6) AS avg_recon_error, flagged_count "
+                         "FROM anomaly_agg"),
+    "scoring_summary": sq("SELECT count(*) AS n_rows, sum(anomaly_flag)::bigint AS n_flagged, "
+                          "round(sum(anomaly_flag) / count(*), 6) AS flagged_share FROM anomaly_scores"),
+    "trust_features": sq("SELECT hadm_id, total_missing_vitals, total_chart_rows, hr_oor_count, "
+                         "spo2_oor_count, rr_oor_count, invalid_icd_count, raw_dq_score, los_hours, "
+                         "round(avg_recon_error, 6) AS avg_recon_error, has_dq_problem FROM features"),
+    "label_balance": sq("SELECT sum(has_dq_problem)::bigint AS positives, "
+                        "round(sum(has_dq_problem) / count(*), 6) AS positive_share, "
+                        "count(*) AS total FROM features"),
+    "kpis": sq("SELECT count(*) AS total_admissions, coalesce(sum(dq_flagged::integer), 0)::bigint AS flagged, "
+               "round(avg(dq_flagged::integer::double), 6) AS flagged_share, "
+               "round(avg(trust_score), 6) AS avg_trust_score, "
+               "round(avg(total_missing_vitals), 6) AS avg_missing_vitals FROM board"),
+    "failures_by_type": sq(" UNION ALL ".join(
+        f"SELECT '{n}' AS failure_type, count_if({c} > 0) AS admissions FROM board"
+        for n, c in [("Missing vitals", "total_missing_vitals"), ("HR out-of-range", "hr_oor_count"),
+                     ("SpO2 OOR", "spo2_oor_count"), ("RR OOR", "rr_oor_count"),
+                     ("Invalid ICD", "invalid_icd_count")])),
+    "trust_histogram": sq("SELECT bin, bin * 2.5::double AS bin_start, count(*) AS admissions FROM "
+                          "(SELECT cast(least(floor(trust_score / 2.5), 39) AS integer) AS bin FROM board "
+                          "WHERE trust_score IS NOT NULL) b GROUP BY bin"),
+    "flagged_filter": sq(f"SELECT {FLAGGED8} FROM board WHERE dq_flagged = true "
+                         "AND total_missing_vitals > 0 AND invalid_icd_count > 0"),
+    "flagged_sorted": sq(f"SELECT {FLAGGED8} FROM board WHERE dq_flagged = true ORDER BY trust_score, hadm_id"),
+    "worklist": sq("SELECT * FROM wl", REVIEW),
+    "vitals_sample": sq("SELECT * FROM sample", REVIEW),
+    "record_context": sq(f"SELECT s.hadm_id, {CONTEXT} AS record_context FROM mart_patient_summary s "
+                         "JOIN trust t USING (hadm_id) WHERE t.dq_flagged"),
+    "trust_verdict": sq(f"SELECT hadm_id, {VERDICT} AS trust_verdict FROM trust"),
+    "review_table": sq(f"""SELECT w.review_rank, w.hadm_id, w.trust_score,
+        (SELECT {CONTEXT} FROM mart_patient_summary s JOIN trust t USING (hadm_id) WHERE s.hadm_id = w.hadm_id) AS record_context,
+        (SELECT {VERDICT} FROM trust t WHERE t.hadm_id = w.hadm_id) AS trust_verdict,
+        ws.vitals_sample,
+        'Review admission ' || w.hadm_id || ' and provide repair recommendations.' AS request
+      FROM wl w LEFT JOIN wl_sample ws USING (hadm_id)""", REVIEW),
+    "check_not_null": q(_check_sql("not_null")),
+    "check_unique": q(_check_sql("unique")),
+    "check_accepted": q(_check_sql("accepted_values")),
+    "oor_detail": sq("SELECT * FROM j5 WHERE failure_type IS NOT NULL", DETECT),
+    "icd_mismatch": q("SELECT hadm_id, seq_num, icd9_code FROM stg_diagnoses_icd WHERE NOT is_valid_icd"),
+    "dup_readings": sq("SELECT * FROM dups", DETECT),
+    "time_gaps": sq("SELECT * FROM gaps", DETECT),
+    "spikes": sq("SELECT * FROM spikes", DETECT),
+    "failure_report": sq("SELECT * FROM report", DETECT),
+    "failure_counts": sq("SELECT failure_type, count(*) AS failures, count(DISTINCT hadm_id) AS admissions "
+                         "FROM report GROUP BY failure_type", DETECT),
+})
