@@ -1,0 +1,240 @@
+"""Reconstruction network (I3, I4) in numpy, trained data-parallel on Spark.
+
+Network 6-32-16-8-16-32-6 with ReLU, and batch norm after the first ReLU of
+the encoder and of the decoder; Adam with L2 weight decay; MSE loss.
+
+Training is parameter mixing: each epoch is one Spark job in which every
+partition runs shuffled mini-batches from the current weights
+(``mapInPandas``), and the driver averages the returned weights, optimizer
+moments and batch-norm statistics weighted by rows.  Only the parameters
+(about 2,300 numbers) ever reach the driver.  Scoring is an Arrow-batched
+pandas UDF in eval mode.
+"""
+
+from __future__ import annotations
+
+import io
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..constants import (AE_BATCH, AE_DECAY, AE_EPOCHS, AE_LAYERS, AE_LR,
+                         ANOMALY_PERCENTILE, SEED, VITALS)
+
+BN_AFTER = (0, 3)        # batch norm follows the ReLU of linear layers 0 and 3
+RELU_AFTER = (0, 1, 3, 4)
+BN_EPS, BN_MOMENTUM = 1e-5, 0.1
+BETA1, BETA2, ADAM_EPS = 0.9, 0.999, 1e-8
+
+
+def init_params(seed: int = SEED, layers=AE_LAYERS) -> dict:
+    """Uniform(-1/sqrt(fan_in), 1/sqrt(fan_in)) weights and biases; BN 1/0."""
+    rng = np.random.default_rng(seed)
+    p = {}
+    for i, (a, b) in enumerate(zip(layers[:-1], layers[1:])):
+        k = 1.0 / np.sqrt(a)
+        p[f"W{i}"] = rng.uniform(-k, k, (a, b))
+        p[f"b{i}"] = rng.uniform(-k, k, b)
+        if i in BN_AFTER:
+            p[f"g{i}"], p[f"be{i}"] = np.ones(b), np.zeros(b)
+            p[f"rm{i}"], p[f"rv{i}"] = np.zeros(b), np.ones(b)
+    return p
+
+
+TRAINABLE = ("W", "b", "g", "be")
+
+
+def _trainable(p):
+    return [k for k in p if k.rstrip("0123456789") in TRAINABLE]
+
+
+def forward(p: dict, x: np.ndarray, train: bool = False):
+    """Return the output and, in train mode, the cache for backward and the
+    batch statistics for the running averages."""
+    h, cache, stats = x, [], {}
+    n_layers = len([k for k in p if k.startswith("W")])
+    for i in range(n_layers):
+        z = h @ p[f"W{i}"] + p[f"b{i}"]
+        entry = {"in": h, "z": z}
+        if i in RELU_AFTER:
+            h = np.maximum(z, 0.0)
+        else:
+            h = z
+        if i in BN_AFTER:
+            if train:
+                mu, var = h.mean(0), h.var(0)
+                stats[i] = (mu, h.var(0, ddof=1) if len(h) > 1 else var)
+            else:
+                mu, var = p[f"rm{i}"], p[f"rv{i}"]
+            inv = 1.0 / np.sqrt(var + BN_EPS)
+            xhat = (h - mu) * inv
+            entry.update(xhat=xhat, inv=inv)
+            h = p[f"g{i}"] * xhat + p[f"be{i}"]
+        cache.append(entry)
+    return h, cache, stats
+
+
+def backward(p: dict, cache, out: np.ndarray, x: np.ndarray) -> tuple[float, dict]:
+    n = x.size
+    diff = out - x
+    loss = float((diff * diff).sum() / n)
+    g, d = {}, 2.0 * diff / n
+    for i in reversed(range(len(cache))):
+        c = cache[i]
+        if i in BN_AFTER:
+            xhat, inv = c["xhat"], c["inv"]
+            g[f"g{i}"] = (d * xhat).sum(0)
+            g[f"be{i}"] = d.sum(0)
+            dx = d * p[f"g{i}"]
+            m = len(xhat)
+            d = inv / m * (m * dx - dx.sum(0) - xhat * (dx * xhat).sum(0))
+        if i in RELU_AFTER:
+            d = d * (c["z"] > 0)
+        g[f"W{i}"] = c["in"].T @ d
+        g[f"b{i}"] = d.sum(0)
+        d = d @ p[f"W{i}"].T
+    return loss, g
+
+
+def adam_step(p, state, grads, lr=AE_LR, decay=AE_DECAY):
+    state["t"] += 1
+    t = state["t"]
+    for k in _trainable(p):
+        gk = grads[k] + decay * p[k]
+        state[f"m_{k}"] = BETA1 * state[f"m_{k}"] + (1 - BETA1) * gk
+        state[f"v_{k}"] = BETA2 * state[f"v_{k}"] + (1 - BETA2) * gk * gk
+        mhat = state[f"m_{k}"] / (1 - BETA1 ** t)
+        vhat = state[f"v_{k}"] / (1 - BETA2 ** t)
+        p[k] = p[k] - lr * mhat / (np.sqrt(vhat) + ADAM_EPS)
+
+
+def new_state(p):
+    s = {"t": 0}
+    for k in _trainable(p):
+        s[f"m_{k}"] = np.zeros_like(p[k])
+        s[f"v_{k}"] = np.zeros_like(p[k])
+    return s
+
+
+def run_epoch(p, state, x, batch, rng, lr=AE_LR, decay=AE_DECAY):
+    """One pass over x in shuffled mini-batches; returns the summed loss."""
+    total = 0.0
+    idx = rng.permutation(len(x))
+    for s in range(0, len(x), batch):
+        b = x[idx[s:s + batch]]
+        if len(b) < 2:          # batch norm needs two rows per batch
+            continue
+        out, cache, stats = forward(p, b, train=True)
+        loss, grads = backward(p, cache, out, b)
+        adam_step(p, state, grads, lr, decay)
+        for i, (mu, var) in stats.items():
+            p[f"rm{i}"] = (1 - BN_MOMENTUM) * p[f"rm{i}"] + BN_MOMENTUM * mu
+            p[f"rv{i}"] = (1 - BN_MOMENTUM) * p[f"rv{i}"] + BN_MOMENTUM * var
+        total += loss * len(b)
+    return total
+
+
+def recon_error(p, x: np.ndarray) -> np.ndarray:
+    """Per-row mean squared reconstruction error, eval mode."""
+    out, _, _ = forward(p, x, train=False)
+    return ((x - out) ** 2).mean(axis=1)
+
+
+def _pack(obj: dict) -> bytes:
+    buf = io.BytesIO()
+    np.savez(buf, **{k: np.asarray(v) for k, v in obj.items()})
+    return buf.getvalue()
+
+
+def _unpack(b: bytes) -> dict:
+    with np.load(io.BytesIO(b)) as z:
+        return {k: z[k] for k in z.files}
+
+
+@dataclass
+class AutoencoderModel:
+    params: dict
+    threshold: float | None = None
+    mean_error: float | None = None
+    losses: list | None = None
+    kind: str = "autoencoder"
+
+    def error_columns(self, df: DataFrame, cols) -> DataFrame:
+        """Add reconstruction_error from the scaled columns ``cols``."""
+        params = self.params
+
+        @F.pandas_udf("double")
+        def _err(*series: pd.Series) -> pd.Series:
+            x = np.column_stack([s.to_numpy(dtype="float64", na_value=np.nan) for s in series])
+            return pd.Series(recon_error(params, x))
+
+        return df.withColumn("reconstruction_error", _err(*[F.col(c) for c in cols]))
+
+    def to_bytes(self) -> bytes:
+        meta = {"threshold": np.float64(np.nan if self.threshold is None else self.threshold),
+                "mean_error": np.float64(np.nan if self.mean_error is None else self.mean_error)}
+        return _pack({**{f"p_{k}": v for k, v in self.params.items()}, **meta})
+
+    @classmethod
+    def from_bytes(cls, b: bytes) -> "AutoencoderModel":
+        z = _unpack(b)
+        params = {k[2:]: v for k, v in z.items() if k.startswith("p_")}
+        return cls(params, float(z["threshold"]), float(z["mean_error"]))
+
+
+def fit_autoencoder(train: DataFrame, epochs: int = AE_EPOCHS, batch_size: int = AE_BATCH,
+                    lr: float = AE_LR, seed: int = SEED, partitions: int | None = None,
+                    cols=VITALS) -> AutoencoderModel:
+    """I3 + D11: train on the scaled matrix, threshold = p95 of its errors.
+
+    The matrix is hash-partitioned on its row number and sorted within
+    partitions, so a fixed seed and partition count give the same model.
+    It is checkpointed once to the shared checkpoint folder, so the epochs
+    neither recompute it nor depend on an executor's memory.
+    """
+    from ..session import checkpoint_dir
+    checkpoint_dir(train.sparkSession)
+    if partitions is None:
+        partitions = max(1, int(train.count() // 50_000) + 1)
+    key = "rn" if "rn" in train.columns else cols[0]
+    data = (train.select(key, *cols).repartition(partitions, key)
+            .sortWithinPartitions(key).checkpoint(eager=True))
+    params = init_params(seed)
+    state = new_state(params)
+    losses = []
+    for epoch in range(1, epochs + 1):
+        blob_p, blob_s = _pack(params), _pack(state)
+
+        def part(batches, blob_p=blob_p, blob_s=blob_s, epoch=epoch):
+            pdfs = list(batches)
+            if not pdfs:
+                return
+            x = pd.concat(pdfs)[list(cols)].to_numpy(dtype="float64")
+            if len(x) == 0:
+                return
+            p, s = _unpack(blob_p), _unpack(blob_s)
+            s["t"] = int(s["t"])
+            from pyspark import TaskContext
+            pid = TaskContext.get().partitionId()
+            rng = np.random.default_rng([seed, epoch, pid])
+            total = run_epoch(p, s, x, batch_size, rng, lr)
+            yield pd.DataFrame({"rows": [len(x)], "loss": [total],
+                                "params": [_pack(p)], "state": [_pack(s)]})
+
+        res = data.mapInPandas(part, "rows long, loss double, params binary, state binary").collect()
+        n = sum(r["rows"] for r in res)
+        ps = [(_unpack(r["params"]), r["rows"] / n) for r in res]
+        ss = [(_unpack(r["state"]), r["rows"] / n) for r in res]
+        params = {k: sum(w * p[k] for p, w in ps) for k in ps[0][0]}
+        state = {k: sum(w * s[k] for s, w in ss) for k in ss[0][0]}
+        state["t"] = int(round(float(state["t"])))
+        losses.append(sum(r["loss"] for r in res) / n)
+    model = AutoencoderModel(params, losses=losses)
+    errs = model.error_columns(data, list(cols))
+    t = errs.agg(F.percentile("reconstruction_error", ANOMALY_PERCENTILE).alias("t"),
+                 F.avg("reconstruction_error").alias("m")).first()
+    model.threshold, model.mean_error = float(t["t"]), float(t["m"])
+    return model

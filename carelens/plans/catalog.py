@@ -173,3 +173,74 @@ QUERIES.update({
     "failure_counts": _sc(lambda c: detectors.failure_counts(detectors.failure_report(
         c.vitals, c.stg["stg_diagnoses_icd"], c.charts))),
 })
+
+
+# --- model-backed queries (rows-only checks) ------------------------------
+import os as _os  # noqa: E402
+import uuid as _uuid  # noqa: E402
+
+from ..operators import autoencoder, explain  # noqa: E402
+from ..sources import store  # noqa: E402
+from .pipeline import Paths, default_root, train  # noqa: E402
+
+_MODELS: dict = {}
+
+
+class ModelCtx(ScoreCtx):
+    """Trains both models once per (application, data folder) and reuses
+    them: training is the offline step, these queries are the scoring."""
+
+    def __init__(self, spark, sf_dir):
+        super().__init__(spark, sf_dir)
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in _MODELS:
+            root = _os.path.join(default_root(spark), _uuid.uuid4().hex[:12])
+            _MODELS[key] = train(spark, self.charts, self.summary, Paths(root))
+        self.models = _MODELS[key]
+
+    @property
+    def ae_scores(self):
+        return anomaly.score_anomalies(self.charts, self.models.anomaly, self.models.medians)
+
+    @property
+    def features(self):
+        return trust.trust_features(self.summary, self.ae_scores)
+
+    @property
+    def trust_scores(self):
+        return trust.score_trust(self.features, self.models.trust_fit.model)
+
+    @property
+    def shap(self):
+        return explain.explain_trust(self.features, self.models.trust_fit.model, self.models.trust_path)
+
+
+def _mc(fn):
+    def run(spark, sf_dir):
+        return fn(ModelCtx(spark, sf_dir))
+    run.__name__ = fn.__name__
+    return run
+
+
+def _metrics_frame(c):
+    m = c.models.metrics
+    rows = [(k, float(v)) for k, v in m.items()]
+    rows += [("train_rows", float(c.models.trust_fit.train_rows)),
+             ("test_rows", float(c.models.trust_fit.test_rows))]
+    return c.spark.createDataFrame(rows, "metric string, value double")
+
+
+def _reviewed(c):
+    tr = c.trust_scores
+    return review.apply_reviewer(review.review_table(c.summary, tr, c.charts))
+
+
+QUERIES.update({
+    "anomaly_scores": _mc(lambda c: c.ae_scores),
+    "trust_scores": _mc(lambda c: c.trust_scores),
+    "trust_metrics": _mc(_metrics_frame),
+    "shap_local": _mc(lambda c: c.shap),
+    "shap_global": _mc(lambda c: explain.global_importance(
+        c.shap.join(c.features.where(trust.split_column()).select("hadm_id"), "hadm_id", "left_semi"))),
+    "reviewed": _mc(_reviewed),
+})
