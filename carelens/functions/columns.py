@@ -37,8 +37,7 @@ def add_minutes(ts, minutes) -> Column:
 
 def nan_to_null(col) -> Column:
     """NaN is a missing value in the source data: make it null."""
-    c = _c(col)
-    return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
+    return F.nanvl(_c(col), F.lit(None).cast("double"))
 
 
 def missing_count(cols) -> Column:

@@ -112,8 +112,9 @@ def column_medians(pivot: DataFrame, relative_error: float | None = None) -> dic
 
 
 def impute(pivot: DataFrame, medians: dict) -> DataFrame:
-    """Fill missing vitals with the fitted medians (literals, no join)."""
-    return pivot.select(*[c for c in pivot.columns if c not in VITALS], *[
+    """Fill missing vitals of the scoring pivot with the fitted medians
+    (literals, no join)."""
+    return pivot.select("hadm_id", "charttime", *[
         (F.coalesce(F.col(v), F.lit(medians[v]).cast("double")) if medians[v] is not None
          else F.col(v)).alias(v) for v in VITALS])
 

@@ -11,6 +11,10 @@ from ..functions import dq_score, hour_diff, missing_count
 
 SUMMARY_AVGS = ["heart_rate", "systolic_bp", "spo2", "temperature_c", "respiratory_rate"]
 SUMMARY_KEYS = ["hadm_id", "subject_id", "admission_type", "hospital_expire_flag", "los_hours"]
+ROLLUP_COLUMNS = SUMMARY_KEYS + [
+    "total_chart_rows", "total_missing_vitals", *[f"avg_{c}" for c in SUMMARY_AVGS],
+    "hr_oor_count", "spo2_oor_count", "rr_oor_count", "first_chart_time", "last_chart_time"]
+SUMMARY_COLUMNS = ROLLUP_COLUMNS + ["total_diagnoses", "invalid_icd_count", "raw_dq_score"]
 
 
 def pivot_vitals(charts: DataFrame, keys=("hadm_id", "subject_id", "charttime")) -> DataFrame:
@@ -79,7 +83,7 @@ def patient_summary(vitals: DataFrame, diagnoses: DataFrame) -> DataFrame:
     d = diagnosis_rollup(diagnoses)
     j = v.join(d, "hadm_id", "left")
     return j.select(
-        *[c for c in v.columns],
+        *ROLLUP_COLUMNS,
         F.coalesce("total_diagnoses", F.lit(0)).cast("long").alias("total_diagnoses"),
         F.coalesce("invalid_icd_count", F.lit(0)).cast("long").alias("invalid_icd_count"),
         dq_score(F.col("total_missing_vitals"), F.col("total_chart_rows"),

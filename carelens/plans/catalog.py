@@ -14,7 +14,7 @@ from ..constants import FIXTURE_SALT
 from ..functions import anon_id, round_avg
 from ..operators import marts, staging
 from ..session import prepare
-from ..sources.fixtures import fixture_raw
+from ..sources.fixtures import ingested_raw
 
 
 class Ctx:
@@ -23,7 +23,7 @@ class Ctx:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = prepare(spark)
         self.sf_dir = sf_dir
-        self.raw = fixture_raw(spark, sf_dir)
+        self.raw = ingested_raw(spark, sf_dir)
         self.stg = staging.stage_all(self.raw)
 
     @property
@@ -41,7 +41,7 @@ class Ctx:
 
 def rounded_summary(df: DataFrame) -> DataFrame:
     return df.select(*[round_avg(c).alias(c) if c.startswith("avg_") else F.col(c)
-                       for c in df.columns])
+                       for c in marts.SUMMARY_COLUMNS])
 
 
 def q_anon_ids(spark, sf_dir):
@@ -120,7 +120,7 @@ class ScoreCtx(Ctx):
 
 
 def _rounded(df, cols, digits=6):
-    return df.select(*[round_avg(c, digits).alias(c) if c in cols else F.col(c) for c in df.columns])
+    return df.withColumns({c: round_avg(c, digits) for c in cols})
 
 
 def _sc(fn):
