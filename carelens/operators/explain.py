@@ -104,7 +104,7 @@ def shap_batch(leaves: list, x: np.ndarray) -> tuple[np.ndarray, float]:
     return 2.0 * phi, 2.0 * base
 
 
-def explain_trust(features: DataFrame, model, model_path: str, digits: int = 4) -> DataFrame:
+def explain_trust(features: DataFrame, model, model_path: str, digits: int | None = 4) -> DataFrame:
     """I11 + I12: score rows (rounded to one digit before the flag) and
     attach SHAP values as map<feature, value> and the base value."""
     spark = features.sparkSession
@@ -125,7 +125,8 @@ def explain_trust(features: DataFrame, model, model_path: str, digits: int = 4)
                 "dq_flag": score < TRUST_FLAG_BELOW,
                 "base_value": base,
                 "margin": np.log(pdf["_p"].to_numpy() / (1.0 - pdf["_p"].to_numpy())),
-                "shap_values": [dict(zip(TRUST_FEATURES, np.round(r, digits).tolist())) for r in phi],
+                "shap_values": [dict(zip(TRUST_FEATURES, (np.round(r, digits) if digits is not None
+                                                           else r).tolist())) for r in phi],
             })
 
     return df.mapInPandas(run, "hadm_id string, trust_score double, dq_flag boolean, "
