@@ -79,7 +79,48 @@ def patient_summary(vitals: DataFrame, diagnoses: DataFrame) -> DataFrame:
     Both sides are aggregated to one row per admission first, so the join
     has no fan-out and no hot key.
     """
-    v = vital_rollup(vitals)
+    return _with_diagnoses(vital_rollup(vitals), diagnoses)
+
+
+def patient_summary_from_readings(charts: DataFrame, admissions: DataFrame,
+                                  diagnoses: DataFrame) -> DataFrame:
+    """mart_patient_summary straight from readings, aggregating before the
+    admission join (same rows as patient_summary(icu_vitals(...), ...)).
+
+    The wide rows are rolled up per (hadm_id, subject_id) first - a partial
+    aggregate, so a hot admission shrinks to one row per map task - and only
+    then joined to the admissions.  Admission rows sharing (hadm_id,
+    attributes) are counted (``_mult``): a join would repeat every wide row
+    that many times, so counts and sums are multiplied by it, while averages,
+    minima and maxima are unchanged.  Exact, with no fan-out and no hot key
+    in the join.
+    """
+    p = pivot_vitals(charts)
+    oor = {c: F.when((F.col(c) < lo) | (F.col(c) > hi), 1).otherwise(0)
+           for c, (lo, hi) in OOR_LIMITS.items()}
+    pre = p.groupBy("hadm_id", "subject_id").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.sum(missing_count(VITALS)).alias("_missing"),
+        *[F.avg(c).alias(f"avg_{c}") for c in SUMMARY_AVGS],
+        F.sum(oor["heart_rate"]).alias("_hr"), F.sum(oor["spo2"]).alias("_spo2"),
+        F.sum(oor["respiratory_rate"]).alias("_rr"),
+        F.min("charttime").alias("first_chart_time"), F.max("charttime").alias("last_chart_time"))
+    adm = admissions.groupBy("hadm_id", "admission_type", "hospital_expire_flag", "los_hours") \
+        .agg(F.count(F.lit(1)).alias("_mult"))
+    j = pre.join(adm, "hadm_id", "left")
+    mult = F.coalesce(F.col("_mult"), F.lit(1))
+    v = j.select(*SUMMARY_KEYS,
+                 (F.col("_rows") * mult).alias("total_chart_rows"),
+                 (F.col("_missing") * mult).alias("total_missing_vitals"),
+                 *[f"avg_{c}" for c in SUMMARY_AVGS],
+                 (F.col("_hr") * mult).alias("hr_oor_count"),
+                 (F.col("_spo2") * mult).alias("spo2_oor_count"),
+                 (F.col("_rr") * mult).alias("rr_oor_count"),
+                 "first_chart_time", "last_chart_time")
+    return _with_diagnoses(v, diagnoses)
+
+
+def _with_diagnoses(v: DataFrame, diagnoses: DataFrame) -> DataFrame:
     d = diagnosis_rollup(diagnoses)
     j = v.join(d, "hadm_id", "left")
     return j.select(

@@ -36,7 +36,10 @@ class Ctx:
 
     @property
     def summary(self) -> DataFrame:
-        return marts.patient_summary(self.vitals, self.stg["stg_diagnoses_icd"])
+        # Same rows as patient_summary(vitals, ...); aggregates before the
+        # admission join, so one plan stays skew-proof.
+        return marts.patient_summary_from_readings(self.charts, self.stg["stg_admissions"],
+                                                   self.stg["stg_diagnoses_icd"])
 
 
 def rounded_summary(df: DataFrame) -> DataFrame:
@@ -244,3 +247,15 @@ QUERIES.update({
         c.shap.join(c.features.where(trust.split_column()).select("hadm_id"), "hadm_id", "left_semi"))),
     "reviewed": _mc(_reviewed),
 })
+
+
+def _recent_runs(c):
+    root = c.models.trust_path.rsplit("/models/", 1)[0]
+    return store.recent_runs(c.spark, Paths(root).runs)
+
+
+QUERIES.update({
+    "anomalous_rows": _sc(lambda c: detectors.anomalous_rows(c.scores)),
+    "scatter_sample": _sc(lambda c: dashboard.scatter_sample(c.board)),
+    "recent_runs": _mc(_recent_runs),
+})

@@ -443,3 +443,6 @@ ORACLE.update({
     "failure_counts": sq("SELECT failure_type, count(*) AS failures, count(DISTINCT hadm_id) AS admissions "
                          "FROM report GROUP BY failure_type", DETECT),
 })
+
+ORACLE["anomalous_rows"] = sq("SELECT hadm_id, charttime, 'anomaly' AS failure_type, NULL::varchar AS item, "
+                              "reconstruction_error AS value FROM anomaly_scores WHERE anomaly_flag = 1")

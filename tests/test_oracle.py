@@ -42,7 +42,8 @@ def test_matches_duckdb(spark, con, name):
 
 
 def test_every_query_registered_has_oracle_or_is_model():
-    rows_only = {"anomaly_scores", "trust_scores", "trust_metrics", "shap_local", "shap_global", "reviewed"}
+    rows_only = {"anomaly_scores", "trust_scores", "trust_metrics", "shap_local", "shap_global", "reviewed",
+                 "scatter_sample", "recent_runs"}
     assert set(E.queries()) - set(E.oracle_sql()) == rows_only
 
 

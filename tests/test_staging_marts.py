@@ -77,3 +77,24 @@ def test_summary_scores(spark):
     out = {r.hadm_id: r for r in marts.patient_summary(marts.icu_vitals(charts, adm), dx).collect()}
     assert out["h1"].raw_dq_score == 80.0 and out["h1"].total_diagnoses == 0
     assert out["h2"].raw_dq_score == 35.0 and out["h2"].hr_oor_count == 1
+
+
+def test_summary_from_readings_equals_reference_shape(spark):
+    t0 = T(2020, 1, 1, 12)
+    rows = []
+    for i in range(40):
+        t = t0 + dt.timedelta(minutes=30 * (i % 7))
+        rows += [("h1", "s1", t, "heart_rate", 60.0 + i), ("h1", "s1", t, "spo2", 40.0 + i),
+                 ("h2", "s2", t, "respiratory_rate", float(i)), ("h3", "s3", t, "heart_rate", None),
+                 ("h1", "s9", t, "temperature_c", 37.0)]
+    charts = _charts(spark, rows)
+    # h1 has two identical admission rows and one differing row; h3 none
+    adm = _adm(spark, [("h1", "s1", T(2020, 1, 1), T(2020, 1, 2), 24, "URGENT", 0),
+                       ("h1", "s1", T(2020, 1, 1), T(2020, 1, 2), 24, "URGENT", 0),
+                       ("h1", "s1", T(2020, 1, 1), T(2020, 1, 3), 48, "ELECTIVE", 1),
+                       ("h2", "s2", T(2020, 1, 1), T(2020, 1, 2), 24, "EMERGENCY", 0)])
+    dx = spark.createDataFrame([("h2", 1, "BAD", False), ("h2", 2, "4280", True)],
+                               "hadm_id string, seq_num int, icd9_code string, is_valid_icd boolean")
+    a = marts.patient_summary(marts.icu_vitals(charts, adm), dx)
+    b = marts.patient_summary_from_readings(charts, adm, dx)
+    assert sorted(a.collect()) == sorted(b.collect()) and a.count() == 6
