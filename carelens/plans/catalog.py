@@ -17,12 +17,20 @@ from ..session import prepare
 from ..sources.fixtures import ingested_raw
 
 
+_MARTS: dict = {}
+_FITTED: dict = {}
+
+
 class Ctx:
-    """Lazily built frames of one query (plans, not data: nothing is cached)."""
+    """Frames of one query.  ``vitals``/``summary`` are built from the
+    readings; ``vitals_t``/``summary_t`` are the materialised mart tables
+    (written once per application and data folder, as the reference's marts
+    are tables), which downstream operators read."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = prepare(spark)
         self.sf_dir = sf_dir
+        self.key = (spark.sparkContext.applicationId, sf_dir)
         self.raw = ingested_raw(spark, sf_dir)
         self.stg = staging.stage_all(self.raw)
 
@@ -34,6 +42,26 @@ class Ctx:
     def vitals(self) -> DataFrame:
         return marts.icu_vitals(self.charts, self.stg["stg_admissions"])
 
+    def _marts(self) -> str:
+        if self.key not in _MARTS:
+            import os
+            import uuid
+
+            from ..session import checkpoint_dir
+            root = os.path.join(checkpoint_dir(self.spark), "carelens-marts", uuid.uuid4().hex[:12])
+            self.vitals.write.mode("overwrite").parquet(os.path.join(root, "mart_icu_vitals"))
+            self.summary.write.mode("overwrite").parquet(os.path.join(root, "mart_patient_summary"))
+            _MARTS[self.key] = root
+        return _MARTS[self.key]
+
+    @property
+    def vitals_t(self) -> DataFrame:
+        return self.spark.read.parquet(self._marts() + "/mart_icu_vitals")
+
+    @property
+    def summary_t(self) -> DataFrame:
+        return self.spark.read.parquet(self._marts() + "/mart_patient_summary")
+
     @property
     def summary(self) -> DataFrame:
         # Same rows as patient_summary(vitals, ...); aggregates before the
@@ -92,15 +120,18 @@ class ScoreCtx(Ctx):
 
     @property
     def medians(self):
-        if not hasattr(self, "_med"):
-            self._med = anomaly.column_medians(self.pivot)
-        return self._med
+        """Fitted once per application and data folder (fit, then score)."""
+        k = ("medians",) + self.key
+        if k not in _FITTED:
+            _FITTED[k] = anomaly.column_medians(self.pivot)
+        return _FITTED[k]
 
     @property
     def mean_model(self):
-        if not hasattr(self, "_mm"):
-            self._mm = anomaly.MeanModel.fit(anomaly.train_matrix(self.charts))
-        return self._mm
+        k = ("mean_model",) + self.key
+        if k not in _FITTED:
+            _FITTED[k] = anomaly.MeanModel.fit(anomaly.train_matrix(self.charts))
+        return _FITTED[k]
 
     @property
     def scores(self):
@@ -108,18 +139,18 @@ class ScoreCtx(Ctx):
 
     @property
     def trust(self):
-        return trust.fixed_trust(self.summary)
+        return trust.fixed_trust(self.summary_t)
 
     @property
     def board(self):
-        return dashboard.dashboard_summary(self.summary, self.trust)
+        return dashboard.dashboard_summary(self.summary_t, self.trust)
 
     @property
     def flagged_ids(self):
         return self.trust.where(F.col("dq_flagged"))
 
     def tables(self):
-        return {**self.stg, "mart_icu_vitals": self.vitals, "mart_patient_summary": self.summary}
+        return {**self.stg, "mart_icu_vitals": self.vitals_t, "mart_patient_summary": self.summary_t}
 
 
 def _rounded(df, cols, digits=6):
@@ -148,10 +179,10 @@ QUERIES.update({
     "anomaly_flags_mean": _sc(lambda c: c.scores),
     "anomaly_rollup": _sc(lambda c: _rounded(anomaly.anomaly_rollup(c.scores), ["avg_recon_error"])),
     "scoring_summary": _sc(lambda c: _rounded(anomaly.scoring_summary(c.scores), ["flagged_share"])),
-    "trust_features": _sc(lambda c: _rounded(trust.trust_features(c.summary, c.scores),
+    "trust_features": _sc(lambda c: _rounded(trust.trust_features(c.summary_t, c.scores),
                                              ["avg_recon_error"])),
     "label_balance": _sc(lambda c: _rounded(trust.label_balance(
-        trust.trust_features(c.summary, c.scores)), ["positive_share"])),
+        trust.trust_features(c.summary_t, c.scores)), ["positive_share"])),
     "kpis": _sc(lambda c: _rounded(dashboard.kpis(c.board), [
         "flagged_share", "avg_trust_score", "avg_missing_vitals"])),
     "failures_by_type": _sc(lambda c: dashboard.failures_by_type(c.board)),
@@ -160,21 +191,21 @@ QUERIES.update({
     "flagged_sorted": _sc(lambda c: dashboard.flagged(c.board)),
     "worklist": _sc(lambda c: review.worklist(c.trust)),
     "vitals_sample": _sc(lambda c: review.vitals_sample(c.charts, c.flagged_ids)),
-    "record_context": _sc(lambda c: review.record_context(c.summary, c.flagged_ids)),
+    "record_context": _sc(lambda c: review.record_context(c.summary_t, c.flagged_ids)),
     "trust_verdict": _sc(lambda c: review.trust_verdict(c.trust)),
-    "review_table": _sc(lambda c: review.review_table(c.summary, c.trust, c.charts)),
+    "review_table": _sc(lambda c: review.review_table(c.summary_t, c.trust, c.charts)),
     "check_not_null": _sc(lambda c: checks.run_checks(c.tables(), tests=["not_null"])),
     "check_unique": _sc(lambda c: checks.run_checks(c.tables(), tests=["unique"])),
     "check_accepted": _sc(lambda c: checks.run_checks(c.tables(), tests=["accepted_values"])),
-    "oor_detail": _sc(lambda c: detectors.missing_and_out_of_range(c.vitals)),
+    "oor_detail": _sc(lambda c: detectors.missing_and_out_of_range(c.vitals_t)),
     "icd_mismatch": _sc(lambda c: detectors.icd_mismatch(c.stg["stg_diagnoses_icd"])),
     "dup_readings": _sc(lambda c: detectors.duplicate_readings(c.charts)),
     "time_gaps": _sc(lambda c: detectors.time_gaps(c.charts)),
     "spikes": _sc(lambda c: detectors.spikes(c.charts)),
     "failure_report": _sc(lambda c: detectors.failure_report(
-        c.vitals, c.stg["stg_diagnoses_icd"], c.charts)),
+        c.vitals_t, c.stg["stg_diagnoses_icd"], c.charts)),
     "failure_counts": _sc(lambda c: detectors.failure_counts(detectors.failure_report(
-        c.vitals, c.stg["stg_diagnoses_icd"], c.charts))),
+        c.vitals_t, c.stg["stg_diagnoses_icd"], c.charts))),
 })
 
 
@@ -198,7 +229,7 @@ class ModelCtx(ScoreCtx):
         key = (spark.sparkContext.applicationId, sf_dir)
         if key not in _MODELS:
             root = _os.path.join(default_root(spark), _uuid.uuid4().hex[:12])
-            _MODELS[key] = train(spark, self.charts, self.summary, Paths(root))
+            _MODELS[key] = train(spark, self.charts, self.summary_t, Paths(root))
         self.models = _MODELS[key]
 
     @property
@@ -207,7 +238,7 @@ class ModelCtx(ScoreCtx):
 
     @property
     def features(self):
-        return trust.trust_features(self.summary, self.ae_scores)
+        return trust.trust_features(self.summary_t, self.ae_scores)
 
     @property
     def trust_scores(self):
@@ -235,7 +266,7 @@ def _metrics_frame(c):
 
 def _reviewed(c):
     tr = c.trust_scores
-    return review.apply_reviewer(review.review_table(c.summary, tr, c.charts))
+    return review.apply_reviewer(review.review_table(c.summary_t, tr, c.charts))
 
 
 QUERIES.update({
