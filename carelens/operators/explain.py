@@ -74,33 +74,51 @@ def _weights(d: int) -> list:
     return [math.factorial(s) * math.factorial(d - s - 1) / math.factorial(d) for s in range(d)]
 
 
-def shap_batch(leaves: list, x: np.ndarray) -> tuple[np.ndarray, float]:
+def leaf_tables(leaves: list) -> list:
+    """For each leaf, the contribution to each of its d features for every
+    pattern of the d path conditions (bit k set = row satisfies the splits on
+    feature k): a (2^d, d) table.  Built once on the driver, so a row costs
+    d comparisons and one gather per leaf."""
+    out = []
+    for v, feats, edges, z in leaves:
+        d = len(feats)
+        if d == 0:
+            out.append((v, feats, edges, None, v))
+            continue
+        wts = _weights(d)
+        table = np.zeros((1 << d, d))
+        for pat in range(1 << d):
+            o = [(pat >> k) & 1 for k in range(d)]
+            for a in range(d):
+                others = [k for k in range(d) if k != a]
+                acc = 0.0
+                for r in range(len(others) + 1):
+                    for S in itertools.combinations(others, r):
+                        term = wts[r]
+                        for k in others:
+                            term *= o[k] if k in S else z[feats[k]]
+                        acc += term
+                table[pat, a] = v * acc * (o[a] - z[feats[a]])
+        out.append((v, feats, edges, table, v * math.prod(z[f] for f in feats)))
+    return out
+
+
+def shap_batch(tables: list, x: np.ndarray) -> tuple[np.ndarray, float]:
     """SHAP values (n x features, log-odds) and the expected value."""
     n, m = x.shape
     phi = np.zeros((n, m))
     base = 0.0
-    for v, feats, edges, z in leaves:
-        d = len(feats)
-        base += v * math.prod(z[f] for f in feats)
-        if d == 0:
+    for v, feats, edges, table, expected in tables:
+        base += expected
+        if table is None:
             continue
-        o = {}
-        for f in feats:
+        pat = np.zeros(n, dtype=np.int64)
+        for k, f in enumerate(feats):
             ok = np.ones(n, dtype=bool)
             for thr, left in edges[f]:
                 ok &= (x[:, f] <= thr) if left else (x[:, f] > thr)
-            o[f] = ok.astype(float)
-        wts = _weights(d)
-        for i in feats:
-            others = [f for f in feats if f != i]
-            acc = np.zeros(n)
-            for k in range(len(others) + 1):
-                for S in itertools.combinations(others, k):
-                    term = np.full(n, wts[k])
-                    for j in others:
-                        term = term * (o[j] if j in S else z[j])
-                    acc += term
-            phi[:, i] += v * acc * (o[i] - z[i])
+            pat |= ok.astype(np.int64) << k
+        phi[:, feats] += table[pat]
     return 2.0 * phi, 2.0 * base
 
 
@@ -108,7 +126,7 @@ def explain_trust(features: DataFrame, model, model_path: str, digits: int | Non
     """I11 + I12: score rows (rounded to one digit before the flag) and
     attach SHAP values as map<feature, value> and the base value."""
     spark = features.sparkSession
-    leaves = compile_leaves(*tree_table(spark, model_path, model))
+    leaves = leaf_tables(compile_leaves(*tree_table(spark, model_path, model)))
     scaled = model.transform(_filled(features))
     from pyspark.ml.functions import vector_to_array
     df = scaled.select("hadm_id", vector_to_array("features").alias("_x"),

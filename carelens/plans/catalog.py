@@ -213,7 +213,7 @@ QUERIES.update({
 import os as _os  # noqa: E402
 import uuid as _uuid  # noqa: E402
 
-from ..operators import autoencoder, explain  # noqa: E402
+from ..operators import explain  # noqa: E402
 from ..sources import store  # noqa: E402
 from .pipeline import Paths, default_root, train  # noqa: E402
 
@@ -244,9 +244,31 @@ class ModelCtx(ScoreCtx):
     def trust_scores(self):
         return trust.score_trust(self.features, self.models.trust_fit.model)
 
+    def _score_tables(self) -> str:
+        """ml_anomaly_scores and ml_trust_scores, written once (A5, A6):
+        downstream readers use the tables, as in the reference."""
+        k = ("scores",) + self.key
+        if k not in _FITTED:
+            root = self.models.trust_path.rsplit("/models/", 1)[0]
+            self.ae_scores.write.mode("overwrite").parquet(root + "/ml_anomaly_scores")
+            an = self.spark.read.parquet(root + "/ml_anomaly_scores")
+            trust.score_trust(trust.trust_features(self.summary_t, an), self.models.trust_fit.model) \
+                .write.mode("overwrite").parquet(root + "/ml_trust_scores")
+            _FITTED[k] = root
+        return _FITTED[k]
+
+    @property
+    def features_t(self):
+        an = self.spark.read.parquet(self._score_tables() + "/ml_anomaly_scores")
+        return trust.trust_features(self.summary_t, an)
+
+    @property
+    def trust_t(self):
+        return self.spark.read.parquet(self._score_tables() + "/ml_trust_scores")
+
     @property
     def shap(self):
-        return explain.explain_trust(self.features, self.models.trust_fit.model, self.models.trust_path)
+        return explain.explain_trust(self.features_t, self.models.trust_fit.model, self.models.trust_path)
 
 
 def _mc(fn):
@@ -265,8 +287,7 @@ def _metrics_frame(c):
 
 
 def _reviewed(c):
-    tr = c.trust_scores
-    return review.apply_reviewer(review.review_table(c.summary_t, tr, c.charts))
+    return review.apply_reviewer(review.review_table(c.summary_t, c.trust_t, c.charts))
 
 
 QUERIES.update({
@@ -275,7 +296,7 @@ QUERIES.update({
     "trust_metrics": _mc(_metrics_frame),
     "shap_local": _mc(lambda c: c.shap),
     "shap_global": _mc(lambda c: explain.global_importance(
-        c.shap.join(c.features.where(trust.split_column()).select("hadm_id"), "hadm_id", "left_semi"))),
+        c.shap.where(trust.split_column()))),
     "reviewed": _mc(_reviewed),
 })
 
