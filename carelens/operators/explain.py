@@ -103,30 +103,63 @@ def leaf_tables(leaves: list) -> list:
     return out
 
 
-def shap_batch(tables: list, x: np.ndarray) -> tuple[np.ndarray, float]:
-    """SHAP values (n x features, log-odds) and the expected value."""
-    n, m = x.shape
-    phi = np.zeros((n, m))
+def compile_model(tables: list) -> dict:
+    """Index every distinct (feature, threshold) split once; each leaf then
+    refers to split columns.  MLlib bins features (maxBins), so there are few
+    distinct splits however many trees there are."""
+    splits: dict = {}
+    leaves = []
     base = 0.0
     for v, feats, edges, table, expected in tables:
         base += expected
         if table is None:
             continue
-        pat = np.zeros(n, dtype=np.int64)
+        conds = []
+        for f in feats:
+            conds.append([(splits.setdefault((f, thr), len(splits)), left) for thr, left in edges[f]])
+        # per feature a contiguous row of 2^d values, for fast gathers
+        leaves.append((feats, conds, np.ascontiguousarray(table.T)))
+    feat = np.array([f for f, _ in splits], dtype=np.int64)
+    thr = np.array([t for _, t in splits], dtype=float)
+    return {"feat": feat, "thr": thr, "leaves": leaves, "base": base}
+
+
+def shap_batch(model: dict, x: np.ndarray) -> tuple[np.ndarray, float]:
+    """SHAP values (n x features, log-odds) and the expected value."""
+    n, m = x.shape
+    le = (x[:, model["feat"]] <= model["thr"]).T.copy()   # one row per split: x <= thr
+    gt = ~le
+    phi_t = np.zeros((m, n))
+    pat = np.empty(n, dtype=np.uint8)
+    for feats, conds, table_t in model["leaves"]:
+        pat[:] = 0
+        for k, cs in enumerate(conds):
+            ok = None
+            for idx, left in cs:
+                c = le[idx] if left else gt[idx]
+                ok = c if ok is None else ok & c
+            pat += ok.view(np.uint8) << k
         for k, f in enumerate(feats):
-            ok = np.ones(n, dtype=bool)
-            for thr, left in edges[f]:
-                ok &= (x[:, f] <= thr) if left else (x[:, f] > thr)
-            pat |= ok.astype(np.int64) << k
-        phi[:, feats] += table[pat]
-    return 2.0 * phi, 2.0 * base
+            phi_t[f] += table_t[k].take(pat)
+    return 2.0 * phi_t.T, 2.0 * model["base"]
+
+
+_COMPILED: dict = {}
+
+
+def compiled_model(spark, model_path: str, model=None) -> dict:
+    """Tree tables of a saved model, compiled once per path and application."""
+    key = (spark.sparkContext.applicationId, model_path)
+    if key not in _COMPILED:
+        _COMPILED[key] = compile_model(leaf_tables(compile_leaves(*tree_table(spark, model_path, model))))
+    return _COMPILED[key]
 
 
 def explain_trust(features: DataFrame, model, model_path: str, digits: int | None = 4) -> DataFrame:
     """I11 + I12: score rows (rounded to one digit before the flag) and
     attach SHAP values as map<feature, value> and the base value."""
     spark = features.sparkSession
-    leaves = leaf_tables(compile_leaves(*tree_table(spark, model_path, model)))
+    leaves = compiled_model(spark, model_path, model)
     scaled = model.transform(_filled(features))
     from pyspark.ml.functions import vector_to_array
     df = scaled.select("hadm_id", vector_to_array("features").alias("_x"),

@@ -94,8 +94,12 @@ def fit_trust(features: DataFrame, trees: int = GBT_TREES, seed: int = SEED) ->
 
     from ..session import checkpoint_dir
     checkpoint_dir(features.sparkSession)
+    from pyspark import StorageLevel
     df = _filled(features).withColumn("label", F.col("has_dq_problem").cast("double")) \
         .withColumn("_test", split_column())
+    # One row per admission, read by the scaler, every boosting round and the
+    # metrics: persist for the fit (spills to disk; recomputed if lost).
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     train, test = df.where(~F.col("_test")), df.where(F.col("_test"))
     model = trust_pipeline(trees, seed).fit(train)
     pred = model.transform(test)
@@ -109,6 +113,7 @@ def fit_trust(features: DataFrame, trees: int = GBT_TREES, seed: int = SEED) ->
             metricLabel=1.0).evaluate(pred)
     counts = df.groupBy("_test").count().collect()
     n = {bool(r["_test"]): int(r["count"]) for r in counts}
+    df.unpersist()
     return TrustFit(model, {"roc_auc": float(auc), **{k: float(v) for k, v in mc.items()}},
                     n.get(False, 0), n.get(True, 0))
 

@@ -52,6 +52,7 @@ class Models:
     trust_fit: object
     trust_path: str
     metrics: dict = field(default_factory=dict)
+    seconds: dict = field(default_factory=dict)
 
 
 def build_marts(spark: SparkSession, raw) -> dict[str, DataFrame]:
@@ -70,21 +71,31 @@ def train(spark: SparkSession, charts: DataFrame, summary: DataFrame, paths: Pat
           trees: int = GBT_TREES, epochs: int | None = None) -> Models:
     """Fit the reconstruction model (I3), then the trust model (I9) on
     features that include its scores; save both and log the runs."""
+    import time
     prepare(spark)
     kw = {} if epochs is None else {"epochs": epochs}
+    t0 = time.time()
     ae = autoencoder.fit_autoencoder(anomaly.train_matrix(charts), **kw)
+    t1 = time.time()
     store.save_anomaly_model(spark, ae, paths.anomaly_model)
     store.log_run(spark, paths.runs, f"autoencoder-train-{uuid.uuid4().hex[:8]}",
                   {"train_loss": ae.losses[-1], "anomaly_threshold_p95": ae.threshold,
                    "mean_recon_error": ae.mean_error}, step=len(ae.losses))
     medians = anomaly.column_medians(anomaly.scoring_pivot(charts))
-    scores = anomaly.score_anomalies(charts, ae, medians)
-    feats = trust.trust_features(summary, scores)
+    # Score once into a file the trust model then reads (the reference trains
+    # the trust model on the stored anomaly scores).
+    scored = os.path.join(paths.root, "train_anomaly_scores")
+    anomaly.score_anomalies(charts, ae, medians).write.mode("overwrite").parquet(scored)
+    feats = trust.trust_features(summary, spark.read.parquet(scored))
+    t2 = time.time()
     fit = trust.fit_trust(feats, trees=trees)
+    t3 = time.time()
     store.save_trust_model(fit.model, paths.trust_model)
     store.log_run(spark, paths.runs, f"trust-scorer-train-{uuid.uuid4().hex[:8]}", fit.metrics,
                   params={"n_estimators": trees})
-    return Models(ae, medians, fit, paths.trust_model, fit.metrics)
+    return Models(ae, medians, fit, paths.trust_model, fit.metrics,
+                  {"fit_autoencoder": round(t1 - t0, 3), "score_for_training": round(t2 - t1, 3),
+                   "fit_trust": round(t3 - t2, 3)})
 
 
 def run_pipeline(spark: SparkSession, raw, root: str | None = None, models: Models | None = None,
