@@ -53,9 +53,21 @@ def flagged(board: DataFrame, types=()) -> DataFrame:
 
 
 def scatter_sample(board: DataFrame, n: int = SCATTER_SAMPLE, seed: int = SEED) -> DataFrame:
-    """A random sample of at most n rows (score pair and flag).  The
-    limit is the feature; top-n by a seeded random key keeps it exact-size
-    and reproducible, with a per-task cut before the single final merge."""
-    return (board.select("hadm_id", "raw_dq_score", "trust_score", "dq_flagged",
-                         F.rand(seed).alias("_r"))
-            .orderBy("_r").limit(n).drop("_r"))
+    """A uniform random sample of min(n, rows) rows (score pair and flag).
+
+    The rows with the n smallest seeded hash keys of hadm_id (uniform, and
+    the same on every evaluation and task retry, unlike rand()).  A plain
+    orderBy(rand).limit(n) merges n rows from every map task in one task;
+    instead rows whose key is below a threshold expected to pass about 4n
+    rows are kept first, which cannot change the answer when at least n
+    pass (the n smallest keys are all below it).  If fewer pass, the
+    filter is dropped.  Two counts reach the driver, nothing else.
+    """
+    key = F.pmod(F.xxhash64("hadm_id", F.lit(seed)), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    keyed = board.select("hadm_id", "raw_dq_score", "trust_score", "dq_flagged", key.alias("_r"))
+    total = keyed.count()
+    if total > 4 * n:
+        cut = keyed.where(F.col("_r") < F.lit(4.0 * n / total))
+        if cut.count() >= n:
+            keyed = cut
+    return keyed.orderBy("_r", "hadm_id").limit(n).drop("_r")

@@ -155,3 +155,15 @@ def test_checks_count_like_dbt(spark):
              ("p", "gender", "accepted_values", ["M", "F"])]
     got = {(r.column_name, r.test): r.failures for r in checks.run_checks({"p": df}, rules).collect()}
     assert got == {("subject_id", "not_null"): 1, ("subject_id", "unique"): 1, ("gender", "accepted_values"): 2}
+
+
+def test_scatter_sample_equals_plain_top_n(spark):
+    from carelens.operators import dashboard
+    df = spark.range(20000).select(F.col("id").cast("string").alias("hadm_id"),
+                                   (F.col("id") % 100).cast("double").alias("raw_dq_score"),
+                                   (F.col("id") % 97).cast("double").alias("trust_score"),
+                                   (F.col("id") % 2 == 0).alias("dq_flagged")).repartition(7)
+    got = dashboard.scatter_sample(df, n=100).collect()
+    key = F.pmod(F.xxhash64("hadm_id", F.lit(42)), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    want = df.select("*", key.alias("_r")).orderBy("_r", "hadm_id").limit(100).drop("_r").collect()
+    assert len(got) == 100 and sorted(got) == sorted(want)
