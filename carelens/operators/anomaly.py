@@ -44,7 +44,7 @@ def clean_readings(charts: DataFrame) -> DataFrame:
             .select("hadm_id", "subject_id", "charttime", "vital_name", "valuenum"))
 
 
-def first_per_vital(clean: DataFrame, cap: int = TRAIN_CAP, fan_in: int = 256) -> DataFrame:
+def first_per_vital(clean: DataFrame, cap: int = TRAIN_CAP, fan_in: int | None = None) -> DataFrame:
     """The first ``cap`` clean readings of each vital, ordered by
     (hadm_id, charttime, valuenum); adds ``rn`` (1-based).
 
@@ -53,9 +53,14 @@ def first_per_vital(clean: DataFrame, cap: int = TRAIN_CAP, fan_in: int = 256) -
     (vital, map partition mod fan_in) - the window group limit keeps at most
     ``cap`` rows per vital in each map task before anything is shuffled, and
     the level-1 reducers cut again; level 2 ranks the at most
-    6 * fan_in * cap survivors per vital.  Exact, because the top-k of a
-    union is the top-k of the parts' top-k.
+    fan_in * cap survivors per vital.  Exact, because the top-k of a
+    union is the top-k of the parts' top-k.  With M input partitions the
+    default fan_in is about sqrt(M), which balances the two levels: a level-1
+    reducer merges about M / fan_in, the level-2 task fan_in, lists of ``cap``.
     """
+    if fan_in is None:
+        import math
+        fan_in = max(16, math.isqrt(max(clean.rdd.getNumPartitions(), 1)) + 1)
     order = [F.col("hadm_id"), F.col("charttime"), F.col("valuenum")]
     lvl1 = (clean.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(fan_in)))
             .withColumn("_rn1", F.row_number().over(
