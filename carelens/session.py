@@ -38,8 +38,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="carelens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        d = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="carelens-ckpt-")
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001 - core settings may be read-only at run time
+            pass
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
