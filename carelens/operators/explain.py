@@ -29,17 +29,22 @@ from .trust import _filled
 def tree_table(spark, model_path: str, model=None):
     """(tree weights, nodes) of the saved GBT stage of a PipelineModel: the
     nodes from its Parquet data, the weights from the model (or metadata)."""
-    stages = os.path.join(model_path, "stages")
-    gbt = [d for d in sorted(os.listdir(stages)) if "GBT" in d][0]
-    base = os.path.join(stages, gbt)
-    nodes = spark.read.parquet(os.path.join(base, "data")).select(
+    if model is not None:
+        # PipelineModel writes stage i as stages/<i>_<uid>: no listing needed,
+        # so the path may be any Hadoop file system URI.
+        i, stage = next((i, st) for i, st in enumerate(model.stages) if "GBT" in type(st).__name__)
+        base = f"{model_path.rstrip('/')}/stages/{i}_{stage.uid}"
+    else:
+        stages = os.path.join(model_path, "stages")
+        base = os.path.join(stages, [d for d in sorted(os.listdir(stages)) if "GBT" in d][0])
+    nodes = spark.read.parquet(base + "/data").select(
         "treeID", "nodeData.id", "nodeData.prediction", "nodeData.rawCount",
         "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex",
         F.get(F.col("nodeData.split.leftCategoriesOrThreshold"), 0).alias("threshold")).collect()
     if model is not None:
         weights = dict(enumerate(float(w) for w in model.stages[-1].treeWeights))
     else:  # columns of the metadata file: tree id, json, weight
-        meta = spark.read.parquet(os.path.join(base, "treesMetadata")).collect()
+        meta = spark.read.parquet(base + "/treesMetadata").collect()
         weights = {int(r[0]): float(r[2]) for r in meta}
     return weights, [r.asDict() for r in nodes]
 

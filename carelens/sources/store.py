@@ -9,7 +9,6 @@ run log are folders a cluster shares (e.g. an object store).
 from __future__ import annotations
 
 import datetime as _dt
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,9 +84,11 @@ def log_run(spark: SparkSession, path: str, run: str, metrics: dict, step: int |
 def recent_runs(spark: SparkSession, path: str, n: int = 20,
                 metrics=("roc_auc", "train_loss", "anomaly_threshold_p95")) -> DataFrame:
     """the n newest runs with selected metrics (last step of each)."""
-    if not os.path.exists(path) and not path.startswith(("s3", "gs", "abfs", "hdfs")):
+    from pyspark.errors import AnalysisException
+    try:
+        log = spark.read.schema(RUN_SCHEMA).parquet(path)
+    except AnalysisException:      # no run logged yet (path does not exist)
         return spark.createDataFrame([], "run string, ts timestamp")
-    log = spark.read.schema(RUN_SCHEMA).parquet(path)
     last = (log.where(F.col("name").isin(list(metrics)))
             .groupBy("run", "name").agg(F.max_by("value", F.coalesce("step", F.lit(-1))).alias("value")))
     wide = last.groupBy("run").pivot("name", list(metrics)).agg(F.first("value"))
