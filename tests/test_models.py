@@ -167,3 +167,18 @@ def test_scatter_sample_equals_plain_top_n(spark):
     key = F.pmod(F.xxhash64("hadm_id", F.lit(42)), F.lit(1 << 31)) / F.lit(float(1 << 31))
     want = df.select("*", key.alias("_r")).orderBy("_r", "hadm_id").limit(100).drop("_r").collect()
     assert len(got) == 100 and sorted(got) == sorted(want)
+
+
+def test_median_sketch_close_to_exact(ctx):
+    exact = anomaly.column_medians(ctx.pivot)
+    approx = anomaly.column_medians(ctx.pivot, relative_error=0.001)
+    for v in anomaly.VITALS:
+        lo, hi = anomaly.VITAL_RANGES[v]
+        assert abs(exact[v] - approx[v]) <= 0.02 * (hi - lo)
+
+
+def test_holdout_split_share_and_determinism(spark):
+    df = spark.range(50000).select(F.col("id").cast("string").alias("hadm_id"))
+    a = df.where(trust.split_column()).count()
+    b = df.where(trust.split_column()).count()
+    assert a == b and abs(a / 50000 - 0.2) < 0.01
