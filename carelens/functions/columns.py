@@ -77,11 +77,16 @@ def round_avg(col, digits: int = 6) -> Column:
     return F.round(_c(col), digits)
 
 
-def fmt_num(col, pattern: str, null_text: str = "nan") -> Column:
-    """printf-style number text; null prints like pandas' NaN ('nan')."""
+def fmt_num(col, decimals: int, null_text: str = "nan") -> Column:
+    """Fixed-point text like Python's f"{x:.{decimals}f}"; null prints 'nan'.
+
+    format_number rounds the exact binary value half-to-even, as Python and
+    C do; format_string('%.1f') rounds the shortest decimal half-up, which
+    differs on ties (0.25 -> '0.3').  Grouping commas are removed.
+    """
     c = _c(col)
     return F.when(c.isNull(), F.lit(null_text)).otherwise(
-        F.format_string(pattern, c.cast("double")))
+        F.regexp_replace(F.format_number(c.cast("double"), decimals), ",", ""))
 
 
 def text_or(col, null_text: str = "None") -> Column:

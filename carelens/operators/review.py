@@ -62,21 +62,21 @@ def record_context(summary: DataFrame, trust: DataFrame) -> DataFrame:
     text = F.concat(
         F.lit("Admission "), F.col("hadm_id"),
         F.lit(": type="), text_or("admission_type"),
-        F.lit(", LOS="), fmt_num("los_hours", "%.0f"),
-        F.lit("h, trust="), fmt_num("trust_score", "%.1f"),
-        F.lit("/100, dq_score="), fmt_num("raw_dq_score", "%.1f"),
-        F.lit("/100 | missing_vitals="), fmt_num("total_missing_vitals", "%.0f"),
-        F.lit("/"), fmt_num("total_chart_rows", "%.0f"),
-        F.lit(", hr_oor="), fmt_num("hr_oor_count", "%.0f"),
-        F.lit(", spo2_oor="), fmt_num("spo2_oor_count", "%.0f"),
-        F.lit(", invalid_icd="), fmt_num("invalid_icd_count", "%.0f"),
-        F.lit("/"), fmt_num("total_diagnoses", "%.0f"))
+        F.lit(", LOS="), fmt_num("los_hours", 0),
+        F.lit("h, trust="), fmt_num("trust_score", 1),
+        F.lit("/100, dq_score="), fmt_num("raw_dq_score", 1),
+        F.lit("/100 | missing_vitals="), fmt_num("total_missing_vitals", 0),
+        F.lit("/"), fmt_num("total_chart_rows", 0),
+        F.lit(", hr_oor="), fmt_num("hr_oor_count", 0),
+        F.lit(", spo2_oor="), fmt_num("spo2_oor_count", 0),
+        F.lit(", invalid_icd="), fmt_num("invalid_icd_count", 0),
+        F.lit("/"), fmt_num("total_diagnoses", 0))
     return s.select("hadm_id", text.alias("record_context"))
 
 
 def trust_verdict(trust: DataFrame) -> DataFrame:
     """K3: 'Trust score: x/100 (FLAGGED|CLEAN)' per admission."""
-    text = F.concat(F.lit("Trust score: "), fmt_num("trust_score", "%.1f"), F.lit("/100 ("),
+    text = F.concat(F.lit("Trust score: "), fmt_num("trust_score", 1), F.lit("/100 ("),
                     F.when(F.col("dq_flagged"), F.lit("FLAGGED")).otherwise(F.lit("CLEAN")),
                     F.lit(")"))
     return trust.select("hadm_id", text.alias("trust_verdict"))

@@ -41,3 +41,13 @@ def test_dq_score_edges(spark):
     got = [r[0] for r in df.select(dq_score(F.col("m"), F.col("rows"), F.col("oor"),
                                             F.col("inv"), F.col("dx"))).collect()]
     assert got == [80.0, 35.0, 100.0]
+
+
+def test_fmt_num_rounds_like_python(spark):
+    from carelens.functions import fmt_num
+    vals = [0.25, 0.35, 12.45, 59.85, 59.95, 1234.5, 2.5, None]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r[0] for r in df.select(fmt_num("x", 1)).collect()]
+    assert got == [("nan" if v is None else f"{v:.1f}") for v in vals]
+    got0 = [r[0] for r in df.select(fmt_num("x", 0)).collect()]
+    assert got0 == [("nan" if v is None else f"{v:.0f}") for v in vals]
