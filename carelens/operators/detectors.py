@@ -88,11 +88,15 @@ def spikes(charts: DataFrame) -> DataFrame:
     """A non-null reading that jumps from the previous reading of the
     same vital (order: charttime, valuenum) by more than half the vital's
     plausible range: hadm_id, vital_name, prev_charttime, charttime,
-    prev_value, valuenum, jump."""
+    prev_value, valuenum, jump.
+
+    Copies of a reading only pair with each other (jump 0), so readings are
+    de-duplicated first - a partial aggregate that collapses any number of
+    copies in the map tasks - with the same result as the plain lag()."""
     r = (charts.where(F.col("valuenum").isNotNull() & F.col("vital_name").isin(VITALS)
                       & F.col("charttime").isNotNull())
-         .select("hadm_id", "vital_name", "charttime", "valuenum",
-                 F.date_trunc("HOUR", "charttime").alias("_h")))
+         .select("hadm_id", "vital_name", "charttime", "valuenum").distinct()
+         .withColumn("_h", F.date_trunc("HOUR", "charttime")))
     w = Window.partitionBy("hadm_id", "vital_name", "_h").orderBy("charttime", "valuenum")
     inner = r.select("hadm_id", "vital_name", "charttime", "valuenum",
                      F.lag("charttime").over(w).alias("prev_charttime"),
