@@ -1,6 +1,7 @@
 """Anomaly scoring of time points.
 
-The model interface is ``fit(train) -> model`` and ``model.score(scaled)``.
+The model interface is ``fit(train) -> model`` and
+``model.error_columns(df, scaled_columns)``, which adds reconstruction_error.
 ``MeanModel`` reconstructs every vital by its training mean (SQL-expressible,
 used by the oracle checks); ``autoencoder.AutoencoderModel`` is the network.
 """

@@ -7,15 +7,20 @@ twin of each SQL-checkable query is in ``oracle.py``.
 
 from __future__ import annotations
 
+import os as _os
+import uuid as _uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import FIXTURE_SALT
 from ..functions import anon_id, round_avg
-from ..operators import marts, staging
+from ..operators import (anomaly, checks, dashboard, detectors, explain, marts, review,
+                         staging, trust)
 from ..session import prepare
+from ..sources import store
 from ..sources.fixtures import ingested_raw
-
+from .pipeline import Paths, default_root, train
 
 _MARTS: dict = {}
 _FITTED: dict = {}
@@ -107,7 +112,6 @@ QUERIES = {
 
 
 # --- anomaly preparation and the mean model -------------------------------
-from ..operators import anomaly, checks, dashboard, detectors, review, trust  # noqa: E402
 
 
 class ScoreCtx(Ctx):
@@ -210,12 +214,7 @@ QUERIES.update({
 
 
 # --- model-backed queries (rows-only checks) ------------------------------
-import os as _os  # noqa: E402
-import uuid as _uuid  # noqa: E402
 
-from ..operators import explain  # noqa: E402
-from ..sources import store  # noqa: E402
-from .pipeline import Paths, default_root, train  # noqa: E402
 
 _MODELS: dict = {}
 
