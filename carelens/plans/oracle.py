@@ -410,7 +410,7 @@ ORACLE.update({
                "round(avg(trust_score), 6) AS avg_trust_score, "
                "round(avg(total_missing_vitals), 6) AS avg_missing_vitals FROM board"),
     "failures_by_type": sq(" UNION ALL ".join(
-        f"SELECT '{n}' AS failure_type, count_if({c} > 0) AS admissions FROM board"
+        f"SELECT '{n}' AS failure_type, count_if({c} > 0)::bigint AS admissions FROM board"
         for n, c in [("Missing vitals", "total_missing_vitals"), ("HR out-of-range", "hr_oor_count"),
                      ("SpO2 OOR", "spo2_oor_count"), ("RR OOR", "rr_oor_count"),
                      ("Invalid ICD", "invalid_icd_count")])),

@@ -31,9 +31,16 @@ def con():
     return c
 
 
+SPARK_TO_DUCK = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE",
+                 "timestamp": "TIMESTAMP", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_matches_duckdb(spark, con, name):
     sdf = E.queries()[name](spark, SF_SMALL)
+    rel = con.sql(E.oracle_sql()[name])
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    assert {c: SPARK_TO_DUCK.get(t, t) for c, t in sdf.dtypes} == duck_types
     cur = con.execute(E.oracle_sql()[name])
     c1, r1 = _bag(sdf.columns, [tuple(r) for r in sdf.collect()])
     c2, r2 = _bag([d[0] for d in cur.description], cur.fetchall())
