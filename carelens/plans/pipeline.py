@@ -55,14 +55,20 @@ class Models:
     seconds: dict = field(default_factory=dict)
 
 
-def build_marts(spark: SparkSession, raw) -> dict[str, DataFrame]:
-    """Staging views and the two mart tables, written and read back."""
+ADMISSION_BUCKETS = 64
+
+
+def build_marts(spark: SparkSession, raw, buckets: int | None = ADMISSION_BUCKETS) -> dict[str, DataFrame]:
+    """Staging views and the two mart tables, written and read back.  The
+    summary (one row per admission) is bucketed by hadm_id like the trust
+    scores, so their joins need no shuffle; size ``buckets`` to the data
+    (about 128 MB each)."""
     stg = staging.stage_all(raw)
     store.save_table(staging.with_load_time(M.icu_vitals(stg["stg_chartevents"], stg["stg_admissions"])),
                      "mart_icu_vitals")
     vitals = spark.table("mart_icu_vitals").drop("_loaded_at")
     store.save_table(staging.with_load_time(M.patient_summary(vitals, stg["stg_diagnoses_icd"])),
-                     "mart_patient_summary")
+                     "mart_patient_summary", bucket_by="hadm_id", buckets=buckets)
     summary = spark.table("mart_patient_summary").drop("_loaded_at")
     return {**stg, "mart_icu_vitals": vitals, "mart_patient_summary": summary}
 
@@ -99,12 +105,13 @@ def train(spark: SparkSession, charts: DataFrame, summary: DataFrame, paths: Pat
 
 
 def run_pipeline(spark: SparkSession, raw, root: str | None = None, models: Models | None = None,
-                 top_n: int = REVIEW_TOP_N, reviewer=review.rule_reviewer) -> dict[str, DataFrame]:
+                 top_n: int = REVIEW_TOP_N, reviewer=review.rule_reviewer,
+                 buckets: int | None = ADMISSION_BUCKETS) -> dict[str, DataFrame]:
     """The daily run.  Raises checks.CheckFailed when a column test fails."""
     prepare(spark)
     paths = Paths(root or default_root(spark))
     store.load_raw_tables(spark, raw.as_dict())
-    t = build_marts(spark, store.read_raw(spark))
+    t = build_marts(spark, store.read_raw(spark), buckets)
     results = checks.run_checks({k: t[k] for k in ("stg_patients", "stg_admissions", "stg_chartevents",
                                                    "stg_diagnoses_icd", "mart_icu_vitals",
                                                    "mart_patient_summary")})
@@ -115,7 +122,8 @@ def run_pipeline(spark: SparkSession, raw, root: str | None = None, models: Mode
     store.save_table(anomaly.score_anomalies(charts, models.anomaly, models.medians), "ml_anomaly_scores")
     scores = spark.table("ml_anomaly_scores") if store.table_exists(spark, "ml_anomaly_scores") else None
     feats = trust.trust_features(summary, scores)
-    store.save_table(trust.score_trust(feats, models.trust_fit.model), "ml_trust_scores")
+    store.save_table(trust.score_trust(feats, models.trust_fit.model), "ml_trust_scores",
+                     bucket_by="hadm_id", buckets=buckets)
     tr = spark.table("ml_trust_scores")
     table = review.review_table(summary, tr, charts, top_n)
     reviewed = review.apply_reviewer(table, reviewer)

@@ -16,10 +16,18 @@ from pyspark.sql import functions as F
 from .schemas import RAW_SCHEMAS, conform
 
 
-def save_table(df: DataFrame, name: str, partition_by=None) -> None:
+def save_table(df: DataFrame, name: str, partition_by=None, bucket_by: str | None = None,
+               buckets: int | None = None) -> None:
+    """Overwrite a Parquet table.  With ``bucket_by``/``buckets``, tables
+    bucketed alike on the same key join without a shuffle."""
+    if bucket_by and buckets:
+        # one task per bucket (same hash as bucketing): one file per bucket
+        df = df.repartition(buckets, bucket_by)
     w = df.write.mode("overwrite").format("parquet")
     if partition_by:
         w = w.partitionBy(*partition_by)
+    if bucket_by and buckets:
+        w = w.bucketBy(buckets, bucket_by).sortBy(bucket_by)
     w.saveAsTable(name)
 
 

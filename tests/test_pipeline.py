@@ -25,3 +25,12 @@ def test_daily_run_end_to_end(spark):
     runs = store.recent_runs(spark, paths.runs)
     assert runs.count() == 2 and "roc_auc" in runs.columns
     assert out["mart_patient_summary"].where(F.col("raw_dq_score").isNull()).count() == 0
+    # bucketed alike on hadm_id: the dashboard join needs no shuffle
+    from carelens.operators import dashboard
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        board = dashboard.dashboard_summary(spark.table("mart_patient_summary"), spark.table("ml_trust_scores"))
+        plan = board._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
