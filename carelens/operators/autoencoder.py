@@ -164,6 +164,8 @@ class AutoencoderModel:
 
     def error_columns(self, df: DataFrame, cols) -> DataFrame:
         """Add reconstruction_error from the scaled columns ``cols``."""
+        from ..session import ship_package
+        ship_package(df.sparkSession)
         params = self.params
 
         @F.pandas_udf("double")
@@ -195,8 +197,9 @@ def fit_autoencoder(train: DataFrame, epochs: int = AE_EPOCHS, batch_size: int =
     It is checkpointed once to the shared checkpoint folder, so the epochs
     neither recompute it nor depend on an executor's memory.
     """
-    from ..session import checkpoint_dir
+    from ..session import checkpoint_dir, ship_package
     checkpoint_dir(train.sparkSession)
+    ship_package(train.sparkSession)
     if partitions is None:
         partitions = max(1, int(train.count() // 50_000) + 1)
     key = "rn" if "rn" in train.columns else cols[0]

@@ -163,7 +163,9 @@ def compiled_model(spark, model_path: str, model=None) -> dict:
 def explain_trust(features: DataFrame, model, model_path: str, digits: int | None = 4) -> DataFrame:
     """I11 + I12: score rows (rounded to one digit before the flag) and
     attach SHAP values as map<feature, value> and the base value."""
+    from ..session import ship_package
     spark = features.sparkSession
+    ship_package(spark)
     leaves = compiled_model(spark, model_path, model)
     scaled = model.transform(_filled(features))
     from pyspark.ml.functions import vector_to_array

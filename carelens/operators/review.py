@@ -118,6 +118,9 @@ def rule_reviewer(row: dict) -> str:
 def apply_reviewer(review: DataFrame, fn: Callable[[dict], str] = rule_reviewer) -> DataFrame:
     """K5: run ``fn`` on every review row on the executors.  An exception
     becomes 'Error: ...' in that row's output; the other rows are kept."""
+    from ..session import ship_package
+    ship_package(review.sparkSession)
+
     def run(batches):
         for pdf in batches:
             out = []

@@ -23,11 +23,32 @@ RUNTIME_CONF = {
 }
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``carelens`` importable by executor Python workers (pandas UDFs
+    and mapInPandas functions are pickled by module reference): zip the
+    package once per application and add it with addPyFile, as --py-files
+    would."""
+    import shutil
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="carelens-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "carelens"), "zip",
+                                  root_dir=os.path.dirname(pkg), base_dir=os.path.basename(pkg))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings (idempotent, cheap)."""
+    """Apply the runtime settings and ship the package (idempotent, cheap)."""
     for k, v in RUNTIME_CONF.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
+    ship_package(spark)
     return spark
 
 
