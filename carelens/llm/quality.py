@@ -46,6 +46,9 @@ FLOORS = (0.5, 0.06, 0.12, 0.4, 0.1)
 UNIT = 1024
 # Histogram cells for log2(1 + squared distance), per unit.
 CELLS = 256
+# Estimates take about 200 bytes a group; more than so many are not broadcast.
+BROADCAST_GROUPS = 50_000
+SALTS = 64
 PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
 
 
@@ -146,10 +149,21 @@ def _distance(v: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame:
     """Add ``distance``, the squared Mahalanobis distance under the group's estimate."""
     d = [F.col(f) - F.col(f"m{i}") for i, f in enumerate(FEATURES)]
     total = sum((F.col(f"v{i}{j}") * d[i] * d[j] * (1 if i == j else 2) for i, j in PAIRS), F.lit(0.0))
-    return v.join(params, "_g", how).withColumn("distance", total).drop(
+    return _attached(v, params, how).withColumn("distance", total).drop(
         *[f"m{i}" for i in range(len(FEATURES))], *[f"v{i}{j}" for i, j in PAIRS])
 
 
+def _attached(v: DataFrame, params: DataFrame, how: str) -> DataFrame:
+    """Rows with their group's estimate: broadcast while the (checkpointed)
+    estimates are known to be few, else joined on group and salt, so that a hot
+    group's rows meet in no single task."""
+    if params.count() <= BROADCAST_GROUPS:
+        return v.join(F.broadcast(params), "_g", how)
+    salted = v.withColumn("_salt", F.pmod(F.xxhash64(*FEATURES), F.lit(SALTS)))
+    return salted.join(params.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))),
+                       ["_g", "_salt"], how).drop("_salt")
+
+
 def _start(v: DataFrame) -> DataFrame:
     """Diagonal start: median and quartile range of every feature and group."""
     cells = (v.select("_g", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f).alias("x"))

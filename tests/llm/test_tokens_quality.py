@@ -73,3 +73,11 @@ def test_quality_of_awkward_and_empty_tables(spark):
     rows = awkward()
     assert quality.judge(docs(spark, rows)).count() == len(rows)
     assert quality.judge(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_salted_join_gives_the_same_verdicts(spark, monkeypatch):
+    rnd = random.Random(8)
+    table = docs(spark, [(i, prose(rnd, rnd.randint(40, 90)) + " #" * (i % 9 == 0) * 30, "en", f"s{i % 2}") for i in range(450)])
+    plain = sorted(map(tuple, quality.judge(table).collect()))
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", 0)
+    assert sorted(map(tuple, quality.judge(table).collect())) == plain
