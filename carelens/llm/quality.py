@@ -117,7 +117,7 @@ def _grouped(v: DataFrame) -> DataFrame:
         F.when(F.col("_n1") >= MIN_GROUP, F.to_json(F.array("_lang", "_source"))),
         F.when(F.col("_n2") >= MIN_GROUP, F.to_json(F.array("_lang"))), F.lit("[]")), lambda g: g.isNotNull())
     key = n1.join(n2, "_lang").select("_lang", "_source", levels.alias("_levels"))
-    return (v.join(key, ["_lang", "_source"], "left").drop("_lang", "_source")
+    return (_attached(v, cut(key), "left", ("_lang", "_source")).drop("_lang", "_source")
             .withColumn("_g", F.get("_levels", F.lit(0))))
 
 
@@ -153,15 +153,15 @@ def _distance(v: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame:
         *[f"m{i}" for i in range(len(FEATURES))], *[f"v{i}{j}" for i, j in PAIRS])
 
 
-def _attached(v: DataFrame, params: DataFrame, how: str) -> DataFrame:
-    """Rows with their group's estimate: broadcast while the (checkpointed)
-    estimates are known to be few, else joined on group and salt, so that a hot
-    group's rows meet in no single task."""
-    if params.count() <= BROADCAST_GROUPS:
-        return v.join(F.broadcast(params), "_g", how)
+def _attached(v: DataFrame, groups: DataFrame, how: str, on: tuple = ("_g",)) -> DataFrame:
+    """Rows with what ``groups`` (checkpointed, one row a group) has for them:
+    broadcast while the groups are known to be few, else joined on group and
+    salt, so that a hot group's rows meet in no single task."""
+    if groups.count() <= BROADCAST_GROUPS:
+        return v.join(F.broadcast(groups), [*on], how)
+    salt = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
     salted = v.withColumn("_salt", F.pmod(F.xxhash64(*FEATURES), F.lit(SALTS)))
-    return salted.join(params.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))),
-                       ["_g", "_salt"], how).drop("_salt")
+    return salted.join(groups.withColumn("_salt", salt), [*on, "_salt"], how).drop("_salt")
 
 
 def _start(v: DataFrame) -> DataFrame:

@@ -6,13 +6,21 @@ parameters.  ``ORACLE`` has DuckDB SQL where SQL can express the result.
 
 from __future__ import annotations
 
-from . import chat, quality, secrets, tokens
+from . import chat, decontaminate, quality, secrets, simhash, tokens
 from .common import table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
 
 
+def op1_simhash_dedup(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_decontaminate(spark, sf_dir):
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_secret_scan(spark, sf_dir):
     return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("found")
 
@@ -29,4 +37,49 @@ def op8_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES.update({f.__name__: f for f in (op3_secret_scan, op4_chat_format, op6_token_counts, op8_quality_rules)})
+QUERIES.update({f.__name__: f for f in (op1_simhash_dedup, op3_secret_scan, op4_chat_format, op5_decontaminate, op6_token_counts, op8_quality_rules)})
+
+ORACLE["op4_chat_format"] = r"""
+WITH given AS (
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM given
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(15 + length(role) + length(regexp_replace(text, '(\\*)(###|</turn>)', '\\\1\2', 'g'))) AS BIGINT)
+           AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+ORACLE["op5_decontaminate"] = r"""
+WITH words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), items AS (
+    SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+), windows AS (
+    SELECT DISTINCT item_id, len, array_to_string(w[i + 1 : i + len], ' ') AS win
+    FROM (SELECT item_id, w, least(13, len(w)) AS len, unnest(range(len(w) - least(13, len(w)) + 1)) AS i
+          FROM items WHERE len(w) > 0)
+), lens AS (SELECT DISTINCT len FROM windows),
+found AS (
+    SELECT d.doc_id, d.i, d.len, v.item_id
+    FROM (SELECT doc_id, len, i, array_to_string(w[i + 1 : i + len], ' ') AS win
+          FROM (SELECT doc_id, w, len, unnest(range(len(w) - len + 1)) AS i FROM words, lens WHERE len(w) >= len)) d
+    JOIN windows v ON v.win = d.win AND v.len = d.len
+), hit AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + len)) AS p FROM found) GROUP BY doc_id
+), named AS (
+    SELECT doc_id, count(DISTINCT item_id) AS n_items,
+           string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+    FROM found GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
