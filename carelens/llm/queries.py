@@ -6,7 +6,7 @@ parameters.  ``ORACLE`` has DuckDB SQL where SQL can express the result.
 
 from __future__ import annotations
 
-from . import chat, decontaminate, htmltext, quality, secrets, simhash, tokens
+from . import chat, decontaminate, htmltext, pieces, quality, secrets, simhash, tokens
 from .common import table
 
 QUERIES: dict = {}
@@ -37,11 +37,17 @@ def op8_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark, sf_dir):
+    return pieces.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_html_text(spark, sf_dir):
     return htmltext.extract_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES.update({f.__name__: f for f in (op1_simhash_dedup, op3_secret_scan, op4_chat_format, op5_decontaminate, op6_token_counts, op8_quality_rules, op10_html_text)})
+QUERIES.update({f.__name__: f for f in (
+    op1_simhash_dedup, op3_secret_scan, op4_chat_format, op5_decontaminate, op6_token_counts, op8_quality_rules,
+    op9_sentencepiece, op10_html_text)})
 
 ORACLE["op4_chat_format"] = r"""
 WITH given AS (
