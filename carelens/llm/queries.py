@@ -6,7 +6,7 @@ parameters.  ``ORACLE`` has DuckDB SQL where SQL can express the result.
 
 from __future__ import annotations
 
-from . import chat, decontaminate, htmltext, pieces, quality, secrets, simhash, tokens
+from . import chat, decontaminate, htmltext, language, pieces, quality, secrets, simhash, tokens
 from .common import table
 
 QUERIES: dict = {}
@@ -33,6 +33,10 @@ def op6_token_counts(spark, sf_dir):
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -46,8 +50,8 @@ def op10_html_text(spark, sf_dir):
 
 
 QUERIES.update({f.__name__: f for f in (
-    op1_simhash_dedup, op3_secret_scan, op4_chat_format, op5_decontaminate, op6_token_counts, op8_quality_rules,
-    op9_sentencepiece, op10_html_text)})
+    op1_simhash_dedup, op3_secret_scan, op4_chat_format, op5_decontaminate, op6_token_counts, op7_language_id,
+    op8_quality_rules, op9_sentencepiece, op10_html_text)})
 
 ORACLE["op4_chat_format"] = r"""
 WITH given AS (
