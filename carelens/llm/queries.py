@@ -6,7 +6,7 @@ parameters.  ``ORACLE`` has DuckDB SQL where SQL can express the result.
 
 from __future__ import annotations
 
-from . import chat, decontaminate, htmltext, language, pieces, quality, secrets, simhash, tokens
+from . import chat, decontaminate, htmltext, language, pieces, quality, repeats, secrets, simhash, tokens
 from .common import table
 
 QUERIES: dict = {}
@@ -17,6 +17,10 @@ def op1_simhash_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_decontaminate(spark, sf_dir):
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,7 +54,7 @@ def op10_html_text(spark, sf_dir):
 
 
 QUERIES.update({f.__name__: f for f in (
-    op1_simhash_dedup, op3_secret_scan, op4_chat_format, op5_decontaminate, op6_token_counts, op7_language_id,
+    op1_simhash_dedup, op2_suffix_dedup, op3_secret_scan, op4_chat_format, op5_decontaminate, op6_token_counts, op7_language_id,
     op8_quality_rules, op9_sentencepiece, op10_html_text)})
 
 ORACLE["op4_chat_format"] = r"""
