@@ -6,7 +6,9 @@ a LENGTH-byte string the one with the smallest hash is its anchor, so two equal
 strings have their anchors at the same offset, and only suffixes that start at
 anchors (about one position in 35) need sorting.
 
-Map tasks sort the suffixes of some megabytes of text per bucket of anchor
+A first exchange of anchor hashes (a few bytes each) drops anchors that occur
+once: a prefix that is unique distinguishes its suffix, which needs no exchange.
+Map tasks sort the other suffixes of some megabytes of text per bucket of anchor
 strings, front-code each sorted run (common prefix with its predecessor, then
 the rest) and exchange it.  One task per bucket merges its runs with a loser tree
 that carries common-prefix lengths: of two suffixes with different lengths in
@@ -36,10 +38,12 @@ REACH = LENGTH - GRAM  # farthest start of a string before its anchor
 # Text per sorted run and, on average, per bucket.
 RUN_BYTES = 8 << 20
 BLOCK = 1 << 22  # positions scanned at once in a very long text
+# Text whose anchor hashes are compared by one task, on average.
+FILTER_BYTES = 64 << 20
 MANY = 2048  # occurrences from which strings are compared as arrays
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _LOW = np.uint64((1 << 24) - 1)
-LAST_ID = (1 << 63) - 1  # stands for a null doc_id in the order of documents
+LAST_ID = (1 << 63) - 1  # stands for a null doc_id; no document may have it
 
 
 def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -237,11 +241,88 @@ def merge_bucket(packed: list[bytes]) -> list[tuple]:
     return out
 
 
+def _pack_hashes(docs: list, counts: list, hashes: np.ndarray, buckets: int):
+    """(bucket, packed) of one run's anchors: hashes sorted, with the document and
+    the number of the anchor within it."""
+    doc = np.repeat(np.arange(len(docs), dtype=np.uint32), counts)
+    nth = (np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint32)
+    own = (hashes >> np.uint64(33)) % np.uint64(buckets)
+    short = hashes.astype(np.uint32)
+    order = np.lexsort((short, own))
+    edges = np.searchsorted(own[order], np.arange(buckets + 1, dtype=np.uint64))
+    table = np.array(docs, np.int64).reshape(-1, 2)
+    for k in range(buckets):
+        at = order[edges[k]:edges[k + 1]]
+        if len(at):
+            used, local = np.unique(doc[at], return_inverse=True)
+            raw = [np.array([len(at), len(used)], np.int64), table[used], np.diff(short[at], prepend=np.uint32(0)),
+                   local.astype(np.uint32), nth[at]]
+            yield k, zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(x).tobytes() for x in raw))
+
+
+def _repeated(packed: list[bytes]) -> list[tuple]:
+    """(doc, hash, numbers of its repeated anchors) within one bucket."""
+    tables, hashes, local, nth = [], [], [], []
+    for p in packed:
+        raw = zstandard.ZstdDecompressor().decompress(p)
+        n, d = np.frombuffer(raw, np.int64, 2).tolist()
+        local.append(np.frombuffer(raw, np.uint32, n, 16 + 16 * d + 4 * n) + sum(map(len, tables)))
+        tables.append(np.frombuffer(raw, np.int64, 2 * d, 16).reshape(-1, 2))
+        hashes.append(np.cumsum(np.frombuffer(raw, np.uint32, n, 16 + 16 * d), dtype=np.uint32))
+        nth.append(np.frombuffer(raw, np.uint32, n, 16 + 16 * d + 8 * n))
+    h, doc, nth, table = np.concatenate(hashes), np.concatenate(local), np.concatenate(nth), np.concatenate(tables)
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    hit = order[np.r_[same, False] | np.r_[False, same]]
+    hit = hit[np.argsort(doc[hit], kind="stable")]
+    cuts = np.flatnonzero(np.diff(doc[hit])) + 1
+    return [(*table[doc[part[0]]].tolist(), nth[part].astype(np.uint32).tobytes()) for part in np.split(hit, cuts) if len(part)]
+
+
+def repeated_anchors(src: DataFrame, total: int) -> DataFrame:
+    """(doc, hash, at): numbers (uint32) of the anchors whose hash occurs twice or
+    more in the corpus.  A few others pass (hashes are cut short); none is missed."""
+    buckets = int(max(4, -(-total // FILTER_BYTES)))
+
+    def pack(batches):
+        docs, counts, hashes, size = [], [], [], 0
+
+        def flush():
+            rows = list(_pack_hashes(docs, counts, np.concatenate(hashes), buckets))
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([r for _, r in rows], pa.binary())],
+                                              ["bucket", "run"])
+
+        for b in batches:
+            for doc, text_hash, text in zip(*(b.column(i) for i in range(3))):
+                raw = text.as_py().encode("utf-8")
+                _, h = anchors(raw)
+                if len(h):
+                    docs.append((doc.as_py(), text_hash.as_py()))
+                    counts.append(len(h))
+                    hashes.append(h)
+                    size += len(raw)
+                if size >= 2 * RUN_BYTES:
+                    yield flush()
+                    docs, counts, hashes, size = [], [], [], 0
+        if docs:
+            yield flush()
+
+    def find(group: pa.Table) -> pa.Table:
+        rows = _repeated([x.as_py() for x in group.column("run")])
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([], [], []), (pa.int64(), pa.int64(), pa.binary()))],
+                        ["doc", "hash", "at"])
+
+    return (src.mapInArrow(pack, "bucket bigint, run binary").repartition(buckets, "bucket").groupBy("bucket")
+            .applyInArrow(find, "doc bigint, hash bigint, at binary"))
+
+
 def repeated_intervals(docs: DataFrame) -> DataFrame:
     """(doc, hash, first, last): intervals of bytes to remove, possibly overlapping."""
     src = _identified(docs)
     total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(4, -(-total // RUN_BYTES))
+    buckets = int(max(4, -(-total // RUN_BYTES)))
+    # One document's anchors are bounded by its text.
+    wanted = repeated_anchors(src, total).groupBy("doc", "hash").agg(F.collect_list("at").alias("at"))
 
     def sort_runs(batches):
         held: dict[int, list] = {}
@@ -254,9 +335,11 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
                                               ["bucket", "run"])
 
         for b in batches:
-            for doc, text_hash, text in zip(*(b.column(i) for i in range(3))):
+            for doc, text_hash, text, at in zip(*(b.column(i) for i in range(4))):
                 raw, doc, text_hash = text.as_py().encode("utf-8"), doc.as_py(), text_hash.as_py()
                 pos, h = anchors(raw)
+                some = np.unique(np.frombuffer(b"".join(at.as_py()), np.uint32))
+                pos, h = pos[some], h[some]
                 own = ((h * _MIX[2]) >> np.uint64(33)).astype(np.int64) % buckets
                 for p, k in zip(pos.tolist(), own.tolist()):
                     held.setdefault(k, []).append((raw[p:p + LENGTH], raw[max(0, p - REACH):p], doc, text_hash, p))
@@ -272,13 +355,14 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
         return pa.table([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ([], [], [], []))],
                         ["doc", "hash", "first", "last"])
 
-    return (src.mapInArrow(sort_runs, "bucket bigint, run binary").repartition(int(buckets), "bucket").groupBy("bucket")
+    return (src.join(wanted, ["doc", "hash"]).select("doc", "hash", "text", "at")
+            .mapInArrow(sort_runs, "bucket bigint, run binary").repartition(buckets, "bucket").groupBy("bucket")
             .applyInArrow(merge, "doc bigint, hash bigint, first bigint, last bigint"))
 
 
 def _identified(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"), F.xxhash64(text).alias("hash"), text.alias("text"), "doc_id")
+    return docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"), F.xxhash64(text).alias("hash"), text.alias("text"))
 
 
 def without_intervals(raw: bytes, intervals) -> tuple[list[tuple[int, int]], list[bytes]]:
@@ -303,7 +387,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     found = repeated_intervals(docs).groupBy("doc", "hash").agg(
         F.collect_list(F.struct("first", "last")).alias("spans"))  # bounded by the document's length
-    rows = _identified(docs).join(found, ["doc", "hash"], "left").select("doc_id", "spans", "text")
+    # The same exchange of the texts as for the suffixes: Spark reuses it.
+    rows = _identified(docs).join(found, ["doc", "hash"], "left").select(
+        F.nullif("doc", F.lit(LAST_ID)).alias("doc_id"), "spans", "text")
 
     def cut_text(batches):
         for b in batches:

@@ -62,7 +62,9 @@ def test_removed_bytes_equal_brute_force(spark, monkeypatch, run_bytes, many):
         assert flags == want[i, t or ""], i
 
 
-def test_rows_equal_brute_force(spark):
+@pytest.mark.parametrize("run_bytes", [8 << 20, 1500])
+def test_rows_equal_brute_force(spark, monkeypatch, run_bytes):
+    monkeypatch.setattr(repeats, "RUN_BYTES", run_bytes)
     rnd = random.Random(4)
     rows = [(rnd.randrange(10**6), t) for t in awkward_texts(rnd)[:90]]
     rows += [(i, t) for i, t, *_ in awkward() if not t or len(t) < 9999] + [rows[0], (None, rows[1][1])]
