@@ -23,14 +23,12 @@ def main(argv=None) -> None:
     p.add_argument("--root", help="shared folder for models and the run log")
     p.add_argument("--train", action="store_true")
     p.add_argument("--trees", type=int, default=GBT_TREES)
-    p.add_argument("--epochs", type=int, default=None)
     p.add_argument("--top-n", type=int, default=REVIEW_TOP_N)
     p.add_argument("--local", action="store_true", help="local session (tests, laptops)")
     a = p.parse_args(argv)
 
     from pyspark.sql import SparkSession
 
-    from .operators import anomaly, staging
     from .operators.trust import TrustFit
     from .plans import pipeline
     from .session import local_session
@@ -39,19 +37,19 @@ def main(argv=None) -> None:
     spark = local_session() if a.local else SparkSession.builder.appName("carelens").getOrCreate()
     root = a.root or pipeline.default_root(spark)
     paths = pipeline.Paths(root)
-    raw = store.read_raw(spark) if a.raw_tables else fixture_raw(spark, a.sf_dir)
+    raw = None if a.raw_tables else fixture_raw(spark, a.sf_dir)  # None: the stored tables
     models = None
     if a.train:
-        store.load_raw_tables(spark, raw.as_dict())
+        if raw is not None:
+            store.load_raw_tables(spark, raw.as_dict())
+            raw = None
         t = pipeline.build_marts(spark, store.read_raw(spark))
-        models = pipeline.train(spark, t["stg_chartevents"], t["mart_patient_summary"], paths,
-                                trees=a.trees, epochs=a.epochs)
+        models = pipeline.train(spark, t["mart_icu_vitals"], t["mart_patient_summary"], paths,
+                                trees=a.trees)
     else:
-        charts = staging.stage_chartevents(raw.chartevents)
         ae = store.load_anomaly_model(spark, paths.anomaly_model)
         fit = TrustFit(store.load_trust_model(paths.trust_model), {}, 0, 0)
-        models = pipeline.Models(ae, anomaly.column_medians(anomaly.scoring_pivot(charts)), fit,
-                                 paths.trust_model)
+        models = pipeline.Models(ae, {}, fit, paths.trust_model)
     out = pipeline.run_pipeline(spark, raw, root=root, models=models, top_n=a.top_n)
     print(json.dumps({
         "admissions": out["mart_patient_summary"].count(),

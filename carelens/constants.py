@@ -35,8 +35,6 @@ ACCEPTED_ADMISSION_TYPE = ["EMERGENCY", "ELECTIVE", "URGENT"]
 
 # Clean-reading filter: readings between lo and hi * 1.5.
 CLEAN_UPPER_STRETCH = 1.5
-# First N clean readings per vital for the reconstruction model.
-TRAIN_CAP = 5000
 # Anomaly threshold percentile of training errors.
 ANOMALY_PERCENTILE = 0.95
 
@@ -61,9 +59,8 @@ GBT_TREES, GBT_DEPTH, GBT_RATE, GBT_SUBSAMPLE, SEED = 200, 4, 0.05, 0.8, 42
 # Hold-out share of the trust split (1 in 5).
 TEST_BUCKETS = 5
 
-# Reconstruction network 6-32-16-8-16-32-6; Adam 1e-3, decay 1e-5, 50 epochs, batch 256.
-AE_LAYERS = [6, 32, 16, 8, 16, 32, 6]
-AE_EPOCHS, AE_BATCH, AE_LR, AE_DECAY = 50, 256, 1e-3, 1e-5
+# Components of the reconstruction model (six vitals).
+PCA_COMPONENTS = 3
 
 # Review: least trusted flagged admissions, and readings shown per admission.
 REVIEW_TOP_N = 10

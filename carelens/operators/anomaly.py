@@ -1,9 +1,10 @@
-"""Anomaly scoring of time points.
+"""Anomaly scoring of time points (B6, D2, D10-D14, I1, I2, I4-I6; E1 and E2 re-aimed: every time point with a
+clean reading trains the model, in place of the first readings of each vital).
 
 The model interface is ``fit(train) -> model`` and
 ``model.error_columns(df, scaled_columns)``, which adds reconstruction_error.
 ``MeanModel`` reconstructs every vital by its training mean (SQL-expressible,
-used by the oracle checks); ``autoencoder.AutoencoderModel`` is the network.
+used by the oracle checks); ``reconstruct.PcaModel`` is the production model.
 """
 
 from __future__ import annotations
@@ -12,13 +13,12 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import add
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import (ANOMALY_PERCENTILE, CLEAN_UPPER_STRETCH, TRAIN_CAP,
+from ..constants import (ANOMALY_PERCENTILE, CLEAN_UPPER_STRETCH,
                          VITAL_RANGES, VITALS)
 from ..functions import clip01, scale_to_range
-from .marts import pivot_vitals
 
 # Model parameters are rounded so that two engines summing in different
 # orders still hold the same numbers.
@@ -45,59 +45,29 @@ def clean_readings(charts: DataFrame) -> DataFrame:
             .select("hadm_id", "subject_id", "charttime", "vital_name", "valuenum"))
 
 
-def first_per_vital(clean: DataFrame, cap: int = TRAIN_CAP, fan_in: int | None = None) -> DataFrame:
-    """The first ``cap`` clean readings of each vital, ordered by
-    (hadm_id, charttime, valuenum); adds ``rn`` (1-based).
-
-    There are only six groups, so a plain window would send every reading of
-    a vital to one task.  Instead a two-level top-k: level 1 ranks within
-    (vital, map partition mod fan_in) - the window group limit keeps at most
-    ``cap`` rows per vital in each map task before anything is shuffled, and
-    the level-1 reducers cut again; level 2 ranks the at most
-    fan_in * cap survivors per vital.  Exact, because the top-k of a
-    union is the top-k of the parts' top-k.  With M input partitions the
-    default fan_in is about sqrt(M), which balances the two levels: a level-1
-    reducer merges about M / fan_in, the level-2 task fan_in, lists of ``cap``.
-    """
-    if fan_in is None:
-        import math
-        fan_in = max(16, math.isqrt(max(clean.rdd.getNumPartitions(), 1)) + 1)
-    order = [F.col("hadm_id"), F.col("charttime"), F.col("valuenum")]
-    lvl1 = (clean.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(fan_in)))
-            .withColumn("_rn1", F.row_number().over(
-                Window.partitionBy("vital_name", "_part").orderBy(*order)))
-            .where(F.col("_rn1") <= cap))
-    return (lvl1.withColumn("rn", F.row_number().over(Window.partitionBy("vital_name").orderBy(*order)))
-            .where(F.col("rn") <= cap)
-            .select("vital_name", "hadm_id", "charttime", "valuenum", "rn"))
-
-
 def scale_vitals(df: DataFrame, keep=()) -> DataFrame:
     """Min-max scale each vital to its fixed range and clip to [0, 1]."""
     return df.select(*keep, *[clip01(scale_to_range(v, *VITAL_RANGES[v])).alias(v) for v in VITALS])
 
 
-def train_matrix(charts: DataFrame, cap: int = TRAIN_CAP) -> DataFrame:
-    """I6 = E1 + E2 + I1: positional zip of the six per-vital lists, cut to
-    the shortest (D10), scaled.  Row ``rn`` exists for every vital exactly
-    when rn <= the shortest list, so the cut is "all six present".
-    Output: rn, six scaled vitals (at most ``cap`` rows)."""
-    top = first_per_vital(clean_readings(charts), cap)
-    wide = top.groupBy("rn").agg(*[
-        F.max(F.when(F.col("vital_name") == v, F.col("valuenum"))).alias(v) for v in VITALS])
-    wide = wide.where(reduce(lambda a, b: a & b, [F.col(v).isNotNull() for v in VITALS]))
-    return scale_vitals(wide, keep=["rn"])
+def train_matrix(pivot: DataFrame, medians: dict) -> DataFrame:
+    """Every time point with a clean reading; unclean or missing vitals are
+    filled with the medians, all are scaled.  No shuffle beyond the pivot."""
+    clean = {v: F.when(F.col(v).between(VITAL_RANGES[v][0], VITAL_RANGES[v][1] * CLEAN_UPPER_STRETCH), F.col(v))
+             for v in VITALS}
+    rows = pivot.select("hadm_id", "charttime", *[e.alias(v) for v, e in clean.items()])
+    some = reduce(lambda x, y: x | y, [F.col(v).isNotNull() for v in VITALS])
+    return scale_vitals(impute(rows.where(some), medians), keep=["hadm_id", "charttime"])
 
 
-def shortest_column(charts: DataFrame, cap: int = TRAIN_CAP) -> DataFrame:
-    """Per-vital clean counts (capped) and the shortest of them."""
-    counts = clean_readings(charts).groupBy("vital_name").count()
-    return counts.agg(F.min(F.least(F.col("count"), F.lit(cap))).alias("n_rows"))
+def shortest_column(charts: DataFrame) -> DataFrame:
+    """The smallest count of clean readings of a vital."""
+    return clean_readings(charts).groupBy("vital_name").count().agg(F.min("count").alias("n_rows"))
 
 
-def scoring_pivot(charts: DataFrame) -> DataFrame:
-    """Wide rows by (hadm_id, charttime) - the mart's pivot without subject_id."""
-    return pivot_vitals(charts, keys=("hadm_id", "charttime"))
+def scoring_pivot(vitals: DataFrame) -> DataFrame:
+    """Wide rows by (hadm_id, charttime), from the mart's wide rows."""
+    return vitals.groupBy("hadm_id", "charttime").agg(*[F.max(v).alias(v) for v in VITALS])
 
 
 def median_exprs(relative_error: float | None = None):
@@ -169,14 +139,14 @@ def flag(errors: DataFrame, threshold: float) -> DataFrame:
         "anomaly_flag", F.when(e.isNotNull() & ~F.isnan(e) & (e > F.lit(threshold)), 1).otherwise(0))
 
 
-def score_anomalies(charts: DataFrame, model, medians: dict | None = None) -> DataFrame:
+def score_anomalies(vitals: DataFrame, model, medians: dict | None = None) -> DataFrame:
     """D2 -> I2 -> I1 -> I4 -> I5: the ml_anomaly_scores table.
 
     Columns: hadm_id, charttime, six un-imputed vitals, reconstruction_error,
     anomaly_flag.  One lazy plan; the imputer and model parameters are
     literals or a broadcast, so scoring adds no shuffle beyond the pivot.
     """
-    pivot = scoring_pivot(charts)
+    pivot = scoring_pivot(vitals)
     if medians is None:
         medians = column_medians(pivot)
     scaled_cols = [f"_s_{v}" for v in VITALS]

@@ -154,7 +154,8 @@ _COMPILED: dict = {}
 
 def compiled_model(spark, model_path: str, model=None) -> dict:
     """Tree tables of a saved model, compiled once per path and application."""
-    key = (spark.sparkContext.applicationId, model_path)
+    # A refit saved to the same path is another model.
+    key = (spark.sparkContext.applicationId, model_path, getattr(model, "uid", None))
     if key not in _COMPILED:
         _COMPILED[key] = compile_model(leaf_tables(compile_leaves(*tree_table(spark, model_path, model))))
     return _COMPILED[key]

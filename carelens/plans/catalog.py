@@ -118,9 +118,13 @@ class ScoreCtx(Ctx):
     """Adds the fixed scores: the mean reconstruction model and
     trust_score = raw_dq_score."""
 
-    def __init__(self, spark, sf_dir):
-        super().__init__(spark, sf_dir)
-        self.pivot = anomaly.scoring_pivot(self.charts)
+    @property
+    def pivot(self):
+        return anomaly.scoring_pivot(self.vitals_t)
+
+    @property
+    def train(self):
+        return anomaly.train_matrix(self.pivot, self.medians)
 
     @property
     def medians(self):
@@ -134,12 +138,12 @@ class ScoreCtx(Ctx):
     def mean_model(self):
         k = ("mean_model",) + self.key
         if k not in _FITTED:
-            _FITTED[k] = anomaly.MeanModel.fit(anomaly.train_matrix(self.charts))
+            _FITTED[k] = anomaly.MeanModel.fit(self.train)
         return _FITTED[k]
 
     @property
     def scores(self):
-        return anomaly.score_anomalies(self.charts, self.mean_model, self.medians)
+        return anomaly.score_anomalies(self.vitals_t, self.mean_model, self.medians)
 
     @property
     def trust(self):
@@ -177,9 +181,9 @@ QUERIES.update({
         for e, v in zip(anomaly.median_exprs(), anomaly.VITALS)])),
     "imputed_vitals": _sc(lambda c: anomaly.impute(c.pivot, c.medians)),
     "shortest_column": _sc(lambda c: anomaly.shortest_column(c.charts)),
-    "train_matrix": _sc(lambda c: anomaly.train_matrix(c.charts)),
+    "train_matrix": _sc(lambda c: c.train),
     "anomaly_threshold": _sc(lambda c: _rounded(anomaly.threshold_frame(
-        anomaly.train_matrix(c.charts), c.mean_model), ["threshold", "mean_error"], 9)),
+        c.train, c.mean_model), ["threshold", "mean_error"], 9)),
     "anomaly_flags_mean": _sc(lambda c: c.scores),
     "anomaly_rollup": _sc(lambda c: _rounded(anomaly.anomaly_rollup(c.scores), ["avg_recon_error"])),
     "scoring_summary": _sc(lambda c: _rounded(anomaly.scoring_summary(c.scores), ["flagged_share"])),
@@ -228,12 +232,12 @@ class ModelCtx(ScoreCtx):
         key = (spark.sparkContext.applicationId, sf_dir)
         if key not in _MODELS:
             root = _os.path.join(default_root(spark), _uuid.uuid4().hex[:12])
-            _MODELS[key] = train(spark, self.charts, self.summary_t, Paths(root))
+            _MODELS[key] = train(spark, self.vitals_t, self.summary_t, Paths(root))
         self.models = _MODELS[key]
 
     @property
     def ae_scores(self):
-        return anomaly.score_anomalies(self.charts, self.models.anomaly, self.models.medians)
+        return anomaly.score_anomalies(self.vitals_t, self.models.anomaly, self.models.medians)
 
     @property
     def features(self):

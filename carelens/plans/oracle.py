@@ -181,26 +181,13 @@ pivot_scoring AS (
          max(CASE WHEN vital_name = 'temperature_c' THEN valuenum END) AS temperature_c,
          max(CASE WHEN vital_name = 'respiratory_rate' THEN valuenum END) AS respiratory_rate
   FROM stg_chartevents GROUP BY hadm_id, charttime),
-ranked AS (
-  SELECT vital_name, valuenum,
-         row_number() OVER (PARTITION BY vital_name ORDER BY hadm_id, charttime, valuenum) AS rn
-  FROM clean),
-top_wide AS (
-  SELECT rn,
-         max(CASE WHEN vital_name = 'heart_rate' THEN valuenum END) AS heart_rate,
-         max(CASE WHEN vital_name = 'systolic_bp' THEN valuenum END) AS systolic_bp,
-         max(CASE WHEN vital_name = 'diastolic_bp' THEN valuenum END) AS diastolic_bp,
-         max(CASE WHEN vital_name = 'spo2' THEN valuenum END) AS spo2,
-         max(CASE WHEN vital_name = 'temperature_c' THEN valuenum END) AS temperature_c,
-         max(CASE WHEN vital_name = 'respiratory_rate' THEN valuenum END) AS respiratory_rate
-  FROM ranked WHERE rn <= 5000 GROUP BY rn),
+medians AS (SELECT {median_cols} FROM pivot_scoring),
+clean_wide AS (SELECT hadm_id, charttime, {clean_cols} FROM pivot_scoring),
 train_matrix AS (
-  SELECT cast(rn AS integer) AS rn, {scaled_train}
-  FROM top_wide WHERE {all_present}),
+  SELECT c.hadm_id, c.charttime, {scaled_train} FROM clean_wide c, medians m WHERE {any_present}),
 means AS (SELECT {mean_cols} FROM train_matrix),
 train_err AS (SELECT {err_train} AS e FROM train_matrix, means),
 thr AS (SELECT quantile_cont(e, 0.95) AS threshold, avg(e) AS mean_error FROM train_err),
-medians AS (SELECT {median_cols} FROM pivot_scoring),
 imputed AS (
   SELECT p.hadm_id, p.charttime, {imputed_cols} FROM pivot_scoring p, medians m),
 scaled_imp AS (
@@ -243,8 +230,10 @@ def _err(prefix: str, mean_prefix: str) -> str:
 
 
 SCORE = SCORE.format(
-    scaled_train=", ".join(f"{_scale(v, v)} AS {v}" for v in VITALS),
-    all_present=" AND ".join(f"{v} IS NOT NULL" for v in VITALS),
+    clean_cols=", ".join(f"CASE WHEN {v} BETWEEN {RANGES[v][0]!r} AND {RANGES[v][1] * 1.5!r} THEN {v} END AS {v}"
+                         for v in VITALS),
+    scaled_train=", ".join(f"{_scale(f'coalesce(c.{v}, m.{v})', v)} AS {v}" for v in VITALS),
+    any_present="(" + " OR ".join(f"c.{v} IS NOT NULL" for v in VITALS) + ")",
     mean_cols=", ".join(f"round(avg({v}), 9) AS m_{v}" for v in VITALS),
     err_train=_err("", "m_"),
     median_cols=", ".join(f"round(median({v}), 9) AS {v}" for v in VITALS),
@@ -390,7 +379,7 @@ ORACLE.update({
                         + ", ".join(f"{_scale(v, v)} AS {v}" for v in VITALS) + " FROM pivot_scoring"),
     "column_medians": sq("SELECT * FROM medians"),
     "imputed_vitals": sq("SELECT * FROM imputed"),
-    "shortest_column": sq("SELECT min(least(n, 5000)) AS n_rows FROM "
+    "shortest_column": sq("SELECT min(n) AS n_rows FROM "
                           "(SELECT vital_name, count(*) AS n FROM clean GROUP BY vital_name) c"),
     "train_matrix": sq("SELECT * FROM train_matrix"),
     "anomaly_threshold": sq("SELECT round(threshold, 9) AS threshold, round(mean_error, 9) AS mean_error FROM thr"),

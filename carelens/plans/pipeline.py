@@ -17,8 +17,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..constants import GBT_TREES, REVIEW_TOP_N
-from ..operators import anomaly, autoencoder, checks, explain, review, staging, trust
+from ..constants import GBT_TREES, PCA_COMPONENTS, REVIEW_TOP_N
+from ..operators import anomaly, checks, explain, reconstruct, review, staging, trust
 from ..operators import marts as M
 from ..session import checkpoint_dir, prepare
 from ..sources import store
@@ -73,25 +73,25 @@ def build_marts(spark: SparkSession, raw, buckets: int | None = ADMISSION_BUCKET
     return {**stg, "mart_icu_vitals": vitals, "mart_patient_summary": summary}
 
 
-def train(spark: SparkSession, charts: DataFrame, summary: DataFrame, paths: Paths,
-          trees: int = GBT_TREES, epochs: int | None = None) -> Models:
+def train(spark: SparkSession, vitals: DataFrame, summary: DataFrame, paths: Paths,
+          trees: int = GBT_TREES) -> Models:
     """Fit the reconstruction model (I3), then the trust model (I9) on
     features that include its scores; save both and log the runs."""
     import time
     prepare(spark)
-    kw = {} if epochs is None else {"epochs": epochs}
     t0 = time.time()
-    ae = autoencoder.fit_autoencoder(anomaly.train_matrix(charts), **kw)
+    pivot = anomaly.scoring_pivot(vitals)
+    medians = anomaly.column_medians(pivot)
+    ae = reconstruct.PcaModel.fit(anomaly.train_matrix(pivot, medians))
     t1 = time.time()
     store.save_anomaly_model(spark, ae, paths.anomaly_model)
-    store.log_run(spark, paths.runs, f"autoencoder-train-{uuid.uuid4().hex[:8]}",
-                  {"train_loss": ae.losses[-1], "anomaly_threshold_p95": ae.threshold,
-                   "mean_recon_error": ae.mean_error}, step=len(ae.losses))
-    medians = anomaly.column_medians(anomaly.scoring_pivot(charts))
+    store.log_run(spark, paths.runs, f"reconstruction-train-{uuid.uuid4().hex[:8]}",
+                  {"train_loss": ae.mean_error, "anomaly_threshold_p95": ae.threshold,
+                   "mean_recon_error": ae.mean_error}, params={"components": PCA_COMPONENTS})
     # Score once into a file the trust model then reads (the reference trains
     # the trust model on the stored anomaly scores).
     scored = os.path.join(paths.root, "train_anomaly_scores")
-    anomaly.score_anomalies(charts, ae, medians).write.mode("overwrite").parquet(scored)
+    anomaly.score_anomalies(vitals, ae, medians).write.mode("overwrite").parquet(scored)
     feats = trust.trust_features(summary, spark.read.parquet(scored))
     t2 = time.time()
     fit = trust.fit_trust(feats, trees=trees)
@@ -100,17 +100,20 @@ def train(spark: SparkSession, charts: DataFrame, summary: DataFrame, paths: Pat
     store.log_run(spark, paths.runs, f"trust-scorer-train-{uuid.uuid4().hex[:8]}", fit.metrics,
                   params={"n_estimators": trees})
     return Models(ae, medians, fit, paths.trust_model, fit.metrics,
-                  {"fit_autoencoder": round(t1 - t0, 3), "score_for_training": round(t2 - t1, 3),
+                  {"fit_reconstruction": round(t1 - t0, 3), "score_for_training": round(t2 - t1, 3),
                    "fit_trust": round(t3 - t2, 3)})
 
 
 def run_pipeline(spark: SparkSession, raw, root: str | None = None, models: Models | None = None,
                  top_n: int = REVIEW_TOP_N, reviewer=review.rule_reviewer,
                  buckets: int | None = ADMISSION_BUCKETS) -> dict[str, DataFrame]:
-    """The daily run.  Raises checks.CheckFailed when a column test fails."""
+    """The daily run.  Raises checks.CheckFailed when a column test fails.
+    ``raw`` None scores the raw tables already stored; models without an
+    anomaly model score trust without anomaly features."""
     prepare(spark)
     paths = Paths(root or default_root(spark))
-    store.load_raw_tables(spark, raw.as_dict())
+    if raw is not None:
+        store.load_raw_tables(spark, raw.as_dict())
     t = build_marts(spark, store.read_raw(spark), buckets)
     results = checks.run_checks({k: t[k] for k in ("stg_patients", "stg_admissions", "stg_chartevents",
                                                    "stg_diagnoses_icd", "mart_icu_vitals",
@@ -118,9 +121,12 @@ def run_pipeline(spark: SparkSession, raw, root: str | None = None, models: Mode
     checks.gate(results)
     charts, summary = t["stg_chartevents"], t["mart_patient_summary"]
     if models is None:
-        models = train(spark, charts, summary, paths)
-    store.save_table(anomaly.score_anomalies(charts, models.anomaly, models.medians), "ml_anomaly_scores")
-    scores = spark.table("ml_anomaly_scores") if store.table_exists(spark, "ml_anomaly_scores") else None
+        models = train(spark, t["mart_icu_vitals"], summary, paths)
+    scores = None
+    if models.anomaly is not None:
+        # Missing vitals take the medians of the rows being scored.
+        store.save_table(anomaly.score_anomalies(t["mart_icu_vitals"], models.anomaly), "ml_anomaly_scores")
+        scores = spark.table("ml_anomaly_scores")
     feats = trust.trust_features(summary, scores)
     store.save_table(trust.score_trust(feats, models.trust_fit.model), "ml_trust_scores",
                      bucket_by="hadm_id", buckets=buckets)

@@ -7,16 +7,11 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-from .constants import TRAIN_CAP
-
 # SQL settings the operators need; applied to any session handed to us.
 RUNTIME_CONF = {
     # Timestamps are wall-clock (naive) in the source data; hour arithmetic
     # must not move with a local time zone.
     "spark.sql.session.timeZone": "UTC",
-    # Lets Catalyst cut row_number() <= k per map task before the shuffle
-    # (window group limit) for k up to the training cap.
-    "spark.sql.optimizer.windowGroupLimitThreshold": str(max(TRAIN_CAP, 1000)),
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -69,9 +69,9 @@ def save_anomaly_model(spark: SparkSession, model, path: str) -> None:
 
 
 def load_anomaly_model(spark: SparkSession, path: str):
-    from ..operators.autoencoder import AutoencoderModel
+    from ..operators.reconstruct import PcaModel
     row = spark.read.parquet(path).first()
-    return AutoencoderModel.from_bytes(bytes(row["blob"]))
+    return PcaModel.from_bytes(bytes(row["blob"]))
 
 
 # --- run log -------------------------------------------------------------------

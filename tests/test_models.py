@@ -6,76 +6,38 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from carelens.operators import anomaly, autoencoder as A, checks, explain, review, trust
+from carelens.operators import anomaly, checks, explain, reconstruct, review, trust
 from carelens.plans.catalog import ScoreCtx
 from carelens.sources import store
 from conftest import SF_SMALL
 
 
-def test_network_shapes_and_error():
-    p = A.init_params(0)
-    x = np.random.default_rng(1).random((16, 6))
-    out, _, _ = A.forward(p, x, train=True)
-    assert out.shape == (16, 6)
-    e = A.recon_error(p, np.random.default_rng(2).random((32, 6)))
-    assert e.shape == (32,) and (e >= 0).all()
-
-
-def _loss(p, x):
-    out, cache, _ = A.forward(p, x, True)
-    return A.backward(p, cache, out, x)[0]
-
-
-def test_gradients_match_finite_differences():
-    p = A.init_params(3)
-    x = np.random.default_rng(4).random((8, 6))
-    out, cache, _ = A.forward(p, x, True)
-    _, g = A.backward(p, cache, out, x)
-    for k in ("W5", "g3", "W1"):
-        i = (0,) * p[k].ndim
-        old = p[k][i]
-        p[k][i] = old + 1e-6
-        lp = _loss(p, x)
-        p[k][i] = old - 1e-6
-        lm = _loss(p, x)
-        p[k][i] = old
-        assert abs((lp - lm) / 2e-6 - g[k][i]) < 1e-5
-
-
-def test_trained_network_scores_wild_row_higher():
-    rng = np.random.default_rng(0)
-    x = 0.5 + 0.05 * rng.standard_normal((2000, 6))
-    p, s = A.init_params(0), None
-    s = A.new_state(p)
-    for e in range(15):
-        A.run_epoch(p, s, x, 256, np.random.default_rng(e))
-    clean = A.recon_error(p, np.full((1, 6), 0.5))[0]
-    wild = A.recon_error(p, np.array([[0.0, 1.0, 0.0, 1.0, 0.0, 1.0]]))[0]
-    assert wild > clean
-
-
 @pytest.fixture(scope="module")
 def ctx(spark):
     return ScoreCtx(spark, SF_SMALL)
 
 
 def test_scaled_matrix_in_unit_range(ctx):
-    tm = anomaly.train_matrix(ctx.charts)
+    tm = ctx.train
+    assert tm.count() == ctx.pivot.where(" OR ".join(
+        f"{v} BETWEEN {lo} AND {hi * 1.5}" for v, (lo, hi) in anomaly.VITAL_RANGES.items())).count()
     agg = tm.agg(*[F.min(v).alias(f"lo_{v}") for v in anomaly.VITALS],
                  *[F.max(v).alias(f"hi_{v}") for v in anomaly.VITALS]).first()
     assert all(0.0 <= agg[f"lo_{v}"] and agg[f"hi_{v}"] <= 1.0 for v in anomaly.VITALS)
 
 
-def test_fit_autoencoder_on_spark_is_deterministic_and_reloads(spark, ctx):
-    tm = anomaly.train_matrix(ctx.charts)
-    m1 = A.fit_autoencoder(tm, epochs=2, partitions=2)
-    m2 = A.fit_autoencoder(tm, epochs=2, partitions=2)
-    assert math.isfinite(m1.threshold) and m1.threshold == m2.threshold
+def test_reconstruction_is_deterministic_and_reloads(spark, ctx):
+    m1 = reconstruct.PcaModel.fit(ctx.train)
+    m2 = reconstruct.PcaModel.fit(ctx.train.repartition(5))
+    assert math.isfinite(m1.threshold) and abs(m1.threshold - m2.threshold) < 1e-7
+    rows = spark.createDataFrame([(0, *m1.means), (1, 0.0, 1.0, 0.0, 1.0, 0.0, 1.0)], ["i", *anomaly.VITALS])
+    e = {r.i: r.reconstruction_error for r in m1.error_columns(rows, anomaly.VITALS).collect()}
+    assert abs(e[0]) < 1e-9 < e[1]
     path = os.path.join(tempfile.mkdtemp(prefix="ae-"), "m")
     store.save_anomaly_model(spark, m1, path)
     m3 = store.load_anomaly_model(spark, path)
-    s1 = anomaly.score_anomalies(ctx.charts, m1).orderBy("hadm_id", "charttime").collect()
-    s3 = anomaly.score_anomalies(ctx.charts, m3).orderBy("hadm_id", "charttime").collect()
+    s1 = anomaly.score_anomalies(ctx.vitals_t, m1).orderBy("hadm_id", "charttime").collect()
+    s3 = anomaly.score_anomalies(ctx.vitals_t, m3).orderBy("hadm_id", "charttime").collect()
     assert s1 == s3
     assert all(r.reconstruction_error >= 0 for r in s1)
 

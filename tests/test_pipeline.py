@@ -14,9 +14,9 @@ def test_daily_run_end_to_end(spark):
     paths = pipeline.Paths(root)
     store.load_raw_tables(spark, raw.as_dict())
     t = pipeline.build_marts(spark, store.read_raw(spark))
-    models = pipeline.train(spark, t["stg_chartevents"], t["mart_patient_summary"], paths,
-                            trees=5, epochs=2)
-    out = pipeline.run_pipeline(spark, raw, root=root, models=models, top_n=3)
+    models = pipeline.train(spark, t["mart_icu_vitals"], t["mart_patient_summary"], paths,
+                            trees=5)
+    out = pipeline.run_pipeline(spark, None, root=root, models=models, top_n=3)  # the stored raw tables
     assert out["check_results"].count() == 21
     n_adm = out["mart_patient_summary"].count()
     assert spark.table("ml_trust_scores").count() == n_adm

@@ -25,15 +25,6 @@ def _readings(spark, n=4000, seed=7, parts=13):
                                        "vital_name string, valuenum double").repartition(parts)
 
 
-def test_two_level_top_k_equals_plain_window(spark):
-    clean = anomaly.clean_readings(_readings(spark))
-    got = anomaly.first_per_vital(clean, cap=50, fan_in=4)
-    w = Window.partitionBy("vital_name").orderBy("hadm_id", "charttime", "valuenum")
-    want = clean.withColumn("rn", F.row_number().over(w)).where("rn <= 50") \
-        .select("vital_name", "hadm_id", "charttime", "valuenum", "rn")
-    assert sorted(got.collect()) == sorted(want.collect())
-
-
 def test_hourly_gaps_equal_plain_lag(spark):
     ch = _readings(spark)
     got = detectors.time_gaps(ch, minutes=100).collect()
