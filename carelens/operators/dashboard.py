@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import FAILURE_TYPES, HIST_BINS, SCATTER_SAMPLE, SEED
 
+LANES = 64
 FLAGGED_COLUMNS = ["hadm_id", "trust_score", "admission_type", "los_hours",
                    "total_missing_vitals", "hr_oor_count", "invalid_icd_count", "raw_dq_score"]
 
@@ -57,17 +58,13 @@ def scatter_sample(board: DataFrame, n: int = SCATTER_SAMPLE, seed: int = SEED)
 
     The rows with the n smallest seeded hash keys of hadm_id (uniform, and
     the same on every evaluation and task retry, unlike rand()).  A plain
-    orderBy(rand).limit(n) merges n rows from every map task in one task;
-    instead rows whose key is below a threshold expected to pass about 4n
-    rows are kept first, which cannot change the answer when at least n
-    pass (the n smallest keys are all below it).  If fewer pass, the
-    filter is dropped.  Two counts reach the driver, nothing else.
+    orderBy(key).limit(n) merges n rows of every task in one task; here each
+    of ``LANES`` groups of tasks keeps its n smallest first (at most n rows
+    leave a task), so the last merge sees at most LANES * n rows.
     """
-    key = F.pmod(F.xxhash64("hadm_id", F.lit(seed)), F.lit(1 << 31)) / F.lit(float(1 << 31))
-    keyed = board.select("hadm_id", "raw_dq_score", "trust_score", "dq_flagged", key.alias("_r"))
-    total = keyed.count()
-    if total > 4 * n:
-        cut = keyed.where(F.col("_r") < F.lit(4.0 * n / total))
-        if cut.count() >= n:
-            keyed = cut
-    return keyed.orderBy("_r", "hadm_id").limit(n).drop("_r")
+    key = F.sha2(F.concat("hadm_id", F.lit(f":{seed}")), 256)
+    keyed = board.select("hadm_id", "raw_dq_score", "trust_score", "dq_flagged", key.alias("_r"),
+                         (F.spark_partition_id() % LANES).alias("_lane"))
+    w = Window.partitionBy("_lane").orderBy("_r", "hadm_id")
+    near = keyed.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)
+    return near.orderBy("_r", "hadm_id").limit(n).drop("_r", "_lane", "_n")

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import itertools
 import math
-import os
 
 import numpy as np
 import pandas as pd
@@ -26,27 +25,17 @@ from ..constants import TRUST_FEATURES, TRUST_FLAG_BELOW
 from .trust import _filled
 
 
-def tree_table(spark, model_path: str, model=None):
-    """(tree weights, nodes) of the saved GBT stage of a PipelineModel: the
-    nodes from its Parquet data, the weights from the model (or metadata)."""
-    if model is not None:
-        # PipelineModel writes stage i as stages/<i>_<uid>: no listing needed,
-        # so the path may be any Hadoop file system URI.
-        i, stage = next((i, st) for i, st in enumerate(model.stages) if "GBT" in type(st).__name__)
-        base = f"{model_path.rstrip('/')}/stages/{i}_{stage.uid}"
-    else:
-        stages = os.path.join(model_path, "stages")
-        base = os.path.join(stages, [d for d in sorted(os.listdir(stages)) if "GBT" in d][0])
-    nodes = spark.read.parquet(base + "/data").select(
+def tree_table(spark, model_path: str, model):
+    """(tree weights, nodes) of the GBT stage of a PipelineModel saved at
+    ``model_path``: the nodes from its Parquet data, the weights from the model."""
+    # PipelineModel writes stage i as stages/<i>_<uid>: no listing needed,
+    # so the path may be any Hadoop file system URI.
+    i, stage = next((i, st) for i, st in enumerate(model.stages) if "GBT" in type(st).__name__)
+    nodes = spark.read.parquet(f"{model_path.rstrip('/')}/stages/{i}_{stage.uid}/data").select(
         "treeID", "nodeData.id", "nodeData.prediction", "nodeData.rawCount",
         "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex",
         F.get(F.col("nodeData.split.leftCategoriesOrThreshold"), 0).alias("threshold")).collect()
-    if model is not None:
-        weights = dict(enumerate(float(w) for w in model.stages[-1].treeWeights))
-    else:  # columns of the metadata file: tree id, json, weight
-        meta = spark.read.parquet(base + "/treesMetadata").collect()
-        weights = {int(r[0]): float(r[2]) for r in meta}
-    return weights, [r.asDict() for r in nodes]
+    return dict(enumerate(float(w) for w in stage.treeWeights)), [r.asDict() for r in nodes]
 
 
 def compile_leaves(weights: dict, nodes: list) -> list:
@@ -152,10 +141,10 @@ def shap_batch(model: dict, x: np.ndarray) -> tuple[np.ndarray, float]:
 _COMPILED: dict = {}
 
 
-def compiled_model(spark, model_path: str, model=None) -> dict:
-    """Tree tables of a saved model, compiled once per path and application."""
+def compiled_model(spark, model_path: str, model) -> dict:
+    """Tree tables of a saved model, compiled once per model, path and application."""
     # A refit saved to the same path is another model.
-    key = (spark.sparkContext.applicationId, model_path, getattr(model, "uid", None))
+    key = (spark.sparkContext.applicationId, model_path, model.uid)
     if key not in _COMPILED:
         _COMPILED[key] = compile_model(leaf_tables(compile_leaves(*tree_table(spark, model_path, model))))
     return _COMPILED[key]
@@ -171,19 +160,20 @@ def explain_trust(features: DataFrame, model, model_path: str, digits: int | Non
     scaled = model.transform(_filled(features))
     from pyspark.ml.functions import vector_to_array
     df = scaled.select("hadm_id", vector_to_array("features").alias("_x"),
-                       vector_to_array("probability")[1].alias("_p"))
+                       F.round((1 - vector_to_array("probability")[1]) * 100, 1).alias("_score"),
+                       # MLlib's margin F gives p = 1 / (1 + exp(-2F)): finite where p rounds to 0 or 1.
+                       (2 * vector_to_array("rawPrediction")[1]).alias("_margin"))
 
     def run(batches):
         for pdf in batches:
             x = np.array(pdf["_x"].tolist(), dtype=float).reshape(len(pdf), len(TRUST_FEATURES))
             phi, base = shap_batch(leaves, x)
-            score = np.round((1.0 - pdf["_p"].to_numpy()) * 100.0, 1)
             yield pd.DataFrame({
                 "hadm_id": pdf["hadm_id"],
-                "trust_score": score,
-                "dq_flag": score < TRUST_FLAG_BELOW,
+                "trust_score": pdf["_score"],
+                "dq_flag": pdf["_score"] < TRUST_FLAG_BELOW,
                 "base_value": base,
-                "margin": np.log(pdf["_p"].to_numpy() / (1.0 - pdf["_p"].to_numpy())),
+                "margin": pdf["_margin"],
                 "shap_values": [dict(zip(TRUST_FEATURES, (np.round(r, digits) if digits is not None
                                                            else r).tolist())) for r in phi],
             })

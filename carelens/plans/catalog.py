@@ -211,9 +211,9 @@ QUERIES.update({
     "time_gaps": _sc(lambda c: detectors.time_gaps(c.charts)),
     "spikes": _sc(lambda c: detectors.spikes(c.charts)),
     "failure_report": _sc(lambda c: detectors.failure_report(
-        c.vitals_t, c.stg["stg_diagnoses_icd"], c.charts)),
+        c.vitals_t, c.stg["stg_diagnoses_icd"], c.charts, c.scores)),
     "failure_counts": _sc(lambda c: detectors.failure_counts(detectors.failure_report(
-        c.vitals_t, c.stg["stg_diagnoses_icd"], c.charts))),
+        c.vitals_t, c.stg["stg_diagnoses_icd"], c.charts, c.scores))),
 })
 
 

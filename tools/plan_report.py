@@ -16,7 +16,7 @@ import __spark_entry__ as E  # noqa: E402
 from carelens.session import local_session  # noqa: E402
 
 MODEL = {"anomaly_scores", "trust_scores", "trust_metrics", "shap_local", "shap_global",
-         "reviewed", "recent_runs", "scatter_sample"}
+         "reviewed", "recent_runs"}
 
 
 def main():
