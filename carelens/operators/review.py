@@ -38,7 +38,7 @@ def vitals_sample(charts: DataFrame, ids: DataFrame, n: int = SAMPLE_READINGS) -
     limit keeps n rows per admission in each map task before the shuffle,
     so one huge admission cannot flood a task.
     """
-    sel = charts.join(ids.select("hadm_id").distinct(), "hadm_id", "left_semi")
+    sel = charts.join(ids.select("hadm_id"), "hadm_id", "left_semi")
     w = Window.partitionBy("hadm_id").orderBy(
         F.col("charttime").asc(), F.col("vital_name").asc(), F.col("valuenum").asc_nulls_first())
     return (sel.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
@@ -56,10 +56,8 @@ def sample_text(sample: DataFrame) -> DataFrame:
                     .alias("vitals_sample")))
 
 
-def record_context(summary: DataFrame, trust: DataFrame) -> DataFrame:
-    """K1 (+ C4): one line of context per admission in ``trust``."""
-    s = summary.join(trust.select("hadm_id", "trust_score"), "hadm_id", "inner")
-    text = F.concat(
+def _context_text() -> F.Column:
+    return F.concat(
         F.lit("Admission "), F.col("hadm_id"),
         F.lit(": type="), text_or("admission_type"),
         F.lit(", LOS="), fmt_num("los_hours", 0),
@@ -71,30 +69,38 @@ def record_context(summary: DataFrame, trust: DataFrame) -> DataFrame:
         F.lit(", spo2_oor="), fmt_num("spo2_oor_count", 0),
         F.lit(", invalid_icd="), fmt_num("invalid_icd_count", 0),
         F.lit("/"), fmt_num("total_diagnoses", 0))
-    return s.select("hadm_id", text.alias("record_context"))
+
+
+def _verdict_text(flagged: F.Column) -> F.Column:
+    return F.concat(F.lit("Trust score: "), fmt_num("trust_score", 1), F.lit("/100 ("),
+                    F.when(flagged, F.lit("FLAGGED")).otherwise(F.lit("CLEAN")), F.lit(")"))
+
+
+def record_context(summary: DataFrame, trust: DataFrame) -> DataFrame:
+    """K1 (+ C4): one line of context per admission in ``trust``."""
+    s = summary.join(trust.select("hadm_id", "trust_score"), "hadm_id", "inner")
+    return s.select("hadm_id", _context_text().alias("record_context"))
 
 
 def trust_verdict(trust: DataFrame) -> DataFrame:
     """K3: 'Trust score: x/100 (FLAGGED|CLEAN)' per admission."""
-    text = F.concat(F.lit("Trust score: "), fmt_num("trust_score", 1), F.lit("/100 ("),
-                    F.when(F.col("dq_flagged"), F.lit("FLAGGED")).otherwise(F.lit("CLEAN")),
-                    F.lit(")"))
-    return trust.select("hadm_id", text.alias("trust_verdict"))
+    return trust.select("hadm_id", _verdict_text(F.col("dq_flagged")).alias("trust_verdict"))
 
 
 def review_table(summary: DataFrame, trust: DataFrame, charts: DataFrame,
                  top_n: int = REVIEW_TOP_N) -> DataFrame:
     """K4: the worklist with context, verdict, vitals sample and the request
-    text, one row per admission - the complete input of a reviewer."""
+    text, one row per admission - the complete input of a reviewer.  Context
+    and verdict are columns of one join (every worklist row is flagged)."""
     wl = worklist(trust, top_n)
-    ctx = record_context(summary, wl)
-    ver = trust_verdict(trust.join(wl.select("hadm_id"), "hadm_id", "left_semi"))
     smp = sample_text(vitals_sample(charts, wl))
-    return (wl.join(ctx, "hadm_id", "left").join(ver, "hadm_id", "left").join(smp, "hadm_id", "left")
-            .select("review_rank", "hadm_id", "trust_score", "record_context", "trust_verdict",
-                    "vitals_sample",
-                    F.concat(F.lit("Review admission "), F.col("hadm_id"),
-                             F.lit(" and provide repair recommendations.")).alias("request")))
+    rows = wl.join(summary.withColumn("_known", F.lit(True)), "hadm_id", "left").join(smp, "hadm_id", "left")
+    return rows.select(
+        "review_rank", "hadm_id", "trust_score",
+        F.when(F.col("_known"), _context_text()).alias("record_context"),
+        _verdict_text(F.lit(True)).alias("trust_verdict"), "vitals_sample",
+        F.concat(F.lit("Review admission "), F.col("hadm_id"),
+                 F.lit(" and provide repair recommendations.")).alias("request"))
 
 
 def rule_reviewer(row: dict) -> str:

@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from ..constants import GBT_TREES, PCA_COMPONENTS, REVIEW_TOP_N
-from ..operators import anomaly, checks, explain, reconstruct, review, staging, trust
+from ..operators import anomaly, checks, detectors, explain, reconstruct, review, staging, trust
 from ..operators import marts as M
 from ..session import checkpoint_dir, prepare
 from ..sources import store
@@ -106,8 +106,9 @@ def train(spark: SparkSession, vitals: DataFrame, summary: DataFrame, paths: Pat
 
 def run_pipeline(spark: SparkSession, raw, root: str | None = None, models: Models | None = None,
                  top_n: int = REVIEW_TOP_N, reviewer=review.rule_reviewer,
-                 buckets: int | None = ADMISSION_BUCKETS) -> dict[str, DataFrame]:
+                 buckets: int | None = ADMISSION_BUCKETS, trees: int = GBT_TREES) -> dict[str, DataFrame]:
     """The daily run.  Raises checks.CheckFailed when a column test fails.
+    ``models`` None trains both first, on the marts of this run.
     ``raw`` None scores the raw tables already stored; models without an
     anomaly model score trust without anomaly features."""
     prepare(spark)
@@ -121,7 +122,7 @@ def run_pipeline(spark: SparkSession, raw, root: str | None = None, models: Mode
     checks.gate(results)
     charts, summary = t["stg_chartevents"], t["mart_patient_summary"]
     if models is None:
-        models = train(spark, t["mart_icu_vitals"], summary, paths)
+        models = train(spark, t["mart_icu_vitals"], summary, paths, trees=trees)
     scores = None
     if models.anomaly is not None:
         # Missing vitals take the medians of the rows being scored.
@@ -133,9 +134,26 @@ def run_pipeline(spark: SparkSession, raw, root: str | None = None, models: Mode
     tr = spark.table("ml_trust_scores")
     table = review.review_table(summary, tr, charts, top_n)
     reviewed = review.apply_reviewer(table, reviewer)
+    report = detectors.failure_report(t["mart_icu_vitals"], t["stg_diagnoses_icd"], charts, scores)
     return {**t, "check_results": results, "ml_anomaly_scores": scores, "ml_trust_scores": tr,
-            "review_table": table, "reviewed": reviewed}
+            "review_table": table, "reviewed": reviewed, "failure_counts": detectors.failure_counts(report)}
 
 
-def explain_scores(spark: SparkSession, feats: DataFrame, models: Models) -> DataFrame:
-    return explain.explain_trust(feats, models.trust_fit.model, models.trust_path)
+def train_only(spark: SparkSession, raw, root: str | None = None, trees: int = GBT_TREES) -> Models:
+    """Marts, then both fits; scores nothing for the readers."""
+    prepare(spark)
+    if raw is not None:
+        store.load_raw_tables(spark, raw.as_dict())
+    t = build_marts(spark, store.read_raw(spark))
+    return train(spark, t["mart_icu_vitals"], t["mart_patient_summary"], Paths(root or default_root(spark)), trees)
+
+
+def explain_scores(spark: SparkSession, root: str | None = None) -> DataFrame:
+    """SHAP values of every admission of the stored tables under the saved
+    trust model, written as ``ml_trust_explanations``."""
+    prepare(spark)
+    path = Paths(root or default_root(spark)).trust_model
+    scores = spark.table("ml_anomaly_scores") if store.table_exists(spark, "ml_anomaly_scores") else None
+    feats = trust.trust_features(spark.table("mart_patient_summary"), scores)
+    store.save_table(explain.explain_trust(feats, store.load_trust_model(path), path), "ml_trust_explanations")
+    return spark.table("ml_trust_explanations")

@@ -50,11 +50,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (spark.checkpoint.dir).
 
-    Only when the setting is absent (tests, a laptop) do we create our own.
+    Only when the setting is absent and the master is local (tests, a laptop)
+    do we create our own; on a cluster that is an error, as executors would not
+    share the folder.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="carelens-ckpt-")
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not d and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        d = d or tempfile.mkdtemp(prefix="carelens-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", d)
         except Exception:  # noqa: BLE001 - core settings may be read-only at run time

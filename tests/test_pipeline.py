@@ -25,6 +25,8 @@ def test_daily_run_end_to_end(spark):
     runs = store.recent_runs(spark, paths.runs)
     assert runs.count() == 2 and "roc_auc" in runs.columns
     assert out["mart_patient_summary"].where(F.col("raw_dq_score").isNull()).count() == 0
+    assert {r.failure_type for r in out["failure_counts"].collect()} >= {"anomaly", "duplicate", "spike", "missing_vital"}
+    assert pipeline.explain_scores(spark, root).count() == n_adm
     # bucketed alike on hadm_id: the dashboard join needs no shuffle
     from carelens.operators import dashboard
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
