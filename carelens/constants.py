@@ -77,7 +77,7 @@ FAILURE_TYPES = {
     "Invalid ICD": "invalid_icd_count",
 }
 
-# Anonymisation salt used only for fixtures; production must set CARELENS_SALT.
+# Anonymisation salt used only for fixtures; the command line asks for --salt or CARELENS_SALT.
 FIXTURE_SALT = "dev-salt-change-in-prod"
 
 # Detectors of our own definition (the reference promises them without code).
