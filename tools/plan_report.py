@@ -12,7 +12,7 @@ import re
 import sys
 
 sys.path.insert(0, ".")
-import __spark_entry__ as E  # noqa: E402
+from carelens.plans.catalog import QUERIES  # noqa: E402
 from carelens.session import local_session  # noqa: E402
 
 MODEL = {"anomaly_scores", "trust_scores", "trust_metrics", "shap_local", "shap_global",
@@ -28,8 +28,8 @@ def main():
         spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     print("| query | hash exch. | range exch. | single exch. | broadcasts | window group limits | hash aggregates | sort-merge joins | pushed scan filters |")
     print("|---|---|---|---|---|---|---|---|---|")
-    for name, fn in E.queries().items():
-        if name in MODEL:
+    for name, fn in QUERIES.items():
+        if name in MODEL or args[1:] and name not in args[1:]:
             continue
         plan = fn(spark, sf)._jdf.queryExecution().executedPlan().toString()
         pushed = sorted(set(p.rstrip("]") for p in re.findall(r"PushedFilters: \[(.*?), ReadSchema", plan)) - {""})
