@@ -29,6 +29,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def document_key():
+    """What names a document: its doc_id as text or, where that is null, a digest of its text."""
+    return F.coalesce(F.col("doc_id").cast("string"),
+                      F.concat(F.lit("text:"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def fields(ddl: str) -> list[T.StructField]:
     return T.StructType.fromDDL(ddl).fields
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, document_key
 
 WINDOW, SHINGLE = 13, 5
 # What is not a word character, once A-Z counts as a-z.
@@ -144,6 +144,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, all columns as they were;
-    rows that repeat a doc_id are one document, dropped if any of them is."""
-    bad = decontaminate(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    rows that repeat a doc_id are one document, dropped if any of them is; so are
+    rows without doc_id that repeat a text."""
+    key = document_key()
+    bad = (decontaminate(docs.withColumn("doc_id", key), benchmark).where("contaminated")
+           .select(F.col("doc_id").alias("_bad")).distinct())
+    return docs.join(bad, key == bad["_bad"], "left_anti")

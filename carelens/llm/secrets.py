@@ -23,7 +23,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, per_text
+from .common import cut, fresh, per_text
 
 # The base patterns and their least lengths, by the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -142,20 +142,23 @@ def _masked(text: str, spans, mask: str) -> str:
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span replaced by ``mask`` (overlapping spans by
     one) and n_chars, where there is one, set to the new length.  No row is
-    dropped; rows without spans are unchanged.  Rows that repeat a doc_id are
-    taken to be one document with one text."""
-    hits = (scan_secrets(docs).where(F.size("found") > 0).groupBy("doc_id")
-            .agg(F.first("found").alias("_found")).withColumnRenamed("doc_id", "_id"))
-    marked = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    dropped; rows without spans are unchanged.  A row's spans follow from its text
+    and the corpus alone, so rows are matched by doc_id and text: repeated ids
+    with different texts, and rows without doc_id, are each masked by their own."""
+    key, found = fresh("_key", docs), fresh("_found", docs)
+    named = F.concat_ws(":", F.sha2(F.col("text"), 256), F.col("doc_id").cast("string"))
+    hits = (scan_secrets(docs.withColumn("doc_id", named)).where(F.size("found") > 0).groupBy("doc_id")
+            .agg(F.first("found").alias(found)).withColumnRenamed("doc_id", key))
+    marked = docs.withColumn(key, named).join(hits, key, "left")
 
     @F.pandas_udf("string")
-    def mask_spans(text, found):
-        return text.combine(found, lambda t, f: t if t is None or f is None else _masked(
+    def mask_spans(text, spans):
+        return text.combine(spans, lambda t, f: t if t is None or f is None else _masked(
             t, [(s["first"], s["last"]) for s in f], mask))
 
-    new = {"text": F.when(F.col("_found").isNull(), F.col("text")).otherwise(mask_spans("text", "_found"))}
+    new = {"text": F.when(F.col(found).isNull(), F.col("text")).otherwise(mask_spans("text", found))}
     out = marked.withColumns(new)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_found").isNull(), F.col("n_chars"))
+        out = out.withColumn("n_chars", F.when(F.col(found).isNull(), F.col("n_chars"))
                              .otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

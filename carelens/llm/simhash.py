@@ -229,4 +229,4 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
     columns as they were.  Rows that repeat a doc_id are one document; rows without one stay."""
     gone = near_duplicates(docs, shingle, radius).where("doc_id <> component_id").select(
         F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, F.col("doc_id") == gone["_gone"], "left_anti")

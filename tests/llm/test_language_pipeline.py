@@ -75,3 +75,25 @@ def test_stages_return_the_columns_of_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs_ = stage(spark, docs_, SF_SMALL)
     assert docs_.count() == 0
+
+
+def test_stages_match_rows_without_id_and_repeated_ids_by_text(spark):
+    rng = np.random.default_rng(5)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(n))
+    secret = "password = Zx9Qw8Er7Ty6Ui5"
+    good = [prose(90) for _ in range(4)]
+    rows = [(None, f"{good[0]} {secret} end"), (None, good[1]), (None, "too short"), (None, None),
+            (5, f"{secret} {good[2]}"), (5, good[3]), (6, "short too")]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, _key int, _found int, _bad int, _gone int, _row int"
+    table = spark.createDataFrame([(i, t, "en", "s", t and len(t), 1, 2, 3, 4, 5) for i, t in rows], schema)
+    bench = spark.createDataFrame([("b", " ".join(good[1].split()[10:40]))], "item_id string, text string")
+
+    masked = secrets.redact(table)
+    assert masked.schema.names == table.schema.names
+    assert sorted((r.doc_id or 0, r.text or "", r.n_chars) for r in masked.collect()) == sorted(
+        (i or 0, (t or "").replace(secret, "[SECRET]"), t and len(t.replace(secret, "[SECRET]"))) for i, t in rows)
+    kept = quality.keep_good(table)
+    assert sorted(r.text for r in kept.collect()) == sorted(t for _, t in rows if t and len(t) > 50)
+    clean = decontaminate.drop_contaminated(kept, bench)
+    assert sorted(r.text for r in clean.collect()) == sorted(t for _, t in rows if t and len(t) > 50 and t != good[1])
+    assert simhash.keep_one(clean).schema.names == table.schema.names and simhash.keep_one(clean).count() == 3
