@@ -28,6 +28,7 @@ def main(argv=None) -> None:
     p.add_argument("--train", action="store_true")
     p.add_argument("--trees", type=int, default=GBT_TREES)
     p.add_argument("--top-n", type=int, default=REVIEW_TOP_N)
+    p.add_argument("--buckets", type=int, help="buckets of the per-admission tables, about 128 MB each (default: none)")
     p.add_argument("--local", action="store_true", help="local session (tests, laptops)")
     p.add_argument("--salt", default=os.environ.get("CARELENS_SALT"), help="salt of the anonymised ids")
     a = p.parse_args(argv)
@@ -58,10 +59,12 @@ def main(argv=None) -> None:
         ae = store.load_anomaly_model(spark, paths.anomaly_model)
         fit = TrustFit(store.load_trust_model(paths.trust_model), {}, 0, 0)
         models = pipeline.Models(ae, {}, fit, paths.trust_model)
-    out = pipeline.run_pipeline(spark, raw, root=root, models=models, top_n=a.top_n, trees=a.trees)
+    out = pipeline.run_pipeline(spark, raw, root=root, models=models, top_n=a.top_n,
+                                buckets=a.buckets, trees=a.trees)
+    scored = out["trust_summary"].first()
     print(json.dumps({
         "admissions": out["mart_patient_summary"].count(),
-        "flagged": out["ml_trust_scores"].where("dq_flagged").count(),
+        "scored": scored.n_rows, "flagged": scored.n_flagged,
         "failures": {r.failure_type: r.failures for r in out["failure_counts"].collect()},
         "reviewed": [r.asDict() for r in out["reviewed"].collect()]}, default=str))
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..constants import (ANOMALY_PERCENTILE, CLEAN_UPPER_STRETCH,
                          VITAL_RANGES, VITALS)
 from ..functions import clip01, scale_to_range
+from .ranks import quantiles, value_counts
 
 # Model parameters are rounded so that two engines summing in different
 # orders still hold the same numbers.
@@ -70,20 +71,20 @@ def scoring_pivot(vitals: DataFrame) -> DataFrame:
     return vitals.groupBy("hadm_id", "charttime").agg(*[F.max(v).alias(v) for v in VITALS])
 
 
-def median_exprs(relative_error: float | None = None):
-    """D12 aggregate expressions.  Exact medians keep a map of distinct values
-    (bounded by the measurement precision of a vital); pass relative_error
-    for the bounded-memory sketch on unbounded domains."""
+def median_frame(pivot: DataFrame, relative_error: float | None = None) -> DataFrame:
+    """One row of six medians, nulls skipped.  Exact by ranks over range
+    partitions; relative_error asks for the one-pass sketch instead."""
     if relative_error is None:
-        return [F.median(v).alias(v) for v in VITALS]
-    acc = int(round(1.0 / relative_error))
-    return [F.percentile_approx(v, 0.5, acc).alias(v) for v in VITALS]
+        q = quantiles(value_counts(pivot, VITALS), 0.5)
+        exprs = [F.max(F.when(F.col("name") == v, F.col("quantile"))) for v in VITALS]
+    else:
+        q, exprs = pivot, [F.percentile_approx(v, 0.5, int(round(1.0 / relative_error))) for v in VITALS]
+    return q.agg(*[F.round(e, PARAM_DIGITS).alias(v) for e, v in zip(exprs, VITALS)])
 
 
 def column_medians(pivot: DataFrame, relative_error: float | None = None) -> dict:
-    """Fit the imputer: six medians (nulls skipped) as driver-side scalars."""
-    row = pivot.agg(*[F.round(e, PARAM_DIGITS).alias(v)
-                      for e, v in zip(median_exprs(relative_error), VITALS)]).first()
+    """Fit the imputer: six medians as driver-side scalars."""
+    row = median_frame(pivot, relative_error).first()
     return {v: (None if row[v] is None else float(row[v])) for v in VITALS}
 
 
@@ -126,10 +127,10 @@ class MeanModel:
 
 
 def threshold_frame(train: DataFrame, model) -> DataFrame:
-    """The p95 threshold (linear interpolation) and mean training error."""
-    e = model.error_columns(train, VITALS).select("reconstruction_error")
-    return e.agg(F.percentile("reconstruction_error", ANOMALY_PERCENTILE).alias("threshold"),
-                 F.avg("reconstruction_error").alias("mean_error"))
+    """The p95 threshold (linear interpolation) and mean training error, one row."""
+    errors = value_counts(model.error_columns(train, VITALS), ["reconstruction_error"])
+    return quantiles(errors, ANOMALY_PERCENTILE).agg(F.max("quantile").alias("threshold"),
+                                                     F.max("mean").alias("mean_error"))
 
 
 def flag(errors: DataFrame, threshold: float) -> DataFrame:

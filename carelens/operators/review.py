@@ -76,15 +76,33 @@ def _verdict_text(flagged: F.Column) -> F.Column:
                     F.when(flagged, F.lit("FLAGGED")).otherwise(F.lit("CLEAN")), F.lit(")"))
 
 
+def _none_found(text: str) -> F.Column:
+    return F.concat(F.lit(text), F.col("hadm_id"))
+
+
+# The texts of a missing part, before the admission's id.
+NO_RECORD = "No record found for hadm_id="
+NO_VITALS = "No vitals found for hadm_id="
+NO_SCORE = "No trust score found for "
+
+
 def record_context(summary: DataFrame, trust: DataFrame) -> DataFrame:
-    """K1 (+ C4): one line of context per admission in ``trust``."""
-    s = summary.join(trust.select("hadm_id", "trust_score"), "hadm_id", "inner")
-    return s.select("hadm_id", _context_text().alias("record_context"))
+    """K1 (+ C4): one line of context per admission in ``trust``; an admission
+    without a summary row is named as not found."""
+    s = trust.select("hadm_id", "trust_score").join(summary.withColumn("_known", F.lit(True)), "hadm_id", "left")
+    return s.select("hadm_id", F.when(F.col("_known"), _context_text())
+                    .otherwise(_none_found(NO_RECORD)).alias("record_context"))
 
 
-def trust_verdict(trust: DataFrame) -> DataFrame:
-    """K3: 'Trust score: x/100 (FLAGGED|CLEAN)' per admission."""
-    return trust.select("hadm_id", _verdict_text(F.col("dq_flagged")).alias("trust_verdict"))
+def trust_verdict(trust: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """K3: 'Trust score: x/100 (FLAGGED|CLEAN)' per admission, of all in ``trust``
+    or of the given ids, of which some may have no score."""
+    if ids is not None:
+        trust = ids.select("hadm_id").join(trust.withColumn("_known", F.lit(True)), "hadm_id", "left")
+    else:
+        trust = trust.withColumn("_known", F.lit(True))
+    return trust.select("hadm_id", F.when(F.col("_known"), _verdict_text(F.col("dq_flagged")))
+                        .otherwise(_none_found(NO_SCORE)).alias("trust_verdict"))
 
 
 def review_table(summary: DataFrame, trust: DataFrame, charts: DataFrame,
@@ -97,8 +115,9 @@ def review_table(summary: DataFrame, trust: DataFrame, charts: DataFrame,
     rows = wl.join(summary.withColumn("_known", F.lit(True)), "hadm_id", "left").join(smp, "hadm_id", "left")
     return rows.select(
         "review_rank", "hadm_id", "trust_score",
-        F.when(F.col("_known"), _context_text()).alias("record_context"),
-        _verdict_text(F.lit(True)).alias("trust_verdict"), "vitals_sample",
+        F.when(F.col("_known"), _context_text()).otherwise(_none_found(NO_RECORD)).alias("record_context"),
+        _verdict_text(F.lit(True)).alias("trust_verdict"),
+        F.coalesce("vitals_sample", _none_found(NO_VITALS)).alias("vitals_sample"),
         F.concat(F.lit("Review admission "), F.col("hadm_id"),
                  F.lit(" and provide repair recommendations.")).alias("request"))
 

@@ -11,6 +11,7 @@ from ..constants import (GBT_DEPTH, GBT_RATE, GBT_SUBSAMPLE, GBT_TREES,
                          LABEL_ICD_SHARE, LABEL_MAX_ANOMALY_FLAGS, SEED,
                          TEST_BUCKETS, TRUST_FEATURES, TRUST_FLAG_BELOW)
 from .anomaly import anomaly_rollup
+from .ranks import first_share, running_totals
 
 FEATURE_BASE = ["hadm_id", "total_missing_vitals", "total_chart_rows", "hr_oor_count",
                 "spo2_oor_count", "rr_oor_count", "invalid_icd_count", "raw_dq_score", "los_hours"]
@@ -51,10 +52,40 @@ def fixed_trust(summary: DataFrame) -> DataFrame:
                           (F.col("raw_dq_score") < TRUST_FLAG_BELOW).alias("dq_flagged"))
 
 
-def split_column(key: str = "hadm_id", seed: int = SEED, buckets: int = TEST_BUCKETS) -> F.Column:
-    """Deterministic 1-in-``buckets`` hold-out by key hash.  No shuffle,
-    no sort; each label keeps its share in expectation."""
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(buckets)) == 0
+def stratified_split(features: DataFrame, label: str = "has_dq_problem", seed: int = SEED,
+                     buckets: int = TEST_BUCKETS) -> DataFrame:
+    """Add ``is_test``, true for one in ``buckets`` rows (rounded up) of each
+    label: those with the smallest seeded SHA-256 of hadm_id.  A rare label is
+    never missing from the hold-out; rows of one hadm_id and label stay together."""
+    key = F.sha2(F.concat("hadm_id", F.lit(f":{seed}")), 256)
+    return first_share(features.withColumn("_key", key), label, "_key", buckets).withColumnRenamed(
+        "is_first", "is_test").drop("_key")
+
+
+def scaler_bounds(features: DataFrame) -> DataFrame:
+    """I8: (feature, lo, hi) that min-max scaling learns from these rows."""
+    each = _filled(features).select(*TRUST_FEATURES).unpivot([], TRUST_FEATURES, "feature", "value")
+    return each.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+
+
+def classification_metrics(rows: DataFrame) -> DataFrame:
+    """(metric, value) of rows (label 0/1, score, predicted 0/1): roc_auc from
+    ranks of the score (ties count half; null if a label is absent), precision,
+    recall and f1 of label 1 (0 where undefined), and the counts n and positives.
+    Scores are counted first, so the ranks see one row per distinct score."""
+    pos, hit = F.col("label") == 1, F.col("predicted") == 1
+    each = rows.groupBy("score").agg(
+        F.count_if(pos).alias("pos"), F.count_if(~pos).alias("neg"), F.count_if(pos & hit).alias("tp"),
+        F.count_if(hit).alias("hits")).withColumn("_all", F.lit(1))
+    t = running_totals(each, "_all", "score", ["neg"]).agg(
+        F.sum(F.col("pos").cast("double") * (2 * F.col("before_neg") + F.col("neg"))).alias("_below"),
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in ("pos", "neg", "tp", "hits")])
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    c = F.col
+    out = {"roc_auc": F.when(c("pos") * c("neg") > 0, c("_below") / (2 * c("pos") * c("neg"))),
+           "precision": ratio(c("tp"), c("hits")), "recall": ratio(c("tp"), c("pos")),
+           "f1": ratio(2 * c("tp"), c("hits") + c("pos")), "n": c("pos") + c("neg"), "positives": c("pos")}
+    return t.select(*[e.alias(k) for k, e in out.items()]).unpivot([], list(out), "metric", "value")
 
 
 def _filled(features: DataFrame) -> DataFrame:
@@ -67,7 +98,7 @@ def _filled(features: DataFrame) -> DataFrame:
 @dataclass
 class TrustFit:
     model: object            # pyspark.ml.PipelineModel: assembler, scaler, trees
-    metrics: dict            # roc_auc, f1, precision, recall on the hold-out
+    metrics: dict            # roc_auc, precision, recall, f1 on the hold-out
     train_rows: int
     test_rows: int
 
@@ -89,33 +120,26 @@ def fit_trust(features: DataFrame, trees: int = GBT_TREES, seed: int = SEED) ->
     """I8 + I9 + D15: fit scaler and boosted trees on the training split,
     measure on the hold-out.  Each boosting round is a distributed job; the
     driver holds only the trees (trees * 2^(depth+1) nodes)."""
-    from pyspark.ml.evaluation import (BinaryClassificationEvaluator,
-                                       MulticlassClassificationEvaluator)
-
     from ..session import checkpoint_dir
     checkpoint_dir(features.sparkSession)
     from pyspark import StorageLevel
-    df = _filled(features).withColumn("label", F.col("has_dq_problem").cast("double")) \
-        .withColumn("_test", split_column())
+    df = stratified_split(_filled(features)).withColumn("label", F.col("has_dq_problem").cast("double"))
     # One row per admission, read by the scaler, every boosting round and the
     # metrics: persist for the fit (spills to disk; recomputed if lost).
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    train, test = df.where(~F.col("_test")), df.where(F.col("_test"))
-    model = trust_pipeline(trees, seed).fit(train)
-    pred = model.transform(test)
-    auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="probability",
-                                        metricName="areaUnderROC").evaluate(pred)
-    mc = {}
-    for name, metric in (("f1", "fMeasureByLabel"), ("precision", "precisionByLabel"),
-                         ("recall", "recallByLabel")):
-        mc[name] = MulticlassClassificationEvaluator(
-            labelCol="label", predictionCol="prediction", metricName=metric,
-            metricLabel=1.0).evaluate(pred)
-    counts = df.groupBy("_test").count().collect()
-    n = {bool(r["_test"]): int(r["count"]) for r in counts}
+    model = trust_pipeline(trees, seed).fit(df.where("NOT is_test"))
+    got = {r.metric: r.value for r in classification_metrics(predicted(df.where("is_test"), model)).collect()}
+    train_rows = df.where("NOT is_test").count()
     df.unpersist()
-    return TrustFit(model, {"roc_auc": float(auc), **{k: float(v) for k, v in mc.items()}},
-                    n.get(False, 0), n.get(True, 0))
+    return TrustFit(model, {k: got[k] for k in ("roc_auc", "precision", "recall", "f1")}, train_rows, int(got["n"]))
+
+
+def predicted(features: DataFrame, model) -> DataFrame:
+    """(label, score, predicted) of rows under a fitted model; the score is the
+    probability of a problem."""
+    pred = model.transform(_filled(features))
+    return pred.select(F.col("has_dq_problem").alias("label"), _p_positive(pred).alias("score"),
+                       F.col("prediction").cast("int").alias("predicted"))
 
 
 def _p_positive(pred: DataFrame) -> F.Column:
@@ -132,6 +156,12 @@ def score_trust(features: DataFrame, model) -> DataFrame:
         .withColumn("dq_flagged", F.col("trust_score") < TRUST_FLAG_BELOW)
 
 
+def score_summary(scores: DataFrame) -> DataFrame:
+    """D14 for trust: admissions scored and flagged, and the flagged share."""
+    return scores.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("dq_flagged")).alias("n_flagged"),
+                      F.avg(F.col("dq_flagged").cast("int")).alias("flagged_share"))
+
+
 def score_rows(rows: DataFrame, model) -> DataFrame:
     """Score given feature rows (absent features are 0); the score is
     rounded to one digit before the flag, as in the single-row API."""

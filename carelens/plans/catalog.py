@@ -7,9 +7,6 @@ twin of each SQL-checkable query is in ``oracle.py``.
 
 from __future__ import annotations
 
-import os as _os
-import uuid as _uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +14,10 @@ from ..constants import FIXTURE_SALT
 from ..functions import anon_id, round_avg
 from ..operators import (anomaly, checks, dashboard, detectors, explain, marts, review,
                          staging, trust)
-from ..session import prepare
+from ..session import prepare, scratch_dir
 from ..sources import store
-from ..sources.fixtures import ingested_raw
-from .pipeline import Paths, default_root, train
+from ..sources.fixtures import fixture_run_log, ingested_raw
+from .pipeline import Paths, train
 
 _MARTS: dict = {}
 _FITTED: dict = {}
@@ -49,13 +46,9 @@ class Ctx:
 
     def _marts(self) -> str:
         if self.key not in _MARTS:
-            import os
-            import uuid
-
-            from ..session import checkpoint_dir
-            root = os.path.join(checkpoint_dir(self.spark), "carelens-marts", uuid.uuid4().hex[:12])
-            self.vitals.write.mode("overwrite").parquet(os.path.join(root, "mart_icu_vitals"))
-            self.summary.write.mode("overwrite").parquet(os.path.join(root, "mart_patient_summary"))
+            root = scratch_dir(self.spark, "carelens-marts")
+            self.vitals.write.mode("overwrite").parquet(root + "/mart_icu_vitals")
+            self.summary.write.mode("overwrite").parquet(root + "/mart_patient_summary")
             _MARTS[self.key] = root
         return _MARTS[self.key]
 
@@ -176,9 +169,7 @@ QUERIES.update({
     "clean_readings": _sc(lambda c: anomaly.clean_readings(c.charts)),
     "pivot_scoring": _sc(lambda c: c.pivot),
     "scaled_vitals": _sc(lambda c: anomaly.scale_vitals(c.pivot, keep=["hadm_id", "charttime"])),
-    "column_medians": _sc(lambda c: c.pivot.agg(*[
-        F.round(e, anomaly.PARAM_DIGITS).alias(v)
-        for e, v in zip(anomaly.median_exprs(), anomaly.VITALS)])),
+    "column_medians": _sc(lambda c: anomaly.median_frame(c.pivot)),
     "imputed_vitals": _sc(lambda c: anomaly.impute(c.pivot, c.medians)),
     "shortest_column": _sc(lambda c: anomaly.shortest_column(c.charts)),
     "train_matrix": _sc(lambda c: c.train),
@@ -231,8 +222,7 @@ class ModelCtx(ScoreCtx):
         super().__init__(spark, sf_dir)
         key = (spark.sparkContext.applicationId, sf_dir)
         if key not in _MODELS:
-            root = _os.path.join(default_root(spark), _uuid.uuid4().hex[:12])
-            _MODELS[key] = train(spark, self.vitals_t, self.summary_t, Paths(root))
+            _MODELS[key] = train(spark, self.vitals_t, self.summary_t, Paths(scratch_dir(spark, "carelens-models")))
         self.models = _MODELS[key]
 
     @property
@@ -270,8 +260,11 @@ class ModelCtx(ScoreCtx):
         return self.spark.read.parquet(self._score_tables() + "/ml_trust_scores")
 
     @property
-    def shap(self):
-        return explain.explain_trust(self.features_t, self.models.trust_fit.model, self.models.trust_path)
+    def held_out(self):
+        return trust.stratified_split(self.features_t).where("is_test")
+
+    def shap(self, features):
+        return explain.explain_trust(features, self.models.trust_fit.model, self.models.trust_path)
 
 
 def _mc(fn):
@@ -281,14 +274,6 @@ def _mc(fn):
     return run
 
 
-def _metrics_frame(c):
-    m = c.models.metrics
-    rows = [(k, float(v)) for k, v in m.items()]
-    rows += [("train_rows", float(c.models.trust_fit.train_rows)),
-             ("test_rows", float(c.models.trust_fit.test_rows))]
-    return c.spark.createDataFrame(rows, "metric string, value double")
-
-
 def _reviewed(c):
     return review.apply_reviewer(review.review_table(c.summary_t, c.trust_t, c.charts))
 
@@ -296,21 +281,36 @@ def _reviewed(c):
 QUERIES.update({
     "anomaly_scores": _mc(lambda c: c.ae_scores),
     "trust_scores": _mc(lambda c: c.trust_scores),
-    "trust_metrics": _mc(_metrics_frame),
-    "shap_local": _mc(lambda c: c.shap),
-    "shap_global": _mc(lambda c: explain.global_importance(
-        c.shap.where(trust.split_column()))),
+    "trust_metrics": _mc(lambda c: trust.classification_metrics(
+        trust.predicted(c.held_out, c.models.trust_fit.model))),
+    "shap_local": _mc(lambda c: c.shap(c.features_t)),
+    "shap_global": _mc(lambda c: explain.global_importance(c.shap(c.held_out))),
     "reviewed": _mc(_reviewed),
 })
 
 
-def _recent_runs(c):
-    root = c.models.trust_path.rsplit("/models/", 1)[0]
-    return store.recent_runs(c.spark, Paths(root).runs)
+def _split(c):
+    return trust.stratified_split(trust.trust_features(c.summary_t, c.scores))
+
+
+def _fixed_metrics(c):
+    """The metrics of a score that any engine can compute: a low quality score predicts a problem."""
+    rows = _split(c).where("is_test")
+    return _rounded(trust.classification_metrics(rows.select(
+        F.col("has_dq_problem").alias("label"), (-F.col("raw_dq_score")).alias("score"),
+        (F.col("raw_dq_score") < trust.TRUST_FLAG_BELOW).cast("int").alias("predicted"))), ["value"], 9)
+
+
+def q_recent_runs(spark, sf_dir):
+    return store.latest_runs(fixture_run_log(prepare(spark), sf_dir))
 
 
 QUERIES.update({
     "anomalous_rows": _sc(lambda c: detectors.anomalous_rows(c.scores)),
     "scatter_sample": _sc(lambda c: dashboard.scatter_sample(c.board)),
-    "recent_runs": _mc(_recent_runs),
+    "recent_runs": q_recent_runs,
+    "trust_split": _sc(lambda c: _split(c).select("hadm_id", "has_dq_problem", "is_test")),
+    "scaler_fit": _sc(lambda c: _rounded(trust.scaler_bounds(_split(c).where("NOT is_test")), ["lo", "hi"])),
+    "trust_metrics_fixed": _sc(_fixed_metrics),
+    "trust_summary": _sc(lambda c: _rounded(trust.score_summary(c.trust), ["flagged_share"])),
 })

@@ -393,9 +393,10 @@ ORACLE.update({
                          "JOIN trust t USING (hadm_id) WHERE t.dq_flagged"),
     "trust_verdict": sq(f"SELECT hadm_id, {VERDICT} AS trust_verdict FROM trust"),
     "review_table": sq(f"""SELECT w.review_rank, w.hadm_id, w.trust_score,
-        (SELECT {CONTEXT} FROM mart_patient_summary s JOIN trust t USING (hadm_id) WHERE s.hadm_id = w.hadm_id) AS record_context,
+        coalesce((SELECT {CONTEXT} FROM mart_patient_summary s JOIN trust t USING (hadm_id) WHERE s.hadm_id = w.hadm_id),
+                 'No record found for hadm_id=' || w.hadm_id) AS record_context,
         (SELECT {VERDICT} FROM trust t WHERE t.hadm_id = w.hadm_id) AS trust_verdict,
-        ws.vitals_sample,
+        coalesce(ws.vitals_sample, 'No vitals found for hadm_id=' || w.hadm_id) AS vitals_sample,
         'Review admission ' || w.hadm_id || ' and provide repair recommendations.' AS request
       FROM wl w LEFT JOIN wl_sample ws USING (hadm_id)""", REVIEW),
     "check_not_null": q(_check_sql("not_null")),
@@ -416,3 +417,50 @@ ORACLE["anomalous_rows"] = sq("SELECT hadm_id, charttime, 'anomaly' AS failure_t
 
 ORACLE["scatter_sample"] = sq("SELECT hadm_id, raw_dq_score, trust_score, dq_flagged FROM board "
                               "ORDER BY sha256(hadm_id || ':42'), hadm_id LIMIT 1000")
+
+# --- split, scaler, metrics, run log ----------------------------------------
+# One in five rows of each label (rounded up), by the smallest key.
+SPLIT = """
+keyed AS (
+  SELECT *, row_number() OVER (PARTITION BY has_dq_problem ORDER BY sha256(hadm_id || ':42')) AS place,
+         count(*) OVER (PARTITION BY has_dq_problem) AS of_label
+  FROM features),
+split AS (SELECT *, 5 * (place - 1) < of_label AS is_test FROM keyed),
+ranked AS (
+  SELECT has_dq_problem AS label, trust_flag,
+         rank() OVER (ORDER BY raw_dq_score DESC)
+           + (count(*) OVER (PARTITION BY raw_dq_score) - 1) / 2 AS mean_rank
+  FROM (SELECT *, raw_dq_score < 60 AS trust_flag FROM split WHERE is_test)),
+measured AS (
+  SELECT sum(label)::double AS p, sum(1 - label)::double AS n, sum(mean_rank) FILTER (label = 1) AS rank_sum,
+         count_if(label = 1 AND trust_flag)::double AS tp, count_if(trust_flag)::double AS hits FROM ranked),
+named AS (
+  SELECT unnest(['roc_auc', 'precision', 'recall', 'f1', 'n', 'positives']) AS metric,
+         unnest([CASE WHEN p * n > 0 THEN (rank_sum - p * (p + 1) / 2) / (p * n) END,
+                 CASE WHEN hits > 0 THEN tp / hits ELSE 0 END, CASE WHEN p > 0 THEN tp / p ELSE 0 END,
+                 CASE WHEN hits + p > 0 THEN 2 * tp / (hits + p) ELSE 0 END, n + p, p]) AS value
+  FROM measured)"""
+
+FEATURE_LIST = ["total_missing_vitals", "total_chart_rows", "hr_oor_count", "spo2_oor_count", "rr_oor_count",
+                "invalid_icd_count", "raw_dq_score", "avg_recon_error", "los_hours"]
+
+ORACLE.update({
+    "trust_split": sq("SELECT hadm_id, has_dq_problem, is_test FROM split", SPLIT),
+    "scaler_fit": sq(" UNION ALL ".join(
+        f"SELECT '{f}' AS feature, round(min(coalesce({f}, 0))::double, 6) AS lo, round(max(coalesce({f}, 0))::double, 6) AS hi "
+        "FROM split WHERE NOT is_test" for f in FEATURE_LIST), SPLIT),
+    "trust_metrics_fixed": sq("SELECT metric, round(value, 9) AS value FROM named", SPLIT),
+    "trust_summary": sq("SELECT count(*) AS n_rows, count_if(dq_flagged)::bigint AS n_flagged, "
+                        "round(avg(dq_flagged::integer), 6) AS flagged_share FROM trust"),
+    "recent_runs": """
+      WITH log AS (
+        SELECT 'run-' || event_id // 40 AS run, event_id // 4 % 10 AS step, ts, value,
+               ['roc_auc', 'train_loss', 'anomaly_threshold_p95', NULL][event_id % 4 + 1] AS name,
+               CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'FINISHED' END AS status
+        FROM events WHERE value IS NOT NULL)
+      SELECT run, max(ts) AS ts, last(status ORDER BY ts, status) AS status,
+             last(value ORDER BY step, ts, value) FILTER (name = 'roc_auc') AS roc_auc,
+             last(value ORDER BY step, ts, value) FILTER (name = 'train_loss') AS train_loss,
+             last(value ORDER BY step, ts, value) FILTER (name = 'anomaly_threshold_p95') AS anomaly_threshold_p95
+      FROM log GROUP BY run ORDER BY ts DESC, run LIMIT 20""",
+})

@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..constants import GBT_TREES, PCA_COMPONENTS, REVIEW_TOP_N
+from ..constants import GBT_DEPTH, GBT_RATE, GBT_SUBSAMPLE, GBT_TREES, PCA_COMPONENTS, REVIEW_TOP_N, SEED
 from ..operators import anomaly, checks, detectors, explain, reconstruct, review, staging, trust
 from ..operators import marts as M
 from ..session import checkpoint_dir, prepare
@@ -55,13 +55,10 @@ class Models:
     seconds: dict = field(default_factory=dict)
 
 
-ADMISSION_BUCKETS = 64
-
-
-def build_marts(spark: SparkSession, raw, buckets: int | None = ADMISSION_BUCKETS) -> dict[str, DataFrame]:
-    """Staging views and the two mart tables, written and read back.  The
-    summary (one row per admission) is bucketed by hadm_id like the trust
-    scores, so their joins need no shuffle; size ``buckets`` to the data
+def build_marts(spark: SparkSession, raw, buckets: int | None = None) -> dict[str, DataFrame]:
+    """Staging views and the two mart tables, written and read back.  With
+    ``buckets``, the summary (one row per admission) is bucketed by hadm_id like
+    the trust scores, so their joins need no shuffle; choose it by the data
     (about 128 MB each)."""
     stg = staging.stage_all(raw)
     store.save_table(staging.with_load_time(M.icu_vitals(stg["stg_chartevents"], stg["stg_admissions"])),
@@ -80,25 +77,30 @@ def train(spark: SparkSession, vitals: DataFrame, summary: DataFrame, paths: Pat
     import time
     prepare(spark)
     t0 = time.time()
-    pivot = anomaly.scoring_pivot(vitals)
-    medians = anomaly.column_medians(pivot)
-    ae = reconstruct.PcaModel.fit(anomaly.train_matrix(pivot, medians))
+    with store.logged_run(spark, paths.runs, f"reconstruction-train-{uuid.uuid4().hex[:8]}",
+                          {"components": PCA_COMPONENTS}) as log:
+        pivot = anomaly.scoring_pivot(vitals)
+        medians = anomaly.column_medians(pivot)
+        ae = reconstruct.PcaModel.fit(anomaly.train_matrix(pivot, medians))
+        store.save_anomaly_model(spark, ae, paths.anomaly_model)
+        log.update(train_loss=ae.mean_error, anomaly_threshold_p95=ae.threshold, mean_recon_error=ae.mean_error)
     t1 = time.time()
-    store.save_anomaly_model(spark, ae, paths.anomaly_model)
-    store.log_run(spark, paths.runs, f"reconstruction-train-{uuid.uuid4().hex[:8]}",
-                  {"train_loss": ae.mean_error, "anomaly_threshold_p95": ae.threshold,
-                   "mean_recon_error": ae.mean_error}, params={"components": PCA_COMPONENTS})
     # Score once into a file the trust model then reads (the reference trains
     # the trust model on the stored anomaly scores).
     scored = os.path.join(paths.root, "train_anomaly_scores")
     anomaly.score_anomalies(vitals, ae, medians).write.mode("overwrite").parquet(scored)
     feats = trust.trust_features(summary, spark.read.parquet(scored))
     t2 = time.time()
-    fit = trust.fit_trust(feats, trees=trees)
-    t3 = time.time()
-    store.save_trust_model(fit.model, paths.trust_model)
-    store.log_run(spark, paths.runs, f"trust-scorer-train-{uuid.uuid4().hex[:8]}", fit.metrics,
-                  params={"n_estimators": trees})
+    with store.logged_run(spark, paths.runs, f"trust-scorer-train-{uuid.uuid4().hex[:8]}", {
+            "n_estimators": trees, "max_depth": GBT_DEPTH, "learning_rate": GBT_RATE,
+            "subsample": GBT_SUBSAMPLE, "random_state": SEED}) as log:
+        fit = trust.fit_trust(feats, trees=trees)
+        t3 = time.time()
+        store.save_trust_model(fit.model, paths.trust_model)
+        log.update(fit.metrics)
+        held_out = trust.stratified_split(feats).where("is_test")
+        shap = explain.global_importance(explain.explain_trust(held_out, fit.model, paths.trust_model))
+        log.update({f"shap_{r.feature}": r.importance for r in shap.collect()})
     return Models(ae, medians, fit, paths.trust_model, fit.metrics,
                   {"fit_reconstruction": round(t1 - t0, 3), "score_for_training": round(t2 - t1, 3),
                    "fit_trust": round(t3 - t2, 3)})
@@ -106,8 +108,9 @@ def train(spark: SparkSession, vitals: DataFrame, summary: DataFrame, paths: Pat
 
 def run_pipeline(spark: SparkSession, raw, root: str | None = None, models: Models | None = None,
                  top_n: int = REVIEW_TOP_N, reviewer=review.rule_reviewer,
-                 buckets: int | None = ADMISSION_BUCKETS, trees: int = GBT_TREES) -> dict[str, DataFrame]:
+                 buckets: int | None = None, trees: int = GBT_TREES) -> dict[str, DataFrame]:
     """The daily run.  Raises checks.CheckFailed when a column test fails.
+    ``buckets`` buckets the per-admission tables (see build_marts).
     ``models`` None trains both first, on the marts of this run.
     ``raw`` None scores the raw tables already stored; models without an
     anomaly model score trust without anomaly features."""
@@ -136,6 +139,7 @@ def run_pipeline(spark: SparkSession, raw, root: str | None = None, models: Mode
     reviewed = review.apply_reviewer(table, reviewer)
     report = detectors.failure_report(t["mart_icu_vitals"], t["stg_diagnoses_icd"], charts, scores)
     return {**t, "check_results": results, "ml_anomaly_scores": scores, "ml_trust_scores": tr,
+            "trust_summary": trust.score_summary(tr),
             "review_table": table, "reviewed": reviewed, "failure_counts": detectors.failure_counts(report)}
 
 

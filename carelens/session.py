@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -68,6 +69,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder under the checkpoint folder, on whatever file system that is;
+    deleted when the application ends."""
+    path = os.path.join(checkpoint_dir(spark), name, uuid.uuid4().hex[:12])
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "carelens", extra: dict | None = None) -> SparkSession:
     """A local session for tests and the benchmark (UI off, loopback only)."""

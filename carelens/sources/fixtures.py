@@ -12,17 +12,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import FIXTURE_SALT
+from ..constants import FIXTURE_SALT, VALID_ICD9, VITALS
 from ..functions import add_minutes, anon_id
 from ..session import prepare
 from .schemas import (RAW_ADMISSIONS, RAW_CHARTEVENTS, RAW_DIAGNOSES,
                       RAW_PATIENTS, conform)
 
 # --- fixed values of the fixture mapping ----------------------------------
-FIXTURE_CODES = ["41001", "41071", "4280", "4019", "25000",
-                 "496", "2724", "5849", "51881", "99592"]
-FIXTURE_VITALS = ["heart_rate", "systolic_bp", "diastolic_bp",
-                  "spo2", "temperature_c", "respiratory_rate"]
 FIXTURE_LO = [40.0, 60.0, 30.0, 70.0, 35.0, 8.0]
 FIXTURE_SPAN = [140.0, 160.0, 100.0, 30.0, 5.5, 32.0]
 HADM_OFFSET = 100000
@@ -87,7 +83,7 @@ def raw_diagnoses(spark, sf_dir, salt=FIXTURE_SALT) -> DataFrame:
         anon_id(F.col("l_orderkey") + HADM_OFFSET, salt).alias("hadm_id"),
         F.col("l_linenumber").alias("seq_num"),
         F.when(F.col("l_partkey") % 33 == 0, "INVALID")
-         .otherwise(_pick(FIXTURE_CODES, F.col("l_suppkey") % 10 + 1)).alias("icd9_code"))
+         .otherwise(_pick(VALID_ICD9, F.col("l_suppkey") % 10 + 1)).alias("icd9_code"))
     return conform(df, RAW_DIAGNOSES)
 
 
@@ -109,7 +105,7 @@ def raw_chartevents(spark, sf_dir, salt=FIXTURE_SALT) -> DataFrame:
     df = j.select(
         "hadm_id", "subject_id",
         add_minutes(F.col("admittime"), offset).alias("charttime"),
-        F.when(s % 50 == 0, "glucose").otherwise(_pick(FIXTURE_VITALS, idx)).alias("vital_name"),
+        F.when(s % 50 == 0, "glucose").otherwise(_pick(VITALS, idx)).alias("vital_name"),
         F.when(p % 20 == 0, F.lit(None).cast("double")).otherwise(value).alias("valuenum"))
     return conform(df, RAW_CHARTEVENTS)
 
@@ -133,13 +129,12 @@ def ingested_raw(spark: SparkSession, sf_dir: str, salt: str = FIXTURE_SALT) ->
     small; the files survive executor loss.
     """
     import os
-    import uuid
 
-    from ..session import checkpoint_dir
+    from ..session import scratch_dir
     prepare(spark)
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), salt)
     if key not in _INGESTED:
-        root = os.path.join(checkpoint_dir(spark), "carelens-raw", uuid.uuid4().hex[:12])
+        root = scratch_dir(spark, "carelens-raw")
         for name, df in fixture_raw(spark, sf_dir, salt).as_dict().items():
             df.write.mode("overwrite").parquet(os.path.join(root, name))
         _INGESTED[key] = root
@@ -147,3 +142,17 @@ def ingested_raw(spark: SparkSession, sf_dir: str, salt: str = FIXTURE_SALT) ->
     from .schemas import RAW_SCHEMAS
     t = {n: spark.read.schema(s).parquet(os.path.join(root, n)) for n, s in RAW_SCHEMAS.items()}
     return Raw(t["raw_patients"], t["raw_admissions"], t["raw_diagnoses_icd"], t["raw_chartevents"])
+
+
+RUN_EVENTS = 40
+
+
+def fixture_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run log made of the test table ``events``: every RUN_EVENTS events are a run."""
+    from .store import RUN_COLUMNS
+    i = F.col("event_id")
+    return _read(spark, sf_dir, "events").where("value IS NOT NULL").select(
+        F.concat(F.lit("run-"), F.floor(i / RUN_EVENTS)).alias("run"),
+        _pick([*RUN_COLUMNS, "param.n_estimators"], i % 4 + 1).alias("name"), "value",
+        (F.floor(i / 4) % 10).cast("int").alias("step"), F.col("ts").cast("timestamp").alias("ts"),
+        F.when(F.col("event_type") == "error", "FAILED").otherwise("FINISHED").alias("status"))

@@ -9,6 +9,7 @@ run log are folders a cluster shares (e.g. an object store).
 from __future__ import annotations
 
 import datetime as _dt
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,29 +77,49 @@ def load_anomaly_model(spark: SparkSession, path: str):
 
 # --- run log -------------------------------------------------------------------
 
-RUN_SCHEMA = "run string, name string, value double, step int, ts timestamp"
+RUN_SCHEMA = "run string, name string, value double, step int, ts timestamp, status string"
+RUN_COLUMNS = ["roc_auc", "train_loss", "anomaly_threshold_p95"]
 
 
 def log_run(spark: SparkSession, path: str, run: str, metrics: dict, step: int | None = None,
-            params: dict | None = None) -> None:
-    """Append parameters and metrics of a run (long form)."""
+            params: dict | None = None, status: str = "FINISHED") -> None:
+    """Append parameters and metrics of a run (long form) with its status."""
     ts = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    rows = [(run, k, float(v), step, ts) for k, v in metrics.items() if v is not None]
-    rows += [(run, f"param.{k}", float(v), None, ts) for k, v in (params or {}).items()
+    rows = [(run, k, float(v), step, ts, status) for k, v in metrics.items() if v is not None]
+    rows += [(run, f"param.{k}", float(v), None, ts, status) for k, v in (params or {}).items()
              if isinstance(v, (int, float))]
     spark.createDataFrame(rows, RUN_SCHEMA).write.mode("append").parquet(path)
 
 
-def recent_runs(spark: SparkSession, path: str, n: int = 20,
-                metrics=("roc_auc", "train_loss", "anomaly_threshold_p95")) -> DataFrame:
-    """the n newest runs with selected metrics (last step of each)."""
+@contextmanager
+def logged_run(spark: SparkSession, path: str, run: str, params: dict):
+    """Log ``params`` and the metrics that the body puts into the dict it gets;
+    a body that raises is logged as FAILED."""
+    metrics: dict = {}
+    try:
+        yield metrics
+    except Exception:
+        log_run(spark, path, run, metrics, params=params, status="FAILED")
+        raise
+    log_run(spark, path, run, metrics, params=params)
+
+
+def latest_runs(log: DataFrame, n: int = 20, metrics=RUN_COLUMNS) -> DataFrame:
+    """the n newest runs (ties by name) with status and chosen metrics, each as
+    of its last step.  One map-side combined aggregate; n is the feature."""
+    def last(m):
+        at = F.when((F.col("name") == m) & F.col("value").isNotNull(), F.struct("step", "ts", "value"))
+        return F.max_by("value", at).alias(m)
+    return (log.groupBy("run").agg(F.max("ts").alias("ts"), F.max_by("status", F.struct("ts", "status")).alias("status"),
+                                   *[last(m) for m in metrics])
+            .orderBy(F.desc("ts"), "run").limit(n))
+
+
+def recent_runs(spark: SparkSession, path: str, n: int = 20, metrics=RUN_COLUMNS) -> DataFrame:
+    """F5 over the stored run log; no rows before the first run."""
     from pyspark.errors import AnalysisException
     try:
         log = spark.read.schema(RUN_SCHEMA).parquet(path)
-    except AnalysisException:      # no run logged yet (path does not exist)
-        return spark.createDataFrame([], "run string, ts timestamp")
-    last = (log.where(F.col("name").isin(list(metrics)))
-            .groupBy("run", "name").agg(F.max_by("value", F.coalesce("step", F.lit(-1))).alias("value")))
-    wide = last.groupBy("run").pivot("name", list(metrics)).agg(F.first("value"))
-    ts = log.groupBy("run").agg(F.max("ts").alias("ts"))
-    return ts.join(wide, "run", "left").orderBy(F.desc("ts")).limit(n)
+    except AnalysisException:      # the path does not exist yet
+        log = spark.createDataFrame([], RUN_SCHEMA)
+    return latest_runs(log, n, metrics)

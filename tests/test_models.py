@@ -149,8 +149,62 @@ def test_median_sketch_close_to_exact(ctx):
         assert abs(exact[v] - approx[v]) <= 0.02 * (hi - lo)
 
 
-def test_holdout_split_share_and_determinism(spark):
-    df = spark.range(50000).select(F.col("id").cast("string").alias("hadm_id"))
-    a = df.where(trust.split_column()).count()
-    b = df.where(trust.split_column()).count()
-    assert a == b and abs(a / 50000 - 0.2) < 0.01
+def test_split_takes_an_exact_share_of_each_label(spark):
+    df = spark.range(5003).select(F.col("id").cast("string").alias("hadm_id"),
+                                  (F.col("id") % 1000 == 7).cast("int").alias("has_dq_problem"))
+    split = trust.stratified_split(df.repartition(7))
+    got = {(r.has_dq_problem, r.is_test): r["count"] for r in split.groupBy("has_dq_problem", "is_test").count().collect()}
+    assert got == {(0, True): 1000, (0, False): 3998, (1, True): 1, (1, False): 4}
+    assert sorted(split.collect()) == sorted(trust.stratified_split(df).collect())
+    assert trust.stratified_split(df.limit(0)).count() == 0
+
+
+def test_scaler_bounds_are_what_the_scaler_learns(fitted):
+    feats, fit, _ = fitted
+    scaler = fit.model.stages[1]
+    got = {r.feature: (r.lo, r.hi) for r in trust.scaler_bounds(trust.stratified_split(feats).where("NOT is_test")).collect()}
+    assert [got[f] for f in trust.TRUST_FEATURES] == list(zip(scaler.originalMin.toArray(), scaler.originalMax.toArray()))
+
+
+def test_metrics_equal_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(y), float(s), int(s > 6)) for y, s in zip(rng.integers(0, 2, 300), rng.integers(0, 12, 300))]
+    df = spark.createDataFrame(rows, "label int, score double, predicted int")
+    got = {r.metric: r.value for r in trust.classification_metrics(df.repartition(5)).collect()}
+    pos, neg = [s for y, s, _ in rows if y], [s for y, s, _ in rows if not y]
+    assert abs(got["roc_auc"] - np.mean([(a > b) + (a == b) / 2 for a in pos for b in neg])) < 1e-12
+    tp, hits = sum(y and p for y, _, p in rows), sum(p for _, _, p in rows)
+    assert got["precision"] == tp / hits and got["recall"] == tp / len(pos) and got["n"] == 300
+    one = {r.metric: r.value for r in trust.classification_metrics(df.where("label = 0")).collect()}
+    assert one["roc_auc"] is None and one["recall"] == 0 and one["positives"] == 0
+
+
+def test_quantiles_equal_percentile(spark):
+    from carelens.operators import ranks
+    df = spark.range(4000).select((F.col("id") % 3).cast("double").alias("few"), F.rand(1).alias("many"),
+                                  F.when(F.col("id") == 5, 2.5).alias("one"), F.lit(None).cast("double").alias("none"))
+    counts = ranks.value_counts(df.repartition(6), df.columns)
+    for share in (0.0, 0.5, 0.95, 1.0):
+        got = {r.name: r.quantile for r in ranks.quantiles(counts, share).collect()}
+        want = df.agg(*[F.percentile(c, share).alias(c) for c in df.columns]).first().asDict()
+        assert want.pop("none") is None and set(got) == set(want)
+        assert all(abs(got[c] - want[c]) < 1e-12 for c in want)
+
+
+def test_missing_parts_are_named(spark, ctx):
+    ids = spark.createDataFrame([("nobody",)], "hadm_id string")
+    lost = ids.select("hadm_id", F.lit(1.0).alias("trust_score"), F.lit(True).alias("dq_flagged"))
+    assert review.trust_verdict(ctx.trust, ids).first().trust_verdict == "No trust score found for nobody"
+    row = review.review_table(ctx.summary, lost, ctx.charts).first()
+    assert row.record_context == "No record found for hadm_id=nobody"
+    assert row.vitals_sample == "No vitals found for hadm_id=nobody"
+
+
+def test_a_failed_run_is_logged(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    assert store.recent_runs(spark, path).count() == 0
+    with pytest.raises(ValueError), store.logged_run(spark, path, "r1", {"trees": 3}) as log:
+        log["roc_auc"] = 0.5
+        raise ValueError
+    r = store.recent_runs(spark, path).first()
+    assert (r.run, r.status, r.roc_auc, r.train_loss) == ("r1", "FAILED", 0.5, None)

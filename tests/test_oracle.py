@@ -50,8 +50,7 @@ def test_matches_duckdb(spark, con, name):
 
 
 def test_every_query_registered_has_oracle_or_is_model():
-    rows_only = {"anomaly_scores", "trust_scores", "trust_metrics", "shap_local", "shap_global", "reviewed",
-                 "recent_runs"} | set(E._LLM_QUERIES) - set(E._LLM_SQL)
+    rows_only = {"anomaly_scores", "trust_scores", "trust_metrics", "shap_local", "shap_global", "reviewed"} | set(E._LLM_QUERIES) - set(E._LLM_SQL)
     assert set(E.queries()) - set(E.oracle_sql()) == rows_only
 
 
