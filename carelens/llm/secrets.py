@@ -20,10 +20,13 @@ import math
 import re
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import cut, fresh, per_text
+from .common import chunks, cut, fresh, per_text
 
 # The base patterns and their least lengths, by the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -148,17 +151,26 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     key, found = fresh("_key", docs), fresh("_found", docs)
     named = F.concat_ws(":", F.sha2(F.col("text"), 256), F.col("doc_id").cast("string"))
     hits = (scan_secrets(docs.withColumn("doc_id", named)).where(F.size("found") > 0).groupBy("doc_id")
-            .agg(F.first("found").alias(found)).withColumnRenamed("doc_id", key))
-    marked = docs.withColumn(key, named).join(hits, key, "left")
-
-    @F.pandas_udf("string")
-    def mask_spans(text, spans):
-        return text.combine(spans, lambda t, f: t if t is None or f is None else _masked(
-            t, [(s["first"], s["last"]) for s in f], mask))
-
-    new = {"text": F.when(F.col(found).isNull(), F.col("text")).otherwise(mask_spans("text", found))}
-    out = marked.withColumns(new)
+            .agg(F.first(F.transform("found", lambda s: F.struct(s["first"], s["last"]))).alias(found))
+            .withColumnRenamed("doc_id", key))
+    marked = docs.withColumn(key, named).join(hits, key, "left").select(*docs.columns, found)
+    out = T.StructType(docs.schema.fields + [T.StructField(found, T.BooleanType())])
+    arrow, at, last = to_arrow_schema(out), docs.columns.index("text"), len(docs.columns)
+
+    def mask_spans(batches):
+        # Some megabytes at a time, as Arrow; only texts with spans are rewritten.
+        for whole in batches:
+            for b in chunks(whole, at):
+                spans = b.column(last).to_pylist()
+                columns = [b.column(i).cast(arrow.field(i).type) for i in range(last)]
+                if any(spans):
+                    columns[at] = pa.array(
+                        [_masked(t, [tuple(x.values()) for x in s], mask) if s else t
+                         for t, s in zip(b.column(at).to_pylist(), spans)], type=arrow.field(at).type)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([bool(s) for s in spans])], schema=arrow)
+
+    masked = marked.mapInArrow(mask_spans, out)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col(found).isNull(), F.col("n_chars"))
-                             .otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        masked = masked.withColumn("n_chars", F.when(F.col(found), F.length("text").cast(docs.schema["n_chars"].dataType))
+                                   .otherwise(F.col("n_chars")))
+    return masked.select(*docs.columns)
