@@ -66,7 +66,7 @@ def main(argv=None) -> None:
         "admissions": out["mart_patient_summary"].count(),
         "scored": scored.n_rows, "flagged": scored.n_flagged,
         "failures": {r.failure_type: r.failures for r in out["failure_counts"].collect()},
-        "reviewed": [r.asDict() for r in out["reviewed"].collect()]}, default=str))
+        "reviewed": out["reviewed"] is not None and [r.asDict() for r in out["reviewed"].collect()]}, default=str))
 
 
 if __name__ == "__main__":

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import uuid
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -136,13 +137,24 @@ def run_pipeline(spark: SparkSession, raw, root: str | None = None, models: Mode
                      bucket_by="hadm_id", buckets=buckets)
     tr = spark.table("ml_trust_scores")
     table = review.review_table(summary, tr, charts, top_n)
-    reviewed = review.apply_reviewer(table, reviewer)
+    reviewed = review_step(spark, table, reviewer)
     report = detectors.failure_report(t["mart_icu_vitals"], t["stg_diagnoses_icd"], charts, scores)
     return {**t, "check_results": results, "ml_anomaly_scores": scores, "ml_trust_scores": tr,
             "trust_summary": trust.score_summary(tr),
             "review_table": table, "reviewed": reviewed, "failure_counts": detectors.failure_counts(report)}
 
 
+def review_step(spark: SparkSession, table: DataFrame, reviewer=review.rule_reviewer) -> DataFrame | None:
+    """The reviewer's answers as the table ``ml_reviews``.  A review that fails is
+    a warning and None: the scores of the run stand without it."""
+    try:
+        store.save_table(review.apply_reviewer(table, reviewer), "ml_reviews")
+    except Exception as e:  # noqa: BLE001 - whatever the reviewer needs may be missing
+        warnings.warn(f"review failed: {e}", RuntimeWarning)
+        return None
+    return spark.table("ml_reviews")
+
+
 def train_only(spark: SparkSession, raw, root: str | None = None, trees: int = GBT_TREES) -> Models:
     """Marts, then both fits; scores nothing for the readers."""
     prepare(spark)

@@ -200,6 +200,16 @@ def test_missing_parts_are_named(spark, ctx):
     assert row.vitals_sample == "No vitals found for hadm_id=nobody"
 
 
+def test_a_failed_review_does_not_stop_the_run(spark, ctx):
+    import threading
+
+    from carelens.plans import pipeline
+    table = review.review_table(ctx.summary, ctx.trust, ctx.charts, top_n=2)
+    lock = threading.Lock()          # cannot be sent to executors
+    with pytest.warns(RuntimeWarning, match="review failed"):
+        assert pipeline.review_step(spark, table, lambda row: str(lock)) is None
+
+
 def test_a_failed_run_is_logged(spark, tmp_path):
     path = str(tmp_path / "runs")
     assert store.recent_runs(spark, path).count() == 0
