@@ -20,6 +20,12 @@ LENGTH-byte strings are compared at each offset, exactly.
 Buckets hold a bounded amount of text on average.  Occurrences with equal
 surroundings within a run (copied documents, common passages) travel as a
 finished interval instead of as suffixes.
+
+An anchor with more than HOT occurrences (a footer, a frequent line) goes to no
+bucket, as one task would hold them all.  Its LENGTH-byte strings are exchanged
+themselves, one row per run and string with the earliest place in the run, and
+every place but the earliest of all is marked: a footer's occurrences spread over
+tasks by what surrounds them.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,6 +47,9 @@ BLOCK = 1 << 22  # positions scanned at once in a very long text
 # Text whose anchor hashes are compared by one task, on average.
 FILTER_BYTES = 64 << 20
 MANY = 2048  # occurrences from which strings are compared as arrays
+HOT = 8192  # occurrences of an anchor that one task may hold
+CELL_BITS = 24  # hot anchors are told by a bitmap of this many bits of a hash; others that share a bit count as hot
+HELD = 1 << 17  # strings of hot anchors per run
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _LOW = np.uint64((1 << 24) - 1)
 LAST_ID = (1 << 63) - 1  # stands for a null doc_id; no document may have it
@@ -48,18 +57,30 @@ LAST_ID = (1 << 63) - 1  # stands for a null doc_id; no document may have it
 
 def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) of the anchors of all LENGTH-byte strings of ``raw``."""
-    pos, hashes = [], []
+    return anchored(raw)[:2]
+
+
+def gram_hashes(words: list) -> np.ndarray:
+    """Hashes of GRAM-byte strings from their words of 8 bytes, multiplied by the first of _MIX."""
+    h = words[0]
+    for k in range(1, GRAM // 8):
+        h = h ^ (h >> np.uint64(29))
+        h *= _MIX[k]
+        h += words[k]
+    h ^= h >> np.uint64(32)
+    h *= _MIX[1]
+    return h
+
+
+def anchored(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors of ``raw`` and, for each, the start of the first string it is the anchor
+    of; the last one starts before that of the next anchor."""
+    pos, hashes, begin = [], [], []
     for base in range(0, max(0, len(raw) - LENGTH + 1), BLOCK):
         part = raw[base:base + BLOCK + LENGTH - 1]
-        words = np.empty(len(part) - 7, np.uint64)
-        for o in range(8):
-            own = np.frombuffer(part, "<u8", (len(part) - o) // 8, o)
-            words[o::8] = own[:len(words[o::8])]
         n = len(part) - GRAM + 1
-        h = words[:n] * _MIX[0]
-        for k in range(1, GRAM // 8):
-            h = (h ^ (h >> np.uint64(29))) * _MIX[k] + words[8 * k:8 * k + n] * _MIX[0]
-        h = (h ^ (h >> np.uint64(32))) * _MIX[1]
+        words = np.ndarray(len(part) - 7, "<u8", part, 0, 1) * _MIX[0]
+        h = gram_hashes([words[k:k + n] for k in range(0, GRAM, 8)])
         # Smallest hash of REACH + 1 neighbours, the leftmost of equals.
         low = (h & ~_LOW) | np.arange(n, dtype=np.uint64)
         size = 1
@@ -68,14 +89,17 @@ def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
             low = np.minimum(low[:-step], low[step:])
             size += step
         at = (low & _LOW).astype(np.int64)
-        at = at[np.r_[True, at[1:] != at[:-1]]]
-        pos.append(at + base)
-        hashes.append(h[at])
+        first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
+        pos.append(at[first] + base)
+        hashes.append(h[at[first]])
+        begin.append(first + base)
     if not pos:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    pos, hashes = np.concatenate(pos), np.concatenate(hashes)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    if len(pos) == 1:
+        return pos[0], hashes[0], begin[0]
+    pos, hashes, begin = np.concatenate(pos), np.concatenate(hashes), np.concatenate(begin)
     pos, first = np.unique(pos, return_index=True)
-    return pos, hashes[first]
+    return pos, hashes[first], begin[first]
 
 
 def common_prefix(a: bytes, b: bytes, known: int) -> int:
@@ -241,11 +265,11 @@ def merge_bucket(packed: list[bytes]) -> list[tuple]:
     return out
 
 
-def _pack_hashes(docs: list, counts: list, hashes: np.ndarray, buckets: int):
+def _pack_hashes(docs: list, counts: list, hashes: np.ndarray, at: np.ndarray, buckets: int):
     """(bucket, packed) of one run's anchors: hashes sorted, with the document and
-    the number of the anchor within it."""
+    the position of the anchor in it."""
     doc = np.repeat(np.arange(len(docs), dtype=np.uint32), counts)
-    nth = (np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint32)
+    place = at.astype(np.uint32)
     own = (hashes >> np.uint64(33)) % np.uint64(buckets)
     short = hashes.astype(np.uint32)
     order = np.lexsort((short, own))
@@ -256,54 +280,155 @@ def _pack_hashes(docs: list, counts: list, hashes: np.ndarray, buckets: int):
         if len(at):
             used, local = np.unique(doc[at], return_inverse=True)
             raw = [np.array([len(at), len(used)], np.int64), table[used], np.diff(short[at], prepend=np.uint32(0)),
-                   local.astype(np.uint32), nth[at]]
+                   local.astype(np.uint32), place[at]]
             yield k, zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(x).tobytes() for x in raw))
 
 
 def _repeated(packed: list[bytes]) -> list[tuple]:
-    """(doc, hash, numbers of its repeated anchors) within one bucket."""
-    tables, hashes, local, nth = [], [], [], []
+    """(doc, hash, positions of its repeated anchors) within one bucket."""
+    tables, hashes, local, place = [], [], [], []
     for p in packed:
         raw = zstandard.ZstdDecompressor().decompress(p)
         n, d = np.frombuffer(raw, np.int64, 2).tolist()
         local.append(np.frombuffer(raw, np.uint32, n, 16 + 16 * d + 4 * n) + sum(map(len, tables)))
         tables.append(np.frombuffer(raw, np.int64, 2 * d, 16).reshape(-1, 2))
         hashes.append(np.cumsum(np.frombuffer(raw, np.uint32, n, 16 + 16 * d), dtype=np.uint32))
-        nth.append(np.frombuffer(raw, np.uint32, n, 16 + 16 * d + 8 * n))
-    h, doc, nth, table = np.concatenate(hashes), np.concatenate(local), np.concatenate(nth), np.concatenate(tables)
+        place.append(np.frombuffer(raw, np.uint32, n, 16 + 16 * d + 8 * n))
+    h, doc, place, table = np.concatenate(hashes), np.concatenate(local), np.concatenate(place), np.concatenate(tables)
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
     hit = order[np.r_[same, False] | np.r_[False, same]]
     hit = hit[np.argsort(doc[hit], kind="stable")]
     cuts = np.flatnonzero(np.diff(doc[hit])) + 1
-    return [(*table[doc[part[0]]].tolist(), nth[part].astype(np.uint32).tobytes()) for part in np.split(hit, cuts) if len(part)]
+    return [(*table[doc[part[0]]].tolist(), place[part].astype(np.uint32).tobytes()) for part in np.split(hit, cuts) if len(part)]
+
+
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes * _MIX[3]) >> np.uint64(32)
+
+
+def hot_cells(src: DataFrame, total: int, hot: int) -> bytes | None:
+    """Packed bitmap of the cells of anchors with more than ``hot`` occurrences, None
+    without such.  Counts are combined per run and map-side; only cells reach the driver."""
+    if total <= hot:
+        return None
+
+    def count(batches):
+        hashes, size = [], 0
+
+        def flush():
+            cells, n = np.unique(np.concatenate(hashes), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int64)), pa.array(n.astype(np.int64))], ["cell", "n"])
+
+        for b in batches:
+            for text in b.column(2):
+                raw = text.as_py().encode("utf-8")
+                hashes.append(_cells(anchors(raw)[1]))
+                size += len(raw)
+                if size >= 2 * RUN_BYTES:
+                    yield flush()
+                    hashes, size = [], 0
+        if hashes:
+            yield flush()
+
+    found = (src.mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > hot)
+             .select(F.shiftright("cell", 32 - CELL_BITS).alias("cell")).distinct().toArrow().column("cell").to_numpy())
+    if not len(found):
+        return None
+    flags = np.zeros(1 << CELL_BITS, bool)
+    flags[found] = True
+    return zstandard.ZstdCompressor().compress(np.packbits(flags).tobytes())
 
 
-def repeated_anchors(src: DataFrame, total: int) -> DataFrame:
-    """(doc, hash, at): numbers (uint32) of the anchors whose hash occurs twice or
-    more in the corpus.  A few others pass (hashes are cut short); none is missed."""
+def _hot_test(cells: bytes | None):
+    """Function from hashes to whether each belongs to a hot anchor."""
+    if cells is None:
+        return lambda hashes: np.zeros(len(hashes), bool)
+    flags = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(cells), np.uint8)).astype(bool)
+    return lambda hashes: flags[_cells(hashes) >> np.uint64(32 - CELL_BITS)]
+
+
+def hot_intervals(src: DataFrame, cells: bytes) -> DataFrame:
+    """(doc, hash, first, last) covered by strings of hot anchors that also start earlier.
+
+    A run's rows are its strings with their earliest place there, and, under a shorter key
+    of their own, the intervals of its later places.  Strings are compared as bytes."""
+    def strings(batches):
+        is_hot = _hot_test(cells)
+        held: dict[bytes, tuple] = {}
+        later: dict[tuple, list] = {}
+        marked = 0
+
+        def flush():
+            rows = [(k, *place, place[2] + LENGTH) for k, place in held.items()]
+            for (doc, text_hash), starts in later.items():
+                for a, b in without_intervals(b"", [(s, s + LENGTH) for s in starts])[0]:
+                    rows.append((np.array([doc, text_hash, a], np.int64).tobytes(), doc, text_hash, a, b))
+            held.clear()
+            later.clear()
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
+                                              ["string", "doc", "hash", "first", "last"])
+
+        for b in batches:
+            for doc, text_hash, text in zip(*(b.column(i) for i in range(3))):
+                raw, doc, text_hash = text.as_py().encode("utf-8"), doc.as_py(), text_hash.as_py()
+                _, h, begin = anchored(raw)
+                end = np.r_[begin[1:], len(raw) - LENGTH + 1]
+                some = is_hot(h)
+                for low, high in zip(begin[some].tolist(), end[some].tolist()):
+                    for s in range(low, high):
+                        place = (doc, text_hash, s)
+                        old = held.setdefault(raw[s:s + LENGTH], place)
+                        if old != place:
+                            if place < old:
+                                held[raw[s:s + LENGTH]] = place
+                            late = max(old, place)
+                            later.setdefault(late[:2], []).append(late[2])
+                            marked += 1
+                    if len(held) >= HELD or marked >= 4 * HELD:
+                        yield flush()
+                        marked = 0
+        if held:
+            yield flush()
+
+    # At most one row per run and string in a window.
+    earliest = F.min(F.struct("doc", "hash", "first")).over(Window.partitionBy("string"))
+    return (src.mapInArrow(strings, "string binary, doc bigint, hash bigint, first bigint, last bigint")
+            .withColumn("earliest", earliest)
+            .where((F.length("string") < LENGTH) | (F.struct("doc", "hash", "first") != F.col("earliest")))
+            .select("doc", "hash", "first", "last"))
+
+
+def repeated_anchors(src: DataFrame, total: int, cells: bytes | None = None) -> DataFrame:
+    """(doc, hash, at): positions (uint32) of the anchors that are not hot and whose hash occurs
+    twice or more in the corpus.  A few others pass (hashes are cut short); none is missed."""
     buckets = int(max(4, -(-total // FILTER_BYTES)))
 
     def pack(batches):
-        docs, counts, hashes, size = [], [], [], 0
+        is_hot = _hot_test(cells)
+        docs, counts, hashes, places, size = [], [], [], [], 0
 
         def flush():
-            rows = list(_pack_hashes(docs, counts, np.concatenate(hashes), buckets))
+            rows = list(_pack_hashes(docs, counts, np.concatenate(hashes), np.concatenate(places), buckets))
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([r for _, r in rows], pa.binary())],
                                               ["bucket", "run"])
 
         for b in batches:
             for doc, text_hash, text in zip(*(b.column(i) for i in range(3))):
                 raw = text.as_py().encode("utf-8")
-                _, h = anchors(raw)
+                pos, h = anchors(raw)
+                cold = ~is_hot(h)
+                pos, h = pos[cold], h[cold]
                 if len(h):
                     docs.append((doc.as_py(), text_hash.as_py()))
                     counts.append(len(h))
                     hashes.append(h)
+                    places.append(pos)
                     size += len(raw)
                 if size >= 2 * RUN_BYTES:
                     yield flush()
-                    docs, counts, hashes, size = [], [], [], 0
+                    docs, counts, hashes, places, size = [], [], [], [], 0
         if docs:
             yield flush()
 
@@ -321,8 +446,9 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     src = _identified(docs)
     total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(4, -(-total // RUN_BYTES)))
+    cells = hot_cells(src, total, HOT)
     # One document's anchors are bounded by its text.
-    wanted = repeated_anchors(src, total).groupBy("doc", "hash").agg(F.collect_list("at").alias("at"))
+    wanted = repeated_anchors(src, total, cells).groupBy("doc", "hash").agg(F.collect_list("at").alias("at"))
 
     def sort_runs(batches):
         held: dict[int, list] = {}
@@ -337,9 +463,9 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
         for b in batches:
             for doc, text_hash, text, at in zip(*(b.column(i) for i in range(4))):
                 raw, doc, text_hash = text.as_py().encode("utf-8"), doc.as_py(), text_hash.as_py()
-                pos, h = anchors(raw)
-                some = np.unique(np.frombuffer(b"".join(at.as_py()), np.uint32))
-                pos, h = pos[some], h[some]
+                pos = np.unique(np.frombuffer(b"".join(at.as_py()), np.uint32)).astype(np.int64)
+                words = np.ndarray(len(raw) - 7, "<u8", raw, 0, 1)
+                h = gram_hashes([words[pos + k] * _MIX[0] for k in range(0, GRAM, 8)])
                 own = ((h * _MIX[2]) >> np.uint64(33)).astype(np.int64) % buckets
                 for p, k in zip(pos.tolist(), own.tolist()):
                     held.setdefault(k, []).append((raw[p:p + LENGTH], raw[max(0, p - REACH):p], doc, text_hash, p))
@@ -355,9 +481,10 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
         return pa.table([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ([], [], [], []))],
                         ["doc", "hash", "first", "last"])
 
-    return (src.join(wanted, ["doc", "hash"]).select("doc", "hash", "text", "at")
-            .mapInArrow(sort_runs, "bucket bigint, run binary").repartition(buckets, "bucket").groupBy("bucket")
-            .applyInArrow(merge, "doc bigint, hash bigint, first bigint, last bigint"))
+    found = (src.join(wanted, ["doc", "hash"]).select("doc", "hash", "text", "at")
+             .mapInArrow(sort_runs, "bucket bigint, run binary").repartition(buckets, "bucket").groupBy("bucket")
+             .applyInArrow(merge, "doc bigint, hash bigint, first bigint, last bigint"))
+    return found if cells is None else found.unionByName(hot_intervals(src, cells))
 
 
 def _identified(docs: DataFrame) -> DataFrame:

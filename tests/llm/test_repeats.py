@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from helpers import awkward, docs
 
@@ -83,6 +84,39 @@ def test_rows_equal_brute_force(spark, monkeypatch, run_bytes):
     assert repeats.remove_repeats(docs(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot,held", [(40, 1 << 17), (2, 50)])
+def test_hot_anchors_go_to_no_bucket_and_leave_nothing(spark, monkeypatch, hot, held):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "HELD", held)
+    rnd = random.Random(8)
+    prose = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    footer, line = prose(150), prose(110)
+    # Every occurrence stands in other surroundings; one footer is cut short, one document comes twice.
+    texts = [prose(rnd.randint(0, 150)) + (footer if i % 3 else line) + prose(rnd.randint(0, 150)) for i in range(150)]
+    rows = [(rnd.randrange(10**6), t) for t in [*texts, footer[:99] + "Z", footer + footer, *awkward_texts(rnd)[:30]]]
+    rows += [rows[0], (rows[1][0], rows[2][1]), (None, rows[1][1]), (None, None)]
+    table = docs(spark, rows)
+    src = repeats._identified(table)
+    total = sum(len((t or "").encode()) for _, t in rows)
+    cells = repeats.hot_cells(src, total, hot)
+    text = {(r.doc, r.hash): r.text for r in src.collect()}
+    sent = {}
+    for r in repeats.repeated_anchors(src, total, cells).collect():
+        raw = text[r.doc, r.hash].encode()
+        for p in np.frombuffer(r.at, np.uint32).tolist():
+            gram = raw[p:p + repeats.GRAM]
+            sent[gram] = sent.get(gram, 0) + 1
+    assert max(sent.values(), default=0) <= hot
+    want = plain(rows)
+    got = repeats.remove_repeats(table).collect()
+    key = lambda r: (-1 if r[0] is None else r[0], r[1], r[2])
+    expect = []
+    for i, t in rows:
+        flags = want[i if i is not None else repeats.LAST_ID, t or ""]
+        expect.append((i, len(flags), sum(flags), hashlib.sha256(bytes(c for c, f in zip((t or "").encode(), flags) if not f)).hexdigest()))
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in got), key=key) == sorted(expect, key=key)
+
+
 def test_merge_yields_sorted_suffixes_with_their_common_prefixes():
     rnd = random.Random(5)
     runs = []
