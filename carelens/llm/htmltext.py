@@ -7,7 +7,8 @@ forms, scripts, reader comments) leaves empty lines behind.  The lengths of
 distribution; text is kept from each point where it surges over ``SURGE`` to the
 point where it dives to nothing, and in the same element as such a stretch (an
 advert may cut a column in two).  Where the page marks its article, only lines
-inside the mark count and any length is a surge.
+inside the mark count and any length is a surge (short articles stay whole); there
+the distribution only drops lists of links, which leave a whole window without text.
 
 Pages are independent: one pass, no shuffle.
 """
@@ -156,6 +157,12 @@ def main_text(page: str | None) -> str:
     size = np.array([(len(line) if inside else 0) if marked else n for line, n, inside, _ in rows], np.int64)
     if not len(size):
         return ""
+    listed = np.zeros(len(rows), bool)
+    if marked and any(inside and n for _, n, inside, _ in rows):
+        links = np.array([bool(line) and inside and not n for line, n, inside, _ in rows], np.int64)
+        for o, full in enumerate([np.convolve(links, np.ones(WINDOW, np.int64), "valid") == WINDOW] * WINDOW if len(rows) >= WINDOW else []):
+            listed[o:o + len(full)] |= full
+        size[listed] = 0
     padded = np.r_[size, np.zeros(WINDOW - 1, np.int64)]
     total = np.convolve(padded, np.ones(WINDOW, np.int64), "valid")
     keep, start = np.zeros(len(rows), bool), None
@@ -170,8 +177,8 @@ def main_text(page: str | None) -> str:
                     keep[with_text[0]:with_text[-1] + 1] = True
                 start = None
     holding = {rows[i][3] for i in np.flatnonzero(keep)}
-    return "\n".join(line for (line, _, inside, holder), k in zip(rows, keep)
-                     if line and (k or holder in holding) and (inside or not marked))
+    return "\n".join(line for (line, _, inside, holder), k, in_list in zip(rows, keep, listed)
+                     if line and (k or holder in holding and not in_list) and (inside or not marked))
 
 
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -21,6 +21,13 @@ def test_unmarked_pages_keep_the_surge():
     assert main_text(page) == f"Title\n{LONG}\nShort.\n{LONG}\nAfter."
 
 
+def test_marked_article_drops_lists_of_links_and_no_other_line():
+    items = "".join(f"<li><a href=/{i}>Another headline {i}</a></li>" for i in range(4))
+    page = f"<main><ul>{items}</ul><h1>Title</h1><p>Short.</p><p><a href=1>A linked line</a></p><div><p>{LONG}</p></div><ul>{items}</ul><div>Last.</div></main>"
+    assert main_text(page) == f"Title\nShort.\nA linked line\n{LONG}\nLast."
+    assert main_text(f"<article><ul>{items}</ul></article>").count("\n") == 3  # nothing but links: the article
+
+
 def test_broken_markup_loses_no_article_text():
     assert main_text(f"<nav><ul><li>menu<article><p>{LONG}<p>two<!-- open <p>no") == f"{LONG}\ntwo"
     assert main_text("<article><p>a < b and c<d> e</p><p title='x>y'>f</p>") == "a < b and c e\nf"
