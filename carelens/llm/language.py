@@ -10,7 +10,7 @@ false-positive rate explains.
 
 Scale: trigram counts are combined per task before they are shuffled by
 (language, trigram); the driver receives at most 1 / LEAST_SHARE rows per
-language; the filter has a fixed size.  Prediction is one pass without shuffle.
+language; the filter has 8 MB for each 64 languages.  Prediction is one pass without shuffle.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ LEAST_SHARE = 5e-5
 SLOT_BITS = 20
 # Multipliers of the slot hashes (odd, from the golden ratio and square roots of 2 and 3).
 HASHES = (0x9E3779B97F4A7C15, 0x6A09E667F3BCC909, 0xBB67AE8584CAA73B)
-# Languages a filter can tell apart: one bit each in PLANES words of 64.
-PLANES = 8
+# Hits (languages x texts) held at once in prediction.
+HITS = 1 << 22
 UNKNOWN = "und"
 
 
@@ -99,6 +99,10 @@ class Model:
     def predict(self, texts: list) -> tuple[list[str], list[float]]:
         """(language, score) of each text; score is the corrected share of the
         winner's trigrams, ties go to the language with more training text."""
+        step = max(1, HITS // max(1, len(self.languages)))
+        if len(texts) > step:
+            parts = [self.predict(texts[i:i + step]) for i in range(0, len(texts), step)]
+            return [x for name, _ in parts for x in name], [x for _, score in parts for x in score]
         grams = [trigrams(t) for t in texts]
         size = np.array([len(g) for g in grams], np.int64)
         some = np.flatnonzero(size)
@@ -128,10 +132,7 @@ def fit(rows: DataFrame) -> Model:
     """Learn from rows of (lang, text); null lang or text teaches nothing."""
     counts = cut(trigram_counts(rows.where("lang IS NOT NULL AND text IS NOT NULL")))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    known = totals.orderBy(F.desc("total"), "lang").limit(PLANES * 64 + 1).collect()
-    if len(known) > PLANES * 64:
-        raise ValueError(f"more than {PLANES * 64} languages")
-    languages = [r.lang for r in known]
+    languages = [r.lang for r in totals.orderBy(F.desc("total"), "lang").collect()]
     # At most 1 / LEAST_SHARE rows per language.
     kept = (counts.join(F.broadcast(totals), "lang").where(F.col("n") >= LEAST_SHARE * F.col("total"))
             .select("lang", "gram").toPandas())

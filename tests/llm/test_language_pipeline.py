@@ -97,3 +97,13 @@ def test_stages_match_rows_without_id_and_repeated_ids_by_text(spark):
     clean = decontaminate.drop_contaminated(kept, bench)
     assert sorted(r.text for r in clean.collect()) == sorted(t for _, t in rows if t and len(t) > 50 and t != good[1])
     assert simhash.keep_one(clean).schema.names == table.schema.names and simhash.keep_one(clean).count() == 3
+
+
+def test_more_languages_than_eight_planes(spark, monkeypatch):
+    monkeypatch.setattr(language, "HITS", 2000)
+    word = lambda i: "".join(chr(0x4E00 + 3 * i + k) for k in range(3))
+    rows = [(f"l{i}", word(i)) for i in range(530)]
+    model = language.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert len(model.languages) == 530 and model.planes == 9
+    name, score = model.predict([t for _, t in rows] + [None])
+    assert name == [x for x, _ in rows] + ["und"] and score[-1] == 0.0 and len(score) == 531
