@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from carelens.operators import anomaly, checks, explain, reconstruct, review, trust
 from carelens.plans.catalog import ScoreCtx
 from carelens.sources import store
-from conftest import SF_SMALL
+from settings import SF_SMALL
 
 
 @pytest.fixture(scope="module")

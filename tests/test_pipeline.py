@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from carelens.plans import pipeline
 from carelens.sources import store
 from carelens.sources.fixtures import fixture_raw
-from conftest import SF_SMALL
+from settings import SF_SMALL
 
 
 def test_daily_run_end_to_end(spark):
