@@ -6,7 +6,7 @@ parameters.  ``ORACLE`` has DuckDB SQL where SQL can express the result.
 
 from __future__ import annotations
 
-from . import chat, decontaminate, htmltext, language, pieces, quality, repeats, secrets, simhash, tokens
+from . import chat, decontaminate, htmltext, language, pieces, quadratic, quality, repeats, secrets, simhash, tokens
 from .common import table
 
 QUERIES: dict = {}
@@ -53,9 +53,13 @@ def op10_html_text(spark, sf_dir):
     return htmltext.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_quality_classifier(spark, sf_dir):
+    return quadratic.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES.update({f.__name__: f for f in (
     op1_simhash_dedup, op2_suffix_dedup, op3_secret_scan, op4_chat_format, op5_decontaminate, op6_token_counts, op7_language_id,
-    op8_quality_rules, op9_sentencepiece, op10_html_text)})
+    op8_quality_rules, op9_sentencepiece, op10_html_text, op11_quality_classifier)})
 
 ORACLE["op4_chat_format"] = r"""
 WITH given AS (
