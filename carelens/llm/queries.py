@@ -6,7 +6,7 @@ parameters.  ``ORACLE`` has DuckDB SQL where SQL can express the result.
 
 from __future__ import annotations
 
-from . import chat, decontaminate, htmltext, language, pieces, quadratic, quality, repeats, secrets, simhash, tokens
+from . import chat, decontaminate, htmltext, language, pieces, prefixes, quadratic, quality, repeats, secrets, simhash, tokens
 from .common import table
 
 QUERIES: dict = {}
@@ -57,9 +57,14 @@ def op11_quality_classifier(spark, sf_dir):
     return quadratic.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_prefix_trie(spark, sf_dir):
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES.update({f.__name__: f for f in (
     op1_simhash_dedup, op2_suffix_dedup, op3_secret_scan, op4_chat_format, op5_decontaminate, op6_token_counts, op7_language_id,
-    op8_quality_rules, op9_sentencepiece, op10_html_text, op11_quality_classifier)})
+    op8_quality_rules, op9_sentencepiece, op10_html_text, op11_quality_classifier,
+    op12_prefix_trie)})
 
 ORACLE["op4_chat_format"] = r"""
 WITH given AS (
@@ -105,3 +110,50 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+# CRC-32 (unsigned) of the bytes of a list column b, by a table that the query builds.
+CRC_TABLE = """
+crc_table AS (
+    SELECT list(c ORDER BY i) AS tab FROM (
+        SELECT i, list_reduce(list_concat([CAST(i AS BIGINT)], CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+                              lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+        FROM range(256) t(i))
+)"""
+CRC = ("xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {b}), "
+       "lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295)")
+
+ORACLE["op12_prefix_trie"] = f"""
+WITH {CRC_TABLE}, turns AS (
+    SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+    SELECT conv_id, list(sha256(length(role) || ':' || role || text) ORDER BY turn NULLS FIRST, role, text) AS k,
+           list(CAST(octet_length(encode(text)) AS BIGINT) ORDER BY turn NULLS FIRST, role, text) AS z
+    FROM turns GROUP BY conv_id
+), cuts AS (
+    SELECT conv_id, k, z, {CRC.format(b="list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda y: CAST(ord(y) AS BIGINT))")} % 9 AS h
+    FROM own, crc_table
+), made AS (
+    SELECT c.conv_id, list_concat(coalesce(d.k[1:c.h], []), c.k[c.h + 1:]) AS k,
+           list_concat(coalesce(d.z[1:c.h], []), c.z[c.h + 1:]) AS z
+    FROM cuts c LEFT JOIN own d ON d.conv_id = c.conv_id - c.conv_id % 5
+), member AS (
+    SELECT conv_id, len(k) AS n, d, coalesce(array_to_string(k[1:d], ''), '') AS key, CASE WHEN d > 0 THEN z[d] ELSE 0 END AS size
+    FROM (SELECT *, unnest(range(len(k) + 1)) AS d FROM made)
+), node AS (
+    SELECT d AS depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) AS size,
+           sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+    FROM member GROUP BY d, key
+), kids AS (
+    SELECT substr(key, 1, 64 * (CAST(depth AS INT) - 1)) AS key, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1
+), full_node AS (
+    SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (key)
+), sums AS (
+    SELECT substr(key, 1, 64 * CAST(j AS INT)) AS key, CAST(sum((n_convs - 1) * size) AS BIGINT) AS saved_tokens,
+           CAST(sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves
+    FROM (SELECT *, unnest(range(depth + 1)) AS j FROM full_node) GROUP BY 1
+)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, f.ends_sha256
+FROM full_node f JOIN sums s USING (key)
+LEFT JOIN full_node p ON f.depth > 0 AND p.key = substr(f.key, 1, 64 * (CAST(f.depth AS INT) - 1))
+"""
