@@ -44,7 +44,8 @@ SHARD = 2000
 BATCH_TURNS, PIECE = 400_000, 50_000
 # Shared nodes (about 100 bytes each) up to which they are broadcast.
 BROADCAST_NODES = 100_000
-TRIES = 32
+# Gaps tried for a node with several children before it goes to the end of the arrays.
+TRIES = 8
 
 
 def sequences(conversations: DataFrame) -> DataFrame:
@@ -154,54 +155,70 @@ def sharded(distinct: DataFrame, limit: int) -> DataFrame:
 
 class DoubleArray:
     """A trie over dense symbols: the child of node s by symbol c is BASE[s] + c,
-    if CHECK there is s.  Node 0 is the root; ``levels`` are the nodes by depth."""
+    if CHECK there is s.  Node 0 is the root; ``levels`` are the nodes by depth.
+    Symbols are numbered anew as they are met from the root down, children of a
+    node one after another, so that siblings lie close together in the arrays."""
 
     def __init__(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
-        self.symbols, self.starts, self.lengths = symbols, starts, lengths
+        self.symbols, self.starts, self.lengths = symbols.copy(), starts, lengths
         self.base, self.check = np.zeros(64, np.int64), np.full(64, -1, np.int64)
         self.check[0] = 0
+        # Slots from ``end`` on were never used; ``free`` are the gaps before it.
+        self.end, self.free = 1, np.empty(0, np.int64)
         self.levels = [np.zeros(1, np.int64)]
+        number, met = np.full(int(symbols.max(initial=-1)) + 1, -1, np.int64), 0
         at, rows = np.zeros(len(starts), np.int64), np.arange(len(starts))
         for depth in range(int(lengths.max(initial=0))):
             rows = rows[lengths[rows] > depth]
             c = symbols[starts[rows] + depth]
+            new = c[np.lexsort((c, at[rows]))]
+            new = new[number[new] < 0]
+            new = new[np.sort(np.unique(new, return_index=True)[1])]
+            number[new] = met + np.arange(len(new))
+            met += len(new)
+            c = self.symbols[starts[rows] + depth] = number[c]
             order = np.lexsort((c, at[rows]))
             s, c_sorted = at[rows][order], c[order]
-            new = np.r_[True, (s[1:] != s[:-1]) | (c_sorted[1:] != c_sorted[:-1])]
-            self._pack(s[new], c_sorted[new])
+            first = np.r_[True, (s[1:] != s[:-1]) | (c_sorted[1:] != c_sorted[:-1])]
+            self._pack(s[first], c_sorted[first])
             at[rows] = self.base[at[rows]] + c
             self.levels.append(np.unique(at[rows]))
 
-    def _grow(self, size: int):
-        if size > len(self.check):
-            size = max(size, 2 * len(self.check))
+    def _reach(self, end: int):
+        """Move ``end`` up, growing the arrays by doubling."""
+        if end > len(self.check):
+            size = max(end, 2 * len(self.check))
             self.base = np.r_[self.base, np.zeros(size - len(self.base), np.int64)]
             self.check = np.r_[self.check, np.full(size - len(self.check), -1, np.int64)]
+        self.end = max(self.end, end)
 
     def _pack(self, node: np.ndarray, symbol: np.ndarray):
         """Place the children (sorted node, symbol) of one level."""
         first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
         count = np.diff(np.r_[first, len(node)])
-        # Nodes with several children: the first fit among some free slots, or the end.
+        # Nodes with several children: the first fit among some gaps, or the end.
+        at, before = 0, self.end
         for f, n in zip(first[count > 1].tolist(), count[count > 1].tolist()):
             c = symbol[f:f + n]
-            free = np.flatnonzero(self.check < 0)[:TRIES]
-            for base in (free - c[0]).tolist():
-                if base + c[-1] < len(self.check) and (self.check[base + c] < 0).all():
+            while at < len(self.free) and self.check[self.free[at]] >= 0:
+                at += 1
+            for base in (self.free[at:at + TRIES] - c[0]).tolist():
+                if base + c[-1] < self.end and (self.check[base + c] < 0).all():
                     break
             else:
-                base = len(self.check) - int(c[0])
-                self._grow(base + int(c[-1]) + 1)
+                base = self.end - int(c[0])
+                self._reach(base + int(c[-1]) + 1)
             self.base[node[f]] = base
             self.check[base + c] = node[f]
+        if (count > 1).any():
+            gaps = np.r_[self.free, np.arange(before, self.end)]
+            self.free = gaps[self.check[gaps] < 0]
         # An only child fits any free slot.
         one = first[count == 1]
-        self._grow(int((self.check >= 0).sum()) + len(one))
-        free = np.flatnonzero(self.check < 0)
-        if len(free) < len(one):
-            self._grow(len(self.check) + len(one))
-            free = np.flatnonzero(self.check < 0)
-        slot = free[:len(one)]
+        fresh = max(0, len(one) - len(self.free))
+        slot = np.r_[self.free[:len(one)], np.arange(self.end, self.end + fresh)]
+        self.free = self.free[len(one):]
+        self._reach(self.end + fresh)
         self.base[node[one]] = slot - symbol[one]
         self.check[slot] = node[one]
 
@@ -273,7 +290,8 @@ def _tries(rows: dict) -> list[list]:
     out = [none[:], none[:], (cut_of[deep] + level[deep] - 1).tolist(), least[deep].tolist(), least[trie.check[deep]].tolist(),
            n[deep].tolist(), children[deep].tolist(), size[deep].tolist(), leaves[deep].tolist(), saved[deep].tolist(),
            ends[deep].tolist(), none[:]]
-    top = trie.base[0] + np.arange(len(head))
+    top = np.empty(len(head), np.int64)
+    top[shard] = trie.base[0] + trie.symbols[at]
     for i, h in enumerate(head.tolist()):
         node, cut_at, before, sha = int(top[i]), int(depth_cut[h]), None, hashlib.sha256()
         for d in range(cut_at + 1):

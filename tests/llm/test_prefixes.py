@@ -84,6 +84,7 @@ def test_double_array_holds_exactly_its_sequences():
     trie = prefixes.DoubleArray(symbols, starts, lengths)
     want = {tuple(symbols[s:s + d]) for s, n in zip(starts, lengths) for d in range(n + 1)}
     assert sum(len(x) for x in trie.levels) == len(want) == int((trie.check >= 0).sum())
+    assert trie.end < 2 * len(want) + 100
     ends = {}
     for depth, rows, node in trie.walk():
         for r, x in zip(rows.tolist(), node.tolist()):
