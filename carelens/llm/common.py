@@ -84,6 +84,18 @@ def per_text(df: DataFrame, make: Callable[[], Callable[[list], dict]], ddl: str
     return src.mapInArrow(run, schema)
 
 
+def in_batches(rows, schema: pa.Schema, size: int = 5000):
+    """Arrow batches of an iterator of tuples."""
+    held = []
+    for r in rows:
+        held.append(r)
+        if len(held) == size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): (node, root), root being
     the smallest node reachable.  Alternating large-star / small-star rounds;

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import cut
+from .common import cut, in_batches
 
 # Fixed values of the contract: conversations that share a donor, and the turns taken from it.
 DONOR_EVERY, TAKE = 5, 9
@@ -88,18 +88,6 @@ def _runs(batches, key, value):
         yield at, held
 
 
-def _in_batches(rows, schema, size=5000):
-    """Arrow batches of an iterator of tuples."""
-    held = []
-    for r in rows:
-        held.append(r)
-        if len(held) == size:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-
-
 def ended(convs: DataFrame) -> DataFrame:
     """(whole, conv_id, n, ends) of the conversations (whole, conv_id) with equal
     sequences: the smallest, their number, and the digest of their joined ids."""
@@ -108,7 +96,7 @@ def ended(convs: DataFrame) -> DataFrame:
     a_piece, a_out = to_arrow_schema(piece), to_arrow_schema(out)
 
     def join(batches):
-        yield from _in_batches(((k, v[0], len(v), ",".join(map(str, v))) for k, v in _runs(batches, "whole", "conv_id")),
+        yield from in_batches(((k, v[0], len(v), ",".join(map(str, v))) for k, v in _runs(batches, "whole", "conv_id")),
                                a_piece, 500)
 
     def digest(batches):
@@ -126,7 +114,7 @@ def ended(convs: DataFrame) -> DataFrame:
                     total += n
             if at is not None:
                 yield at, first, total, sha.hexdigest()
-        yield from _in_batches(rows(), a_out)
+        yield from in_batches(rows(), a_out)
 
     return (convs.select("whole", "conv_id").repartitionByRange("whole", "conv_id").sortWithinPartitions("whole", "conv_id")
             .mapInArrow(join, piece).repartition("whole").sortWithinPartitions("whole", "first").mapInArrow(digest, out))

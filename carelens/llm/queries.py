@@ -6,7 +6,7 @@ parameters.  ``ORACLE`` has DuckDB SQL where SQL can express the result.
 
 from __future__ import annotations
 
-from . import chat, decontaminate, htmltext, language, pieces, prefixes, quadratic, quality, repeats, secrets, simhash, tokens
+from . import chat, decontaminate, htmltext, language, pieces, prefixes, quadratic, quality, repeats, secrets, simhash, tokens, variants
 from .common import table
 
 QUERIES: dict = {}
@@ -61,10 +61,14 @@ def op12_prefix_trie(spark, sf_dir):
     return prefixes.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_spelling_variants(spark, sf_dir):
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES.update({f.__name__: f for f in (
     op1_simhash_dedup, op2_suffix_dedup, op3_secret_scan, op4_chat_format, op5_decontaminate, op6_token_counts, op7_language_id,
     op8_quality_rules, op9_sentencepiece, op10_html_text, op11_quality_classifier,
-    op12_prefix_trie)})
+    op12_prefix_trie, op13_spelling_variants)})
 
 ORACLE["op4_chat_format"] = r"""
 WITH given AS (
@@ -157,3 +161,39 @@ SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children,
 FROM full_node f JOIN sums s USING (key)
 LEFT JOIN full_node p ON f.depth > 0 AND p.key = substr(f.key, 1, 64 * (CAST(f.depth AS INT) - 1))
 """
+
+ORACLE["op13_spelling_variants"] = f"""
+WITH RECURSIVE {CRC_TABLE}, runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[a-zÀ-ÿ]+')) AS run FROM documents
+), coded AS (
+    SELECT run, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs WHERE length(run) >= 5
+), hashed AS (
+    SELECT run, {CRC.format(b="list_transform(range(len(x) // 2), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS INT), 2) AS BIGINT))")} AS h
+    FROM coded, crc_table
+), seen AS (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2)
+                ELSE run END AS word FROM hashed
+), words AS (
+    SELECT word, count(*) AS n FROM seen WHERE length(word) >= 5 GROUP BY word HAVING count(*) >= 3
+), less AS (
+    SELECT word, n, i, substr(word, 1, CAST(i AS INT)) || substr(word, CAST(i AS INT) + 2) AS rest
+    FROM (SELECT *, unnest(range(length(word))) AS i FROM words)
+), near AS (
+    SELECT a.word, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+    UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word
+), best AS (
+    SELECT word, count(*) AS n_near, max(other_n) AS most, arg_max(other, (other_n, -place)) AS form
+    FROM (SELECT near.*, rank() OVER (ORDER BY other) AS place FROM near) GROUP BY word
+), judged AS (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * w.n THEN form END AS form,
+           CASE WHEN most >= 2 * w.n THEN most END AS form_n
+    FROM words w LEFT JOIN best USING (word)
+), chain AS (
+    SELECT word, word AS root FROM judged
+    UNION ALL SELECT c.word, j.form FROM chain c JOIN judged j ON j.word = c.root WHERE j.form IS NOT NULL
+)
+SELECT j.word, j.form, c.root, j.n, j.n_near, j.form_n
+FROM judged j JOIN chain c USING (word) JOIN judged e ON e.word = c.root AND e.form IS NULL
+"""
