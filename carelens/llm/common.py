@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import checkpoint_dir, prepare
+from ..session import checkpoint_dir, prepare, scratch_dir
 
 # Text handed to a per-text function at once (bounds a Python worker's memory).
 CHUNK_BYTES = 4 << 20
@@ -29,6 +29,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it back:
+    lineage is cut, and later uses read only the columns they need."""
+    path = scratch_dir(df.sparkSession, "carelens-llm")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def document_key():
     """What names a document: its doc_id as text or, where that is null, a digest of its text."""
     return F.coalesce(F.col("doc_id").cast("string"),

@@ -3,13 +3,14 @@
 The words of the corpus form a trie that is a table: edges (node, character,
 child), a node being the hash of a prefix.  Beside it lies the trie of the words
 read backwards.  Two words one edit apart of which one has n letters agree in
-their first or in their last n / 2 letters, so a word searches the forward trie
-from the middle of itself on, and the backward trie likewise; near the roots,
-where a node has many children, nothing is ever searched.
+their first or in their last n / 2 letters (rounded up or down), so a word searches
+the forward trie from the middle of itself on, and the backward trie likewise; near
+the roots, where a node has many children, nothing is ever searched.
 
 The frontier holds states (word, position, node, edits).  Unedited states lie on
 a word's own path and enter all at once; joined with the edges of their node they
-become one-edit states by replacing, inserting or deleting a letter.  These are
+become one-edit states by replacing, inserting or deleting a letter, if the next
+letter can follow (an edge knows the letters after it).  These are
 joined with the edge table level by level, a letter each; most meet no edge and
 end.  A state that reaches the end of its word at the end of another word is a
 neighbour.  Where one edit can be placed at several positions (a doubled
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import cut, in_batches
+from .common import cut, in_batches, stored
 
 # Fixed values of the contract.
 RUN = "[a-zÀ-ÿ]+"
@@ -38,7 +39,9 @@ LEAST_LENGTH, LEAST_COUNT, TYPO_EVERY, FORM_RATIO = 5, 3, 97, 2
 LEVELS = 24
 # Node hashes: polynomials over a prime field, one start value for each trie.
 PRIME, BASE, START = (1 << 61) - 1, 0x1F123BB5_9E3779B9, (17, 23)
-PATH = "id bigint, way int, pos int, n int, node bigint, own string, next string, child bigint"
+PATH = "id bigint, way int, pos int, n int, node bigint, own string, next string, after string, child bigint"
+# Stands for the end of a word among the letters that may follow a node.
+END = "."
 
 
 def word_counts(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT) -> DataFrame:
@@ -55,7 +58,8 @@ def word_counts(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count:
 
 def word_paths(words: DataFrame) -> DataFrame:
     """PATH of (id, word): each word's nodes from the middle on, forward (way 0) and
-    backward (way 1), with the edge it takes there and the letter after."""
+    backward (way 1), with the edge it takes there and the two letters after.  Forward
+    from the upper middle, backward from the lower: n letters in all."""
     schema = T.StructType.fromDDL(PATH)
     arrow = to_arrow_schema(schema)
 
@@ -64,13 +68,13 @@ def word_paths(words: DataFrame) -> DataFrame:
             for i, word in zip(b.column("id").to_pylist(), b.column("word").to_pylist()):
                 n = len(word)
                 for way, w in enumerate((word, word[::-1])):
-                    node, middle = START[way], (n - 1) // 2
+                    node, middle = START[way], (n - 1 - way) // 2
                     for pos, c in enumerate(w):
                         child = (node * BASE + ord(c)) % PRIME
                         if pos >= middle:
-                            yield i, way, pos, n, node, c, w[pos + 1:pos + 2] or None, child
+                            yield i, way, pos, n, node, c, w[pos + 1:pos + 2] or END, w[pos + 2:pos + 3] or END, child
                         node = child
-                    yield i, way, n, n, node, None, None, None
+                    yield i, way, n, n, node, END, END, END, None
 
     return words.select("id", "word").mapInArrow(lambda batches: in_batches(rows(batches), arrow, 50_000), schema)
 
@@ -93,26 +97,33 @@ def _jumped(states: DataFrame) -> DataFrame:
 def neighbours(words: DataFrame, levels: int = LEVELS) -> DataFrame:
     """(a, b): ids of all ordered pairs of ``words`` (id, word) that differ by
     exactly one inserted, deleted or replaced code point."""
-    paths = cut(word_paths(words))
-    edges = cut(paths.where("own IS NOT NULL").select("way", "node", F.col("own").alias("ch"), "child").distinct())
+    paths = stored(word_paths(words))
+    arcs = stored(paths.groupBy("way", "node", F.col("own").alias("ch")).agg(F.first("child").alias("child")))
+    # What may follow an edge: the letters out of its child, in one string.
+    out = arcs.groupBy("way", F.col("node").alias("child")).agg(F.array_join(F.collect_set("ch"), "").alias("follow"))
+    edges = stored(arcs.where("child IS NOT NULL").join(out, ["way", "child"]))
     # Unedited states, joined with the edges of their node that are not the word's own.
-    on = paths.where("pos >= n DIV 2").select("id", "way", "pos", "n", "node", "own", "next")
-    met = on.join(edges, ["way", "node"]).where("own IS NULL OR ch <> own")
-    moves = F.array(F.when(F.col("own").isNotNull(), F.col("pos") + 1),   # replaced
-                    F.col("pos"),                                         # inserted
-                    F.when(F.col("next") == F.col("ch"), F.col("pos") + 2))  # deleted, and the next letter matched
+    on = paths.where("pos >= (n + 1 - way) DIV 2")
+    met = on.select("id", "way", "pos", "n", "node", "own", "next", "after").join(
+        edges, ["way", "node"]).where("ch <> own")
+    fits = lambda c: F.contains("follow", F.col(c))
+    moves = F.array(F.when((F.col("own") != END) & fits("next"), F.col("pos") + 1),  # replaced
+                    F.when(fits("own"), F.col("pos")),                               # inserted
+                    F.when((F.col("next") == F.col("ch")) & fits("after"), F.col("pos") + 2))  # deleted, the next matched
     state = ["id", "way", "pos", "n", "node"]
-    edited = met.select("id", "way", F.explode(moves).alias("pos"), "n", F.col("child").alias("node")).where("pos IS NOT NULL")
+    edited = met.select("id", "way", F.explode(F.array_compact(moves)).alias("pos"), "n", F.col("child").alias("node"))
     last = on.where("pos = n - 1").select("id", "way", F.col("n").alias("pos"), "n", "node")  # the last letter deleted
-    edited = cut(edited.union(last).distinct())
+    edited = stored(edited.union(last))
     ended = [edited.where("pos = n").select("id", "way", "node")]
-    frontier = cut(edited.where("pos < n").join(words.select("id", "word"), "id").select(*state, "word"))
+    frontier = edited.where("pos < n").join(words.select("id", "word"), "id").select(*state, "word")
     for _ in range(levels):
         if frontier.isEmpty():
             break
-        at = F.when(F.col("way") == 0, F.col("pos") + 1).otherwise(F.col("n") - F.col("pos"))
-        step = frontier.withColumn("ch", F.substring(F.col("word"), at, F.lit(1))).join(edges, ["way", "node", "ch"])
-        frontier = cut(step.select("id", "way", (F.col("pos") + 1).alias("pos"), "n", F.col("child").alias("node"), "word"))
+        letter = lambda i: F.substring(F.col("word"), F.when(F.col("way") == 0, F.col("pos") + 1 + i)
+                                       .otherwise(F.col("n") - F.col("pos") - i), F.lit(1))
+        step = frontier.withColumns({"ch": letter(0), "_then": F.when(F.col("pos") + 1 < F.col("n"), letter(1)).otherwise(END)}).join(
+            edges, ["way", "node", "ch"]).where(F.contains("follow", "_then"))
+        frontier = stored(step.select("id", "way", (F.col("pos") + 1).alias("pos"), "n", F.col("child").alias("node"), "word"))
         ended.append(frontier.where("pos = n").select("id", "way", "node"))
         frontier = frontier.where("pos < n")
     else:
@@ -120,7 +131,7 @@ def neighbours(words: DataFrame, levels: int = LEVELS) -> DataFrame:
     found = ended[0]
     for more in ended[1:]:
         found = found.union(more)
-    terminal = paths.where("own IS NULL").select("way", "node", F.col("id").alias("b"))
+    terminal = paths.where("pos = n").select("way", "node", F.col("id").alias("b"))
     pairs = found.join(terminal, ["way", "node"]).select(F.col("id").alias("a"), "b").where("a <> b").distinct()
     # Both ways may find a pair, and a hash may have clashed: compare once, as text.
     text = lambda c: words.select(F.col("id").alias(c), F.col("word").alias(f"_{c}"))
