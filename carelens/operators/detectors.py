@@ -4,9 +4,10 @@ J5/J6 are the mart's own rules as rows; J7-J9 are the README's promised
 checks with our definitions (duplicates, gaps over 4 h, spikes over half a
 vital's plausible range).  Order-dependent detectors avoid one window per
 admission: a single hot admission may hold a third of all readings.  They
-run the window per (admission, hour) and stitch neighbouring hours with a
-second, small window over per-hour first/last rows (at most one row per
-hour of stay), which gives exactly the plain lag() result.
+look back within range partitions and carry the last row of each range to
+the next (``ranks.with_previous``), which gives exactly the plain lag() result.
+The report groups the readings once: the copies are J7, the distinct rows
+feed J9, and J8 takes its time points from the mart, which has each once.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import GAP_MINUTES, OOR_LIMITS, SPIKE_RANGE_SHARE, VITAL_RANGES, VITALS
+from ..session import checkpoint_dir
+from .ranks import with_previous
 
 REPORT_COLUMNS = ["hadm_id", "charttime", "failure_type", "item", "value"]
 
@@ -47,9 +50,12 @@ def icd_mismatch(diagnoses: DataFrame) -> DataFrame:
 
 def duplicate_readings(charts: DataFrame) -> DataFrame:
     """The same five columns more than once (partial aggregation first)."""
+    return _copies(charts).where(F.col("copies") > 1)
+
+
+def _copies(charts: DataFrame) -> DataFrame:
     keys = ["hadm_id", "subject_id", "charttime", "vital_name", "valuenum"]
-    return (charts.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
-            .where(F.col("copies") > 1))
+    return charts.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
 
 
 def _minutes_between(a: F.Column, b: F.Column) -> F.Column:
@@ -58,21 +64,12 @@ def _minutes_between(a: F.Column, b: F.Column) -> F.Column:
 
 def time_gaps(charts: DataFrame, minutes: float = GAP_MINUTES) -> DataFrame:
     """Consecutive distinct time points of an admission more than
-    ``minutes`` apart: hadm_id, prev_charttime, charttime, gap_minutes."""
-    t = (charts.where(F.col("charttime").isNotNull()).select("hadm_id", "charttime").distinct()
-         .withColumn("_h", F.date_trunc("HOUR", "charttime")))
-    inner = t.withColumn("prev_charttime", F.lag("charttime").over(
-        Window.partitionBy("hadm_id", "_h").orderBy("charttime")))
-    hours = t.groupBy("hadm_id", "_h").agg(F.min("charttime").alias("charttime"),
-                                           F.max("charttime").alias("_last"))
-    cross = hours.withColumn("prev_charttime", F.lag("_last").over(
-        Window.partitionBy("hadm_id").orderBy("_h")))
-    pairs = inner.select("hadm_id", "prev_charttime", "charttime").unionByName(
-        cross.select("hadm_id", "prev_charttime", "charttime"))
+    ``minutes`` apart: hadm_id, prev_charttime, charttime, gap_minutes.  Takes
+    readings or any rows that have each time point at least once."""
+    t = charts.where(F.col("charttime").isNotNull()).select("hadm_id", "charttime").distinct()
     gap = _minutes_between(F.col("prev_charttime"), F.col("charttime"))
-    return (pairs.where(F.col("prev_charttime").isNotNull())
-            .select("hadm_id", "prev_charttime", "charttime", gap.alias("gap_minutes"))
-            .where(F.col("gap_minutes") > minutes))
+    return with_previous(t, ["hadm_id"], ["charttime"], ["charttime"], gap > minutes).select(
+        "hadm_id", "prev_charttime", "charttime", gap.alias("gap_minutes"))
 
 
 def _spike_limit() -> F.Column:
@@ -93,27 +90,18 @@ def spikes(charts: DataFrame) -> DataFrame:
     Copies of a reading only pair with each other (jump 0), so readings are
     de-duplicated first - a partial aggregate that collapses any number of
     copies in the map tasks - with the same result as the plain lag()."""
-    r = (charts.where(F.col("valuenum").isNotNull() & F.col("vital_name").isin(VITALS)
-                      & F.col("charttime").isNotNull())
-         .select("hadm_id", "vital_name", "charttime", "valuenum").distinct()
-         .withColumn("_h", F.date_trunc("HOUR", "charttime")))
-    w = Window.partitionBy("hadm_id", "vital_name", "_h").orderBy("charttime", "valuenum")
-    inner = r.select("hadm_id", "vital_name", "charttime", "valuenum",
-                     F.lag("charttime").over(w).alias("prev_charttime"),
-                     F.lag("valuenum").over(w).alias("prev_value"))
-    pt = F.struct("charttime", "valuenum")
-    hours = r.groupBy("hadm_id", "vital_name", "_h").agg(F.min(pt).alias("_first"),
-                                                         F.max(pt).alias("_last"))
-    prev = F.lag("_last").over(Window.partitionBy("hadm_id", "vital_name").orderBy("_h"))
-    cross = hours.select("hadm_id", "vital_name", F.col("_first.charttime").alias("charttime"),
-                         F.col("_first.valuenum").alias("valuenum"),
-                         prev.getField("charttime").alias("prev_charttime"),
-                         prev.getField("valuenum").alias("prev_value"))
-    pairs = inner.unionByName(cross).where(F.col("prev_value").isNotNull())
-    jump = F.col("valuenum") - F.col("prev_value")
-    return (pairs.select("hadm_id", "vital_name", "prev_charttime", "charttime", "prev_value",
-                         "valuenum", jump.alias("jump"))
-            .where(F.abs(F.col("jump")) > _spike_limit()))
+    return _spikes(charts.select("hadm_id", "vital_name", "charttime", "valuenum").distinct())
+
+
+def _spikes(readings: DataFrame) -> DataFrame:
+    """Spikes of readings without copies."""
+    r = readings.where(F.col("valuenum").isNotNull() & F.col("vital_name").isin(VITALS)
+                       & F.col("charttime").isNotNull()).select("hadm_id", "vital_name", "charttime", "valuenum")
+    jump = F.col("valuenum") - F.col("prev_valuenum")
+    return with_previous(r, ["hadm_id", "vital_name"], ["charttime", "valuenum"], ["charttime", "valuenum"],
+                         F.abs(jump) > _spike_limit()).select(
+        "hadm_id", "vital_name", "prev_charttime", "charttime", F.col("prev_valuenum").alias("prev_value"),
+        "valuenum", jump.alias("jump"))
 
 
 def anomalous_rows(scores: DataFrame) -> DataFrame:
@@ -125,20 +113,25 @@ def anomalous_rows(scores: DataFrame) -> DataFrame:
 
 def failure_report(vitals: DataFrame, diagnoses: DataFrame, charts: DataFrame,
                    anomalies: DataFrame | None = None) -> DataFrame:
-    """Every failure as (hadm_id, charttime, failure_type, item, value)."""
+    """Every failure as (hadm_id, charttime, failure_type, item, value).
+    ``charts`` are the readings that ``vitals`` was pivoted from; both are read once."""
+    checkpoint_dir(charts.sparkSession)
+    copies = _copies(charts).checkpoint()
+    # A reading repeated under another subject is still one point of its vital.
+    points = copies.select("hadm_id", "vital_name", "charttime", "valuenum").distinct()
     parts = [
         missing_and_out_of_range(vitals),
         icd_mismatch(diagnoses).select("hadm_id", F.lit(None).cast("timestamp").alias("charttime"),
                                        F.lit("invalid_icd").alias("failure_type"),
                                        F.col("icd9_code").alias("item"),
                                        F.lit(None).cast("double").alias("value")),
-        duplicate_readings(charts).select("hadm_id", "charttime", F.lit("duplicate").alias("failure_type"),
+        copies.where(F.col("copies") > 1).select("hadm_id", "charttime", F.lit("duplicate").alias("failure_type"),
                                           F.col("vital_name").alias("item"),
                                           F.col("valuenum").alias("value")),
-        time_gaps(charts).select("hadm_id", "charttime", F.lit("time_gap").alias("failure_type"),
+        time_gaps(vitals).select("hadm_id", "charttime", F.lit("time_gap").alias("failure_type"),
                                  F.lit(None).cast("string").alias("item"),
                                  F.col("gap_minutes").alias("value")),
-        spikes(charts).select("hadm_id", "charttime", F.lit("spike").alias("failure_type"),
+        _spikes(points).select("hadm_id", "charttime", F.lit("spike").alias("failure_type"),
                               F.col("vital_name").alias("item"), F.col("jump").alias("value")),
     ]
     if anomalies is not None:

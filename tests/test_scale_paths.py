@@ -25,7 +25,7 @@ def _readings(spark, n=4000, seed=7, parts=13):
                                        "vital_name string, valuenum double").repartition(parts)
 
 
-def test_hourly_gaps_equal_plain_lag(spark):
+def test_gaps_equal_plain_lag(spark):
     ch = _readings(spark)
     got = detectors.time_gaps(ch, minutes=100).collect()
     t = ch.select("hadm_id", "charttime").distinct()
@@ -37,7 +37,7 @@ def test_hourly_gaps_equal_plain_lag(spark):
     assert sorted(got) == sorted(want.collect()) and len(got) > 0
 
 
-def test_hourly_spikes_equal_plain_lag(spark):
+def test_spikes_equal_plain_lag(spark):
     base = _readings(spark)
     ch = base.unionByName(base.where("hadm_id = 'hot'"))   # copies of the hot admission
     got = detectors.spikes(ch).collect()
@@ -59,3 +59,29 @@ def test_sample_window_is_group_limited(spark):
     plan = s._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert s.groupBy("hadm_id").count().agg(F.max("count")).first()[0] == 15
+
+
+def test_look_back_needs_one_range_exchange_and_splits_a_hot_admission(spark):
+    ch = _readings(spark, n=9000, parts=5)
+    t = ch.select("hadm_id", "charttime").distinct()
+    seen = []
+    from carelens.operators import ranks
+    plain = type(t).checkpoint
+
+    def spy(self, *a, **k):
+        seen.append(self._jdf.queryExecution().executedPlan().toString())
+        return plain(self, *a, **k)
+    type(t).checkpoint = spy
+    try:
+        got = ranks.with_previous(t, ["hadm_id"], ["charttime"], ["charttime"], F.lit(True))
+    finally:
+        type(t).checkpoint = plain
+    assert seen[0].count("rangepartitioning") == 1 and seen[0].count("hashpartitioning") == 1
+    w = Window.partitionBy("hadm_id").orderBy("charttime")
+    want = t.withColumn("prev_charttime", F.lag("charttime").over(w)).where("prev_charttime is not null")
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_look_back_of_empty_and_single_rows(spark):
+    ch = _readings(spark, n=1)
+    assert detectors.time_gaps(ch).count() == 0 and detectors.spikes(ch.limit(0)).count() == 0
