@@ -3,9 +3,11 @@
   load raw -> staging -> marts (materialised) -> column checks + gate ->
   anomaly scoring -> trust scoring -> review table -> reviewer
 
-Marts and score tables are written as tables; each later step reads them
-back, so lineage is cut at every materialised table and a lost executor
-only recomputes from the last table.  Training is separate (``train``), as
+Marts and score tables are written as new versions of their tables, which later
+steps read back, so lineage is cut at every materialised table and a lost
+executor only recomputes from the last table.  Versions are published when they
+are whole - the marts when the gate has passed them as well - so readers never
+see a table that is missing, half written or bad.  Training is separate (``train``), as
 in the reference, where the daily run only scores.
 """
 
@@ -56,19 +58,25 @@ class Models:
     seconds: dict = field(default_factory=dict)
 
 
-def build_marts(spark: SparkSession, raw, buckets: int | None = None) -> dict[str, DataFrame]:
-    """Staging views and the two mart tables, written and read back.  With
-    ``buckets``, the summary (one row per admission) is bucketed by hadm_id like
-    the trust scores, so their joins need no shuffle; choose it by the data
-    (about 128 MB each)."""
+CHECKED = ("stg_patients", "stg_admissions", "stg_chartevents", "stg_diagnoses_icd", "mart_icu_vitals", "mart_patient_summary")
+
+
+def build_marts(spark: SparkSession, raw, buckets: int | None = None, rules=checks.RULES) -> dict[str, DataFrame]:
+    """Staging views and the two mart tables: written as a new version, checked
+    there, and published together only if no column test fails (J4); otherwise
+    CheckFailed is raised and readers keep the tables they have.  With ``buckets``,
+    the summary (one row per admission) is bucketed by hadm_id like the trust scores,
+    so their joins need no shuffle; choose it by the data (about 128 MB each)."""
     stg = staging.stage_all(raw)
-    store.save_table(staging.with_load_time(M.icu_vitals(stg["stg_chartevents"], stg["stg_admissions"])),
-                     "mart_icu_vitals")
-    vitals = spark.table("mart_icu_vitals").drop("_loaded_at")
-    store.save_table(staging.with_load_time(M.patient_summary(vitals, stg["stg_diagnoses_icd"])),
-                     "mart_patient_summary", bucket_by="hadm_id", buckets=buckets)
-    summary = spark.table("mart_patient_summary").drop("_loaded_at")
-    return {**stg, "mart_icu_vitals": vitals, "mart_patient_summary": summary}
+    with store.Release(spark) as release:
+        vitals = release.write(staging.with_load_time(M.icu_vitals(stg["stg_chartevents"], stg["stg_admissions"])),
+                               "mart_icu_vitals").drop("_loaded_at")
+        summary = release.write(staging.with_load_time(M.patient_summary(vitals, stg["stg_diagnoses_icd"])),
+                                "mart_patient_summary", bucket_by="hadm_id", buckets=buckets).drop("_loaded_at")
+        t = {**stg, "mart_icu_vitals": vitals, "mart_patient_summary": summary}
+        results = checks.gate(checks.run_checks({k: t[k] for k in CHECKED}, rules))
+        release.publish()
+    return {**t, "check_results": results}
 
 
 def train(spark: SparkSession, vitals: DataFrame, summary: DataFrame, paths: Paths,
@@ -120,26 +128,22 @@ def run_pipeline(spark: SparkSession, raw, root: str | None = None, models: Mode
     if raw is not None:
         store.load_raw_tables(spark, raw.as_dict())
     t = build_marts(spark, store.read_raw(spark), buckets)
-    results = checks.run_checks({k: t[k] for k in ("stg_patients", "stg_admissions", "stg_chartevents",
-                                                   "stg_diagnoses_icd", "mart_icu_vitals",
-                                                   "mart_patient_summary")})
-    checks.gate(results)
     charts, summary = t["stg_chartevents"], t["mart_patient_summary"]
     if models is None:
         models = train(spark, t["mart_icu_vitals"], summary, paths, trees=trees)
     scores = None
-    if models.anomaly is not None:
-        # Missing vitals take the medians of the rows being scored.
-        store.save_table(anomaly.score_anomalies(t["mart_icu_vitals"], models.anomaly), "ml_anomaly_scores")
-        scores = spark.table("ml_anomaly_scores")
-    feats = trust.trust_features(summary, scores)
-    store.save_table(trust.score_trust(feats, models.trust_fit.model), "ml_trust_scores",
-                     bucket_by="hadm_id", buckets=buckets)
-    tr = spark.table("ml_trust_scores")
+    with store.Release(spark) as release:
+        if models.anomaly is not None:
+            # Missing vitals take the medians of the rows being scored.
+            scores = release.write(anomaly.score_anomalies(t["mart_icu_vitals"], models.anomaly), "ml_anomaly_scores")
+        feats = trust.trust_features(summary, scores)
+        tr = release.write(trust.score_trust(feats, models.trust_fit.model), "ml_trust_scores",
+                           bucket_by="hadm_id", buckets=buckets)
+        release.publish()
     table = review.review_table(summary, tr, charts, top_n)
     reviewed = review_step(spark, table, reviewer)
     report = detectors.failure_report(t["mart_icu_vitals"], t["stg_diagnoses_icd"], charts, scores)
-    return {**t, "check_results": results, "ml_anomaly_scores": scores, "ml_trust_scores": tr,
+    return {**t, "ml_anomaly_scores": scores, "ml_trust_scores": tr,
             "trust_summary": trust.score_summary(tr),
             "review_table": table, "reviewed": reviewed, "failure_counts": detectors.failure_counts(report)}
 
@@ -148,11 +152,10 @@ def review_step(spark: SparkSession, table: DataFrame, reviewer=review.rule_revi
     """The reviewer's answers as the table ``ml_reviews``.  A review that fails is
     a warning and None: the scores of the run stand without it."""
     try:
-        store.save_table(review.apply_reviewer(table, reviewer), "ml_reviews")
+        return store.save_published(review.apply_reviewer(table, reviewer), "ml_reviews")
     except Exception as e:  # noqa: BLE001 - whatever the reviewer needs may be missing
         warnings.warn(f"review failed: {e}", RuntimeWarning)
         return None
-    return spark.table("ml_reviews")
 
 
 def train_only(spark: SparkSession, raw, root: str | None = None, trees: int = GBT_TREES) -> Models:
@@ -171,5 +174,4 @@ def explain_scores(spark: SparkSession, root: str | None = None) -> DataFrame:
     path = Paths(root or default_root(spark)).trust_model
     scores = spark.table("ml_anomaly_scores") if store.table_exists(spark, "ml_anomaly_scores") else None
     feats = trust.trust_features(spark.table("mart_patient_summary"), scores)
-    store.save_table(explain.explain_trust(feats, store.load_trust_model(path), path), "ml_trust_explanations")
-    return spark.table("ml_trust_explanations")
+    return store.save_published(explain.explain_trust(feats, store.load_trust_model(path), path), "ml_trust_explanations")

@@ -1,14 +1,15 @@
 """Sinks and stores: tables (A1, A4-A7), models (A9, A10), run log.
 
-Tables are Parquet tables in the session catalog (saveAsTable), written with
-mode overwrite; a table is never read and overwritten in one plan because
-the score tables are separate from their inputs.  Paths for models and the
-run log are folders a cluster shares (e.g. an object store).
+Tables are Parquet tables in the session catalog, one for each version; readers
+see a version through a view of the plain name, once it has been published
+(``Release``).  Nothing that readers see is overwritten.  Paths for models and
+the run log are folders a cluster shares (e.g. an object store).
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,15 +33,105 @@ def save_table(df: DataFrame, name: str, partition_by=None, bucket_by: str | Non
     w.saveAsTable(name)
 
 
+# --- write, audit, publish -----------------------------------------------------
+
+# The view that says which version of each table is published.
+CATALOGUE = "carelens_published"
+
+
+def published(spark: SparkSession) -> dict[str, tuple[str, str | None]]:
+    """name -> (published version, the one before); one row a table."""
+    if not table_exists(spark, CATALOGUE):
+        return {}
+    return {r["name"]: (r["version"], r["previous"]) for r in spark.table(CATALOGUE).collect()}
+
+
+class Release:
+    """Tables written together and published together.
+
+    ``write`` puts each under its own version, where no reader looks; ``publish``
+    makes all of them current by one catalogue change (the view ``CATALOGUE``),
+    then points the plain names, which are views, at them.  What fails or dies
+    before that change leaves the published tables as they were; what dies after it
+    is finished by ``repair``.  The version before stays for readers that are under
+    way and is dropped by the next publication.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.version = uuid.uuid4().hex[:12]
+        self.names: list[str] = []
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, kind, *_):
+        if kind is not None:
+            self.discard()
+
+    def write(self, df: DataFrame, name: str, **how) -> DataFrame:
+        """Write ``df`` as this release's version of ``name`` and read it back."""
+        self.names.append(name)
+        save_table(df, versioned(name, self.version), **how)
+        return self.spark.table(versioned(name, self.version))
+
+    def publish(self) -> None:
+        old = published(self.spark)
+        now = old | {n: (self.version, old.get(n, (None,))[0]) for n in self.names}
+        rows = ", ".join(f"({_text(n)}, {_text(v)}, CAST({_text(p)} AS STRING))" for n, (v, p) in sorted(now.items()))
+        if rows:
+            self.spark.sql(f"CREATE OR REPLACE VIEW {CATALOGUE} AS SELECT * FROM VALUES {rows} AS t(name, version, previous)")
+        repair(self.spark)
+        for n in self.names:
+            before = old.get(n, (None, None))[1]
+            if before:
+                self.spark.sql(f"DROP TABLE IF EXISTS {versioned(n, before)}")
+
+    def discard(self) -> None:
+        """Drop what this release wrote, unless it was published."""
+        now = published(self.spark)
+        for n in self.names:
+            if now.get(n, (None,))[0] != self.version:
+                self.spark.sql(f"DROP TABLE IF EXISTS {versioned(n, self.version)}")
+
+
+def versioned(name: str, version: str) -> str:
+    return f"{name}__{version}"
+
+
+def _text(s: str | None) -> str:
+    return "NULL" if s is None else "'" + s.replace("'", "''") + "'"
+
+
+def repair(spark: SparkSession) -> None:
+    """Point the plain names at their published versions.  A table that an earlier
+    release of this library wrote under a plain name makes way for the view."""
+    kinds = {t.name: t.tableType for t in spark.catalog.listTables()}
+    for name, (version, _) in published(spark).items():
+        if kinds.get(name, "VIEW") != "VIEW":
+            spark.sql(f"DROP TABLE {name}")
+        spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {versioned(name, version)}")
+
+
+def save_published(df: DataFrame, name: str, **how) -> DataFrame:
+    """Write one table and publish it; a failed write leaves the current one."""
+    with Release(df.sparkSession) as release:
+        release.write(df, name, **how)
+        release.publish()
+    return df.sparkSession.table(name)
+
+
 def table_exists(spark: SparkSession, name: str) -> bool:
     """Decides whether the anomaly rollup joins the trust features."""
     return spark.catalog.tableExists(name)
 
 
 def load_raw_tables(spark: SparkSession, raw: dict[str, DataFrame]) -> None:
-    """A1: (re)create the four raw tables, checked against their schemas."""
-    for name, df in raw.items():
-        save_table(conform(df, RAW_SCHEMAS[name]), name)
+    """A1: (re)create the four raw tables, checked against their schemas, as one release."""
+    with Release(spark) as release:
+        for name, df in raw.items():
+            release.write(conform(df, RAW_SCHEMAS[name]), name)
+        release.publish()
 
 
 def read_raw(spark: SparkSession):
