@@ -15,6 +15,9 @@ from ..session import checkpoint_dir, prepare, scratch_dir
 
 # Text handed to a per-text function at once (bounds a Python worker's memory).
 CHUNK_BYTES = 4 << 20
+# Rows (or spans) of verdicts, about 60 bytes each, up to which they are broadcast to the
+# texts; beyond that a bitmap of so many bits (2 MB for 2^24) tells which texts need the join.
+FEW, FILTER_BITS = 200_000, 1 << 27
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +46,33 @@ def document_key():
                       F.concat(F.lit("text:"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
 
 
+def parted(docs: DataFrame, side: DataFrame, key, on: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` whose ``key`` may be in column ``on`` of ``side``, and the
+    others (none of which is), by a bitmap of hashes of FILTER_BITS bits at most."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bits = cut(side.select(place(F.col(on)).alias("h")).select(
+        F.bitmap_bucket_number("h").alias("_bucket"), F.bitmap_bit_position("h").alias("p"))
+        .groupBy("_bucket").agg(F.bitmap_construct_agg("p").alias("_bits")))
+    h = fresh("_h", docs)
+    at = F.bitmap_bit_position(h)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.coalesce(F.get(F.transform(F.array(byte), lambda b: b.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) > 0), F.lit(0)), F.lit(False))
+    tested = docs.withColumn(h, place(key)).join(F.broadcast(bits), F.bitmap_bucket_number(h) == F.col("_bucket"), "left")
+    return tested.where(bit).select(*docs.columns), tested.where(~bit).select(*docs.columns)
+
+
+def without(docs: DataFrame, bad: DataFrame, key) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` is not in the one column of ``bad``.  Texts
+    stay where they are: few verdicts are broadcast, and of many only the texts that
+    a bitmap cannot clear are shuffled."""
+    bad = cut(bad.distinct())
+    on = bad.columns[0]
+    if bad.count() <= FEW:
+        return docs.join(F.broadcast(bad), key == bad[on], "left_anti")
+    maybe, never = parted(docs, bad, key, on)
+    return maybe.join(bad, key == bad[on], "left_anti").unionByName(never)
+
+
 def fresh(name: str, df: DataFrame) -> str:
     """``name``, with underscores before it until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
@@ -73,6 +103,7 @@ def per_text(df: DataFrame, make: Callable[[], Callable[[list], dict]], ddl: str
     """Add the columns of ``ddl`` to ``keep``: ``make()`` builds, once per task,
     a function from a list of texts (null as None) to {column: list of values}.
     Only ``keep`` and the text are read, so other columns cannot clash."""
+    prepare(df.sparkSession)
     new = fields(ddl)
     src = df.select(*keep, F.col(text).alias("_text"))
     schema = T.StructType(src.schema.fields[:-1] + new)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, document_key
+from .common import cut, document_key, without
 
 WINDOW, SHINGLE = 13, 5
 # What is not a word character, once A-Z counts as a-z.
@@ -147,6 +147,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows that repeat a doc_id are one document, dropped if any of them is; so are
     rows without doc_id that repeat a text."""
     key = document_key()
-    bad = (decontaminate(docs.withColumn("doc_id", key), benchmark).where("contaminated")
-           .select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, key == bad["_bad"], "left_anti")
+    return without(docs, decontaminate(docs.withColumn("doc_id", key), benchmark).where("contaminated")
+                   .select(F.col("doc_id").alias("_bad")), key)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import cut, document_key, per_text
+from .common import cut, document_key, per_text, without
 
 SYMBOLS = "#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -220,5 +220,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
     that repeat a doc_id are one document, rejected if any of them is; so are rows
     without doc_id that repeat a text."""
     key = document_key()
-    bad = judge(docs.withColumn("doc_id", key)).where("NOT kept").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, key == bad["_bad"], "left_anti")
+    return without(docs, judge(docs.withColumn("doc_id", key)).where("NOT kept").select(F.col("doc_id").alias("_bad")), key)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import chunks, cut, fresh, per_text
+from .common import FEW, chunks, cut, fresh, parted, per_text
 
 # The base patterns and their least lengths, by the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -149,11 +149,19 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     and the corpus alone, so rows are matched by doc_id and text: repeated ids
     with different texts, and rows without doc_id, are each masked by their own."""
     key, found = fresh("_key", docs), fresh("_found", docs)
-    named = F.concat_ws(":", F.sha2(F.col("text"), 256), F.col("doc_id").cast("string"))
+    named = F.concat_ws(":", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256), F.col("doc_id").cast("string"))
     hits = (scan_secrets(docs.withColumn("doc_id", named)).where(F.size("found") > 0).groupBy("doc_id")
             .agg(F.first(F.transform("found", lambda s: F.struct(s["first"], s["last"]))).alias(found))
             .withColumnRenamed("doc_id", key))
-    marked = docs.withColumn(key, named).join(hits, key, "left").select(*docs.columns, found)
+    hits = cut(hits)
+    if (hits.agg(F.sum(F.size(found) + 1)).first()[0] or 0) <= FEW:
+        few = F.broadcast(hits)
+        clean, marked = docs.join(few, named == F.col(key), "left_anti"), docs.join(few, named == F.col(key))
+    else:
+        maybe, never = parted(docs, hits, named, key)
+        clean = never.unionByName(maybe.join(hits, named == F.col(key), "left_anti"))
+        marked = maybe.join(hits, named == F.col(key))
+    marked = marked.select(*docs.columns, found)
     out = T.StructType(docs.schema.fields + [T.StructField(found, T.BooleanType())])
     arrow, at, last = to_arrow_schema(out), docs.columns.index("text"), len(docs.columns)
 
@@ -173,4 +181,4 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.when(F.col(found), F.length("text").cast(docs.schema["n_chars"].dataType))
                                    .otherwise(F.col("n_chars")))
-    return masked.select(*docs.columns)
+    return masked.select(*docs.columns).unionByName(clean)

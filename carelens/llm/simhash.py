@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import components, cut, per_text
+from .common import components, cut, fresh, per_text, without
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 # Values sampled for the sharding tree (it steers the split, never the result).
@@ -32,6 +32,8 @@ SAMPLE = 4096
 # Values per shard aimed at, and values compared directly at a leaf.
 SHARD, LEAF = 20_000, 256
 MAX_DEPTH = 20
+# Where the numbers of rows without doc_id begin in the pipeline stage.
+UNNAMED = 1 << 62
 HASH_BLOCK = 1 << 16
 PAIR_BLOCK = 1 << 21
 _BIT = np.arange(64, dtype=np.uint64)
@@ -226,7 +228,16 @@ def _same_id(fps: DataFrame, reps: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its group, all
-    columns as they were.  Rows that repeat a doc_id are one document; rows without one stay."""
-    gone = near_duplicates(docs, shingle, radius).where("doc_id <> component_id").select(
-        F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == gone["_gone"], "left_anti")
+    columns as they were.  Rows that repeat a doc_id are one document.  Rows without
+    one are documents by their text: any one of those with equal text stays, unless
+    it is near a named document or near another such text of smaller digest."""
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    same = fresh("_same", docs)
+    unnamed = docs.where("doc_id IS NULL").withColumn(same, digest).dropDuplicates([same]).select(*docs.columns)
+    docs = docs.where("doc_id IS NOT NULL").unionByName(unnamed)
+    # Beyond the ids in use, so that a named document is always the smaller one.
+    key = F.coalesce(F.col("doc_id").cast("bigint"),
+                     F.lit(UNNAMED) + F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"))
+    gone = near_duplicates(docs.select(key.alias("doc_id"), "text"), shingle, radius).where("doc_id <> component_id").select(
+        F.col("doc_id").alias("_gone"))
+    return without(docs, gone, key)

@@ -99,6 +99,35 @@ def test_stages_match_rows_without_id_and_repeated_ids_by_text(spark):
     assert simhash.keep_one(clean).schema.names == table.schema.names and simhash.keep_one(clean).count() == 3
 
 
+def test_copies_without_id_and_verdicts_too_many_to_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(n))
+    good = [prose(90) for _ in range(30)]
+    secret = "password = Zx9Qw8Er7Ty6Ui5"
+    rows = [(i if i % 3 else None, t, "en", "s", len(t)) for i, t in enumerate(good)]
+    rows += [(None, good[0], "fr", "s", 1), (None, good[0], "en", "t", 2), (None, good[1], "en", "s", 3), (70, f"x {secret}", "en", "s", 4),
+             (71, "short", "en", "s", 5), (None, f"{secret} y", "en", "s", 6), (72, good[4], "en", "s", 7)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    table = spark.createDataFrame(rows, schema).repartition(4)
+    bench = spark.createDataFrame([("b", good[7][:200])], "item_id string, text string")
+
+    def stages():
+        return [sorted(map(tuple, f.select("doc_id", "text").na.fill(-1).collect())) for f in (
+            quality.keep_good(table), simhash.keep_one(table), decontaminate.drop_contaminated(table, bench), secrets.redact(table))]
+
+    want = stages()
+    kept = [t for _, t in want[1]]
+    assert kept.count(good[0]) == 1 and kept.count(good[1]) == 1 and kept.count(good[4]) == 1 and len(kept) == len(good) + 3
+    assert (1, good[1]) in want[1] and (4, good[4]) in want[1]
+    assert good[7] not in [t for _, t in want[2]] and not any(secret in t for _, t in want[3]) and len(want[3]) == len(rows)
+    from carelens.llm import common
+    monkeypatch.setattr(common, "FEW", 0)
+    monkeypatch.setattr(secrets, "FEW", 0)
+    assert stages() == want
+    monkeypatch.setattr(common, "FILTER_BITS", 3)  # nearly every text passes the bitmap
+    assert stages() == want
+
+
 def test_more_languages_than_eight_planes(spark, monkeypatch):
     monkeypatch.setattr(language, "HITS", 2000)
     word = lambda i: "".join(chr(0x4E00 + 3 * i + k) for k in range(3))
