@@ -119,6 +119,8 @@ def per_text(df: DataFrame, make: Callable[[], Callable[[list], dict]], ddl: str
                     [b.column(i).cast(arrow.field(i).type) for i in range(last)]
                     + [pa.array(out[f.name], type=arrow.field(f.name).type) for f in new],
                     schema=arrow)
+            # Workers live as long as the executor: give freed batches back.
+            pa.default_memory_pool().release_unused()
 
     return src.mapInArrow(run, schema)
 

@@ -31,7 +31,7 @@ from .common import per_text
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 # Paths and neighbour weights remembered per worker; forgetting only costs time.
-CACHE_WORDS, CACHE_STEPS = 500_000, 1_000_000
+CACHE_WORDS, CACHE_STEPS = 150_000, 200_000
 LONG_WORD = 256
 # Arcs are piece ids, or UNKNOWN + code point; NEVER is infinite weight.
 UNKNOWN, ARCS, NEVER = 1 << 20, 1 << 22, 1 << 40
@@ -169,10 +169,10 @@ class Transducer:
             total = weight[i] + 1
             if total > NEVER:
                 continue
-            before, state, j = last[i], first, i
-            for c in word[i:]:
+            before, state = last[i], first
+            for j in range(i + 1, n + 1):
+                c = word[j - 1]
                 state = state.get(c)
-                j += 1
                 if state is None:
                     if j > i + 1:
                         break
