@@ -150,8 +150,9 @@ def compiled_model(spark, model_path: str, model) -> dict:
     return _COMPILED[key]
 
 
-def explain_trust(features: DataFrame, model, model_path: str, digits: int | None = 4) -> DataFrame:
-    """I11 + I12: score rows (rounded to one digit before the flag) and
+def explain_trust(features: DataFrame, model, model_path: str, digits: int | None = 4,
+                  calibration=None) -> DataFrame:
+    """I11 + I12: score rows (calibrated if asked, rounded to one digit before the flag) and
     attach SHAP values as map<feature, value> and the base value."""
     from ..session import ship_package
     spark = features.sparkSession
@@ -159,8 +160,10 @@ def explain_trust(features: DataFrame, model, model_path: str, digits: int | Non
     leaves = compiled_model(spark, model_path, model)
     scaled = model.transform(_filled(features))
     from pyspark.ml.functions import vector_to_array
+    p = vector_to_array("probability")[1]
+    p = p if calibration is None else calibration.column(p)
     df = scaled.select("hadm_id", vector_to_array("features").alias("_x"),
-                       F.round((1 - vector_to_array("probability")[1]) * 100, 1).alias("_score"),
+                       F.round((1 - p) * 100, 1).alias("_score"),
                        # MLlib's margin F gives p = 1 / (1 + exp(-2F)): finite where p rounds to 0 or 1.
                        (2 * vector_to_array("rawPrediction")[1]).alias("_margin"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from ..constants import (GBT_DEPTH, GBT_RATE, GBT_SUBSAMPLE, GBT_TREES,
                          LABEL_ICD_SHARE, LABEL_MAX_ANOMALY_FLAGS, SEED,
                          TEST_BUCKETS, TRUST_FEATURES, TRUST_FLAG_BELOW)
 from .anomaly import anomaly_rollup
+from .calibrate import Calibration, calibration_error
 from .ranks import first_share, running_totals
 
 FEATURE_BASE = ["hadm_id", "total_missing_vitals", "total_chart_rows", "hr_oor_count",
@@ -101,6 +102,8 @@ class TrustFit:
     metrics: dict            # roc_auc, precision, recall, f1 on the hold-out
     train_rows: int
     test_rows: int
+    calibration: Calibration = field(default_factory=Calibration)
+    loss_by_round: list = field(default_factory=list)
 
 
 def trust_pipeline(trees: int = GBT_TREES, seed: int = SEED):
@@ -127,11 +130,28 @@ def fit_trust(features: DataFrame, trees: int = GBT_TREES, seed: int = SEED) ->
     # One row per admission, read by the scaler, every boosting round and the
     # metrics: persist for the fit (spills to disk; recomputed if lost).
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    model = trust_pipeline(trees, seed).fit(df.where("NOT is_test"))
-    got = {r.metric: r.value for r in classification_metrics(predicted(df.where("is_test"), model)).collect()}
-    train_rows = df.where("NOT is_test").count()
+    train, test = df.where("NOT is_test"), df.where("is_test")
+    model = trust_pipeline(trees, seed).fit(train)
+    got = {r.metric: r.value for r in classification_metrics(predicted(test, model)).collect()}
+    metrics = {k: got[k] for k in ("roc_auc", "precision", "recall", "f1")}
+    # Half of the hold-out fits the calibration, the other half measures it.
+    half = test.withColumn("_fits", F.pmod(F.xxhash64("hadm_id"), F.lit(2)) == 0)
+    scored = lambda rows: predicted(rows, model).select("label", "score")
+    calibration = Calibration.fit(scored(half.where("_fits")))
+    rest = scored(half.where("NOT _fits"))
+    metrics["calibration_error_raw"] = calibration_error(rest)
+    metrics["calibration_error"] = calibration_error(rest.withColumn("score", calibration.column(F.col("score"))))
+    loss = model.stages[-1].evaluateEachIteration(_staged(train, model))
+    train_rows = train.count()
     df.unpersist()
-    return TrustFit(model, {k: got[k] for k in ("roc_auc", "precision", "recall", "f1")}, train_rows, int(got["n"]))
+    return TrustFit(model, metrics, train_rows, int(got["n"]), calibration, list(loss))
+
+
+def _staged(rows: DataFrame, model) -> DataFrame:
+    """Rows with the features as the trees see them, and the label."""
+    for stage in model.stages[:-1]:
+        rows = stage.transform(rows)
+    return rows.select("features", "label")
 
 
 def predicted(features: DataFrame, model) -> DataFrame:
@@ -147,11 +167,13 @@ def _p_positive(pred: DataFrame) -> F.Column:
     return vector_to_array(pred["probability"])[1]
 
 
-def score_trust(features: DataFrame, model) -> DataFrame:
-    """trust_score = (1 - p) * 100, unrounded; flagged below 60.
+def score_trust(features: DataFrame, model, calibration: Calibration | None = None) -> DataFrame:
+    """trust_score = (1 - p) * 100, unrounded; flagged below 60.  ``calibration``
+    turns the model's p into the share of problems observed at that p.
     Returns the ml_trust_scores columns."""
     pred = model.transform(_filled(features))
-    score = (F.lit(1.0) - _p_positive(pred)) * F.lit(100.0)
+    p = _p_positive(pred) if calibration is None else calibration.column(_p_positive(pred))
+    score = (F.lit(1.0) - p) * F.lit(100.0)
     return pred.select("hadm_id", score.alias("trust_score")) \
         .withColumn("dq_flagged", F.col("trust_score") < TRUST_FLAG_BELOW)
 
@@ -162,13 +184,14 @@ def score_summary(scores: DataFrame) -> DataFrame:
                       F.avg(F.col("dq_flagged").cast("int")).alias("flagged_share"))
 
 
-def score_rows(rows: DataFrame, model) -> DataFrame:
+def score_rows(rows: DataFrame, model, calibration: Calibration | None = None) -> DataFrame:
     """Score given feature rows (absent features are 0); the score is
     rounded to one digit before the flag, as in the single-row API."""
     for c in TRUST_FEATURES:
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(0.0))
     pred = model.transform(_filled(rows))
-    score = F.round((F.lit(1.0) - _p_positive(pred)) * F.lit(100.0), 1)
+    p = _p_positive(pred) if calibration is None else calibration.column(_p_positive(pred))
+    score = F.round((F.lit(1.0) - p) * F.lit(100.0), 1)
     return pred.select("hadm_id", score.alias("trust_score")) \
         .withColumn("dq_flag", F.col("trust_score") < TRUST_FLAG_BELOW)

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..constants import FIXTURE_SALT
 from ..functions import anon_id, round_avg
-from ..operators import (anomaly, checks, dashboard, detectors, explain, marts, review,
-                         staging, trust)
+from ..operators import (anomaly, calibrate, checks, dashboard, detectors, explain, marts, review,
+                         sketches, staging, trust)
 from ..session import prepare, scratch_dir
 from ..sources import store
 from ..sources.fixtures import fixture_run_log, ingested_raw
@@ -235,7 +235,7 @@ class ModelCtx(ScoreCtx):
 
     @property
     def trust_scores(self):
-        return trust.score_trust(self.features, self.models.trust_fit.model)
+        return trust.score_trust(self.features, self.models.trust_fit.model, self.models.trust_fit.calibration)
 
     def _score_tables(self) -> str:
         """ml_anomaly_scores and ml_trust_scores, written once (A5, A6):
@@ -245,7 +245,7 @@ class ModelCtx(ScoreCtx):
             root = self.models.trust_path.rsplit("/models/", 1)[0]
             self.ae_scores.write.mode("overwrite").parquet(root + "/ml_anomaly_scores")
             an = self.spark.read.parquet(root + "/ml_anomaly_scores")
-            trust.score_trust(trust.trust_features(self.summary_t, an), self.models.trust_fit.model) \
+            trust.score_trust(trust.trust_features(self.summary_t, an), self.models.trust_fit.model, self.models.trust_fit.calibration) \
                 .write.mode("overwrite").parquet(root + "/ml_trust_scores")
             _FITTED[k] = root
         return _FITTED[k]
@@ -264,7 +264,8 @@ class ModelCtx(ScoreCtx):
         return trust.stratified_split(self.features_t).where("is_test")
 
     def shap(self, features):
-        return explain.explain_trust(features, self.models.trust_fit.model, self.models.trust_path)
+        return explain.explain_trust(features, self.models.trust_fit.model, self.models.trust_path,
+                                     calibration=self.models.trust_fit.calibration)
 
 
 def _mc(fn):
@@ -314,3 +315,31 @@ QUERIES.update({
     "trust_metrics_fixed": _sc(_fixed_metrics),
     "trust_summary": _sc(lambda c: _rounded(trust.score_summary(c.trust), ["flagged_share"])),
 })
+
+
+# --- mergeable quantiles and calibration ------------------------------------
+
+# Medians and p95 of merged daily sketches are held against the true ranks.
+SKETCH_SHARES, SKETCH_AUDIT = {"median": 0.5, "p95": 0.95}, 0.005
+
+
+def _sketch_quantiles(c):
+    scored = c.mean_model.error_columns(c.train, sketches.VITALS).select("hadm_id", "charttime", "reconstruction_error")
+    rows = c.pivot.unionByName(scored, allowMissingColumns=True)
+    names = [*sketches.VITALS, "reconstruction_error"]
+    daily = sketches.daily_sketches(rows, names)
+    merged = sketches.sketched_quantiles(daily, SKETCH_SHARES)
+    return sketches.within_error(merged, rows, names, SKETCH_SHARES, SKETCH_AUDIT)
+
+
+def _trust_calibrated(c):
+    """The calibration of a score that any engine can compute: lost quality points."""
+    rows = trust.trust_features(c.summary_t, c.scores).select(
+        F.col("has_dq_problem").alias("label"), ((100 - F.col("raw_dq_score")) / 100).alias("score"))
+    return _rounded(calibrate.calibration_table(rows), ["calibrated"], 9)
+
+
+QUERIES.update({
+    "sketch_quantiles": _sc(_sketch_quantiles),
+    "trust_calibrated": _sc(_trust_calibrated),
+})

@@ -464,3 +464,19 @@ ORACLE.update({
              last(value ORDER BY step, ts, value) FILTER (name = 'anomaly_threshold_p95') AS anomaly_threshold_p95
       FROM log GROUP BY run ORDER BY ts DESC, run LIMIT 20""",
 })
+
+# Counts are exact; that the sketched quantiles lie within their error is the Spark side's audit.
+ORACLE["sketch_quantiles"] = sq("SELECT name, n, TRUE AS median_within, TRUE AS p95_within FROM ("
+                                + " UNION ALL ".join(f"SELECT '{v}' AS name, count({v}) AS n FROM pivot_scoring" for v in VITALS)
+                                + " UNION ALL SELECT 'reconstruction_error', count(e) FROM train_err) x")
+# Isotonic regression by its max-min formula: the greatest over earlier starts of the
+# least over later ends of the share in between.
+ORACLE["trust_calibrated"] = sq("""SELECT * FROM (
+  WITH b AS (
+    SELECT least(floor((100 - raw_dq_score) / 100 * 1000), 999)::integer AS bin, count(*) AS n,
+           sum(has_dq_problem)::bigint AS positives FROM features WHERE raw_dq_score IS NOT NULL GROUP BY 1),
+  c AS (SELECT *, row_number() OVER w AS i, sum(n) OVER w AS cn, sum(positives) OVER w AS cp FROM b WINDOW w AS (ORDER BY bin)),
+  spans AS (SELECT x.i AS first, y.i AS last, (y.cp - x.cp + x.positives) / (y.cn - x.cn + x.n) AS share
+            FROM c x JOIN c y ON y.i >= x.i),
+  least_after AS (SELECT first, last AS i, min(share) OVER (PARTITION BY first ORDER BY last DESC) AS share FROM spans)
+  SELECT bin, n, positives, (SELECT round(max(share), 9) FROM least_after l WHERE l.i = c.i) AS calibrated FROM c) t""")

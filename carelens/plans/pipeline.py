@@ -20,8 +20,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..constants import GBT_DEPTH, GBT_RATE, GBT_SUBSAMPLE, GBT_TREES, PCA_COMPONENTS, REVIEW_TOP_N, SEED
-from ..operators import anomaly, checks, detectors, explain, reconstruct, review, staging, trust
+from ..constants import GBT_DEPTH, GBT_RATE, GBT_SUBSAMPLE, GBT_TREES, PCA_COMPONENTS, REVIEW_TOP_N, SEED, VITALS
+from ..operators import anomaly, checks, detectors, explain, reconstruct, review, sketches, staging, trust
 from ..operators import marts as M
 from ..session import checkpoint_dir, prepare
 from ..sources import store
@@ -39,6 +39,10 @@ class Paths:
     def anomaly_model(self):
         return os.path.join(self.root, "models", "anomaly")
 
+    @property
+    def sketches(self):
+        return os.path.join(self.root, "daily_sketches")
+
     @property
     def runs(self):
         return os.path.join(self.root, "run_metrics")
@@ -105,8 +109,8 @@ def train(spark: SparkSession, vitals: DataFrame, summary: DataFrame, paths: Pat
             "subsample": GBT_SUBSAMPLE, "random_state": SEED}) as log:
         fit = trust.fit_trust(feats, trees=trees)
         t3 = time.time()
-        store.save_trust_model(fit.model, paths.trust_model)
-        log.update(fit.metrics)
+        store.save_trust_model(fit.model, paths.trust_model, fit.calibration)
+        log.update(fit.metrics, train_loss=fit.loss_by_round)
         held_out = trust.stratified_split(feats).where("is_test")
         shap = explain.global_importance(explain.explain_trust(held_out, fit.model, paths.trust_model))
         log.update({f"shap_{r.feature}": r.importance for r in shap.collect()})
@@ -137,9 +141,11 @@ def run_pipeline(spark: SparkSession, raw, root: str | None = None, models: Mode
             # Missing vitals take the medians of the rows being scored.
             scores = release.write(anomaly.score_anomalies(t["mart_icu_vitals"], models.anomaly), "ml_anomaly_scores")
         feats = trust.trust_features(summary, scores)
-        tr = release.write(trust.score_trust(feats, models.trust_fit.model), "ml_trust_scores",
+        tr = release.write(trust.score_trust(feats, models.trust_fit.model, models.trust_fit.calibration), "ml_trust_scores",
                            bucket_by="hadm_id", buckets=buckets)
         release.publish()
+    if scores is not None:
+        sketches.store_daily(sketches.daily_sketches(scores, [*VITALS, "reconstruction_error"]), paths.sketches)
     table = review.review_table(summary, tr, charts, top_n)
     reviewed = review_step(spark, table, reviewer)
     report = detectors.failure_report(t["mart_icu_vitals"], t["stg_diagnoses_icd"], charts, scores)
@@ -174,4 +180,5 @@ def explain_scores(spark: SparkSession, root: str | None = None) -> DataFrame:
     path = Paths(root or default_root(spark)).trust_model
     scores = spark.table("ml_anomaly_scores") if store.table_exists(spark, "ml_anomaly_scores") else None
     feats = trust.trust_features(spark.table("mart_patient_summary"), scores)
-    return store.save_published(explain.explain_trust(feats, store.load_trust_model(path), path), "ml_trust_explanations")
+    return store.save_published(explain.explain_trust(feats, store.load_trust_model(path), path,
+                                                      calibration=store.load_calibration(spark, path)), "ml_trust_explanations")

@@ -143,9 +143,13 @@ def read_raw(spark: SparkSession):
 
 # --- models ------------------------------------------------------------------
 
-def save_trust_model(model, path: str) -> None:
-    """A10: the fitted PipelineModel (assembler, scaler, trees)."""
+def save_trust_model(model, path: str, calibration=None) -> None:
+    """A10: the fitted PipelineModel (assembler, scaler, trees) and, beside it, the
+    calibration of its probabilities."""
     model.write().overwrite().save(path)
+    if calibration is not None:
+        SparkSession.getActiveSession().createDataFrame([([float(s) for s in calibration.shares],)], "shares array<double>") \
+            .coalesce(1).write.mode("overwrite").parquet(path.rstrip("/") + "_calibration")
 
 
 def load_trust_model(path: str):
@@ -153,6 +157,18 @@ def load_trust_model(path: str):
     return PipelineModel.load(path)
 
 
+def load_calibration(spark: SparkSession, path: str):
+    """The calibration saved with the trust model at ``path``; the one that changes
+    nothing for a model saved without."""
+    from pyspark.errors import AnalysisException
+
+    from ..operators.calibrate import Calibration
+    try:
+        return Calibration(list(spark.read.schema("shares array<double>").parquet(path.rstrip("/") + "_calibration").first()["shares"]))
+    except AnalysisException:      # the path does not exist
+        return Calibration()
+
+
 def save_anomaly_model(spark: SparkSession, model, path: str) -> None:
     """Weights + threshold as one binary row in Parquet (a sidecar the
     whole cluster can read)."""
@@ -174,9 +190,11 @@ RUN_COLUMNS = ["roc_auc", "train_loss", "anomaly_threshold_p95"]
 
 def log_run(spark: SparkSession, path: str, run: str, metrics: dict, step: int | None = None,
             params: dict | None = None, status: str = "FINISHED") -> None:
-    """Append parameters and metrics of a run (long form) with its status."""
+    """Append parameters and metrics of a run (long form) with its status.  A
+    metric that is a list has a value for each step, from 1."""
     ts = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    rows = [(run, k, float(v), step, ts, status) for k, v in metrics.items() if v is not None]
+    rows = [(run, k, float(x), i, ts, status) for k, v in metrics.items() if v is not None
+            for i, x in (enumerate(v, 1) if isinstance(v, (list, tuple)) else [(step, v)])]
     rows += [(run, f"param.{k}", float(v), None, ts, status) for k, v in (params or {}).items()
              if isinstance(v, (int, float))]
     spark.createDataFrame(rows, RUN_SCHEMA).write.mode("append").parquet(path)
