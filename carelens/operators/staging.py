@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..constants import ACCEPTED_GENDER, VALID_ICD9, VITALS
 from ..functions import hour_diff, nan_to_null
 
+# Codes (about 50 bytes each) up to which a code table is broadcast.
+BROADCAST_CODES = 200_000
+
 
 def with_load_time(df: DataFrame) -> DataFrame:
     """Add the _loaded_at stamp of materialised tables."""
@@ -44,11 +47,28 @@ def stage_chartevents(raw: DataFrame) -> DataFrame:
 
 
 def stage_diagnoses(raw: DataFrame, codes=VALID_ICD9) -> DataFrame:
-    # The valid-code relation is a fixed list: an IN-set expression, no join.
+    """Diagnoses with ``is_valid_icd``: is the code in ``codes``, a fixed list (an
+    IN-set, no join) or a table whose first column holds codes (``known_codes``)?"""
     code = F.upper(F.trim("icd9_code"))
-    return (raw.where(F.col("hadm_id").isNotNull() & F.col("icd9_code").isNotNull())
-            .select("hadm_id", "seq_num", code.alias("icd9_code"),
-                    F.when(code.isin(list(codes)), True).otherwise(False).alias("is_valid_icd")))
+    rows = raw.where(F.col("hadm_id").isNotNull() & F.col("icd9_code").isNotNull()).select(
+        "hadm_id", "seq_num", code.alias("icd9_code"))
+    if not isinstance(codes, DataFrame):
+        return rows.withColumn("is_valid_icd", F.when(F.col("icd9_code").isin(list(codes)), True).otherwise(False))
+    return known_codes(rows, codes)
+
+
+def known_codes(rows: DataFrame, codes: DataFrame) -> DataFrame:
+    """Add ``is_valid_icd``, the existence of a row's code in the code table (trimmed,
+    upper case; repeats and nulls there do no harm).  The table is broadcast if it
+    is counted to be small, else both sides meet by code, where one frequent code is
+    split by the skew join."""
+    own = codes.select(F.upper(F.trim(F.col(codes.columns[0]).cast("string"))).alias("_code")).where(
+        "_code IS NOT NULL").distinct()
+    # Counting stops at the bound, so a huge table is not read whole for it.
+    if own.limit(BROADCAST_CODES + 1).count() <= BROADCAST_CODES:
+        own = F.broadcast(own)
+    return rows.join(own, F.col("icd9_code") == F.col("_code"), "left").select(
+        "hadm_id", "seq_num", "icd9_code", F.col("_code").isNotNull().alias("is_valid_icd"))
 
 
 def stage_all(raw) -> dict[str, DataFrame]:

@@ -63,6 +63,14 @@ def stratified_split(features: DataFrame, label: str = "has_dq_problem", seed: i
         "is_first", "is_test").drop("_key")
 
 
+def bucket_split(features: DataFrame, seed: int = SEED, buckets: int = TEST_BUCKETS) -> DataFrame:
+    """E3 without a shuffle: ``is_test`` for rows whose seeded SHA-256 of hadm_id falls
+    into the first of ``buckets``, a column expression.  The share of each label is
+    right on average only; ``stratified_split`` is the exact one."""
+    key = F.conv(F.substring(F.sha2(F.concat("hadm_id", F.lit(f":{seed}")), 256), 1, 15), 16, 10).cast("bigint")
+    return features.withColumn("is_test", F.coalesce(key % buckets == 0, F.lit(False)))
+
+
 def scaler_bounds(features: DataFrame) -> DataFrame:
     """I8: (feature, lo, hi) that min-max scaling learns from these rows."""
     each = _filled(features).select(*TRUST_FEATURES).unpivot([], TRUST_FEATURES, "feature", "value")

@@ -15,8 +15,8 @@ from ..functions import anon_id, round_avg
 from ..operators import (anomaly, calibrate, checks, dashboard, detectors, explain, marts, review,
                          sketches, staging, trust)
 from ..session import prepare, scratch_dir
-from ..sources import store
-from ..sources.fixtures import fixture_run_log, ingested_raw
+from ..sources import store, tolerant
+from ..sources.fixtures import fixture_run_log, ingested_raw, messy_chartevents
 from .pipeline import Paths, train
 
 _MARTS: dict = {}
@@ -343,3 +343,26 @@ QUERIES.update({
     "sketch_quantiles": _sc(_sketch_quantiles),
     "trust_calibrated": _sc(_trust_calibrated),
 })
+
+
+def _messy(c):
+    return tolerant.split_rows(messy_chartevents(c.raw.chartevents), "raw_chartevents")
+
+
+def _rejects(c):
+    field = lambda k: F.get_json_object("raw", f"$.{k}").alias(k)
+    return _messy(c)[1].select("table_name", "reasons", field("hadm_id"), field("vital_name"))
+
+
+def _primary_codes(c):
+    """Codes that some admission has as its first diagnosis, with repeats."""
+    return c.raw.diagnoses.where("seq_num = 1").select(F.concat(F.lit(" "), F.lower("icd9_code")).alias("code"))
+
+
+QUERIES.update({
+    "raw_rejects": _sc(_rejects),
+    "tolerant_readings": _sc(lambda c: staging.stage_chartevents(_messy(c)[0])),
+    "stg_diagnoses_by_table": _sc(lambda c: staging.stage_diagnoses(c.raw.diagnoses, _primary_codes(c))),
+    "trust_split_bucket": _sc(lambda c: trust.bucket_split(trust.trust_features(c.summary_t, c.scores)).select(
+        "hadm_id", "has_dq_problem", "is_test")),
+})

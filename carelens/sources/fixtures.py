@@ -144,6 +144,16 @@ def ingested_raw(spark: SparkSession, sf_dir: str, salt: str = FIXTURE_SALT) ->
     return Raw(t["raw_patients"], t["raw_admissions"], t["raw_diagnoses_icd"], t["raw_chartevents"])
 
 
+def messy_chartevents(charts: DataFrame) -> DataFrame:
+    """Readings as text, some of them malformed (by digits of hadm_id), as a file of
+    an unchecked source would bring them."""
+    digit = lambda i: F.substring("hadm_id", i, 1)
+    return charts.select(
+        "hadm_id", "subject_id",
+        F.when(digit(2) == "f", F.lit("yesterday")).otherwise(F.col("charttime").cast("string")).alias("charttime"), "vital_name",
+        F.when((digit(1) == "0") & F.col("valuenum").isNotNull(), F.lit("n/a")).otherwise(F.col("valuenum").cast("string")).alias("valuenum"))
+
+
 RUN_EVENTS = 40
 
 
