@@ -6,9 +6,9 @@ forms, scripts, reader comments) leaves empty lines behind.  The lengths of
 ``WINDOW`` successive lines, lists of links not counted, are summed into a sliding
 distribution; text is kept from each point where it surges over ``SURGE`` to the
 point where it dives to nothing, and in the same element as such a stretch (an
-advert may cut a column in two).  Where the page marks its article, only lines
-inside the mark count and any length is a surge (short articles stay whole); there
-the distribution only drops lists of links, which leave a whole window without text.
+advert may cut a column in two); on a page without a surge the largest stretch is
+kept.  Where the page marks its article, lines inside the mark count and any
+length is a surge, so that all of an article stays, its lists of links as well.
 
 Pages are independent: one pass, no shuffle.
 """
@@ -35,6 +35,8 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "br", "caption", "
          "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 MARK = {"article", "main"}
 HOLDERS = {"article", "main", "div", "section", "td", "body", "center"}
+# Inside an article mark, names count for what holds blocks, not for a paragraph or a heading.
+CONTAINERS = {"article", "div", "section", "ul", "ol", "dl", "table", "details", "fieldset", "figure", "header", "address"}
 # Names in class, id or role of what surrounds an article.
 SIDE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo(?:tion)?s?|cookies?|consent|gdpr|"
@@ -54,7 +56,8 @@ def _beside(tag: str, attributes: str, marked: bool) -> bool:
         return False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id", "role") and tag not in ("html", "body") and SIDE_NAMES.search(html.unescape(value)):
+        if name in ("class", "id", "role") and tag not in ("html", "body") and (
+                not marked or tag in CONTAINERS or tag not in BLOCK) and SIDE_NAMES.search(html.unescape(value)):
             return True
         if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
@@ -157,34 +160,35 @@ def main_text(page: str | None) -> str:
     size = np.array([(len(line) if inside else 0) if marked else n for line, n, inside, _ in rows], np.int64)
     if not len(size):
         return ""
-    listed = np.zeros(len(rows), bool)
-    if marked and any(inside and n for _, n, inside, _ in rows):
-        links = np.array([bool(line) and inside and not n for line, n, inside, _ in rows], np.int64)
-        for o, full in enumerate([np.convolve(links, np.ones(WINDOW, np.int64), "valid") == WINDOW] * WINDOW if len(rows) >= WINDOW else []):
-            listed[o:o + len(full)] |= full
-        size[listed] = 0
     padded = np.r_[size, np.zeros(WINDOW - 1, np.int64)]
     total = np.convolve(padded, np.ones(WINDOW, np.int64), "valid")
-    keep, start = np.zeros(len(rows), bool), None
+    runs, start, peak = [], None, 0  # (peak, first line, line after the last)
     for i, n in enumerate([*total, 0]):
         if start is None and n:
             start, peak = i, 0
         if start is not None:
             peak = max(peak, n)
             if not n:  # dive: the run of windows with text is over
-                if peak >= (1 if marked else SURGE):
-                    with_text = np.flatnonzero(size[start:i]) + start
-                    keep[with_text[0]:with_text[-1] + 1] = True
+                with_text = np.flatnonzero(size[start:i]) + start
+                runs.append((int(peak), int(with_text[0]), int(with_text[-1]) + 1))
                 start = None
+    # A page whose text never surges is short: its largest stretch is the article.
+    least = 1 if marked else min(SURGE, max((r[0] for r in runs), default=SURGE))
+    keep = np.zeros(len(rows), bool)
+    for peak, first, end in runs:
+        if peak >= least:
+            keep[first:end] = True
     holding = {rows[i][3] for i in np.flatnonzero(keep)}
-    return "\n".join(line for (line, _, inside, holder), k, in_list in zip(rows, keep, listed)
-                     if line and (k or holder in holding and not in_list) and (inside or not marked))
+    return "\n".join(line for (line, _, inside, holder), k in zip(rows, keep)
+                     if line and (k or holder in holding) and (inside or not marked))
 
 
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
-    A null or empty page has empty text, as has one without a surge; unclosed
+    A null or empty page has empty text; a page whose text is all beside an article
+    too.  White space is what str.split takes for it (the no-break space as well); a
+    reference split by a tag is decoded as one.  Unclosed
     elements and comments end with the page.  Repeated rows and ids (null too)
     give a result row each; an empty table gives none; only page_id, url and
     the html are read, so extra columns of any name are ignored.

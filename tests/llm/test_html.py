@@ -21,11 +21,22 @@ def test_unmarked_pages_keep_the_surge():
     assert main_text(page) == f"Title\n{LONG}\nShort.\n{LONG}\nAfter."
 
 
-def test_marked_article_drops_lists_of_links_and_no_other_line():
-    items = "".join(f"<li><a href=/{i}>Another headline {i}</a></li>" for i in range(4))
-    page = f"<main><ul>{items}</ul><h1>Title</h1><p>Short.</p><p><a href=1>A linked line</a></p><div><p>{LONG}</p></div><ul>{items}</ul><div>Last.</div></main>"
-    assert main_text(page) == f"Title\nShort.\nA linked line\n{LONG}\nLast."
-    assert main_text(f"<article><ul>{items}</ul></article>").count("\n") == 3  # nothing but links: the article
+def test_marked_article_keeps_its_lists_of_links():
+    items = "".join(f"<li><a href=/{i}>Paper {i}</a></li>" for i in range(4))
+    listed = "\n".join(f"Paper {i}" for i in range(4))
+    page = f"<main><h1>Title</h1><p>Short.</p><div><p>{LONG}</p></div><h2>Sources</h2><ul>{items}</ul><ul class='related'>{items}</ul></main>"
+    assert main_text(page) == f"Title\nShort.\n{LONG}\nSources\n{listed}"
+    assert main_text(f"<article><ul>{items}</ul></article>") == listed
+
+
+def test_named_paragraph_stays_and_named_container_goes():
+    page = "<article><p class='related work'>Earlier work.</p><div class='related'><p>More to read</p></div><p>End. <span class=ad>buy</span></p></article>"
+    assert main_text(page) == "Earlier work.\nEnd ."
+
+
+def test_short_unmarked_page_keeps_its_largest_stretch():
+    page = "<body><nav><a href=/>Home</a></nav><div><h1>Note</h1><p>A few words only.</p></div><footer>f</footer></body>"
+    assert main_text(page) == "Note\nA few words only."
 
 
 def test_broken_markup_loses_no_article_text():
