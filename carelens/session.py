@@ -16,6 +16,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rows handed to a Python worker at once: texts may be long, and a batch lies in
+    # the executor and in the worker.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
