@@ -30,8 +30,9 @@ from .common import per_text
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-# Paths and neighbour weights remembered per worker; forgetting only costs time.
-CACHE_WORDS, CACHE_STEPS = 150_000, 200_000
+# Paths and neighbour weights remembered per worker; forgetting only costs time.  Words
+# are kept in two generations, so that frequent ones are never forgotten.
+CACHE_WORDS, CACHE_STEPS = 250_000, 400_000
 LONG_WORD = 256
 # Arcs are piece ids, or UNKNOWN + code point; NEVER is infinite weight.
 UNKNOWN, ARCS, NEVER = 1 << 20, 1 << 22, 1 << 40
@@ -114,6 +115,7 @@ class Transducer:
             self.ends[p] = [*self.ends.get(y, [y] * bool(y)), p]
         self.steps: dict[int, bool] = {}
         self.paths: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, text: str, stop: int = 1) -> list[str]:
         """The symbols left when the best-scored neighbours are joined (leftmost
@@ -211,8 +213,8 @@ class Transducer:
         if len(word) > LONG_WORD:
             return self._long(word)
         if len(self.paths) >= CACHE_WORDS:
-            self.paths.clear()
-        got = self.paths[word] = self._ids(word)
+            self.older, self.paths = self.paths, {}
+        got = self.paths[word] = self.older.get(word) or self._ids(word)
         return got
 
     def encode(self, text: str) -> np.ndarray:

@@ -31,7 +31,7 @@ def test_marked_article_keeps_its_lists_of_links():
 
 def test_named_paragraph_stays_and_named_container_goes():
     page = "<article><p class='related work'>Earlier work.</p><div class='related'><p>More to read</p></div><p>End. <span class=ad>buy</span></p></article>"
-    assert main_text(page) == "Earlier work.\nEnd ."
+    assert main_text(page) == "Earlier work.\nEnd."
 
 
 def test_short_unmarked_page_keeps_its_largest_stretch():

@@ -57,3 +57,23 @@ def test_documents_of_awkward_and_empty_tables(spark, library):
         assert r.decoded_sha256 == hashlib.sha256(text.replace("▁", " ").encode()).hexdigest()
         assert r.n_byte_pieces == sum(3 <= i < 259 for i in r.ids)
     assert pieces.encode_documents(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_a_word_of_a_megabyte_takes_linear_time(library):
+    import time
+    t, rnd, seconds = pieces.transducer(PATH), random.Random(8), {}
+    for n in (125_000, 1_000_000):
+        word = "".join(rnd.choice("theiansrod") for _ in range(n))
+        start = time.process_time()
+        ids = t.encode(word)
+        seconds[n] = time.process_time() - start
+        if n < 200_000:
+            assert ids.tolist() == library.encode(word)
+    assert seconds[1_000_000] < 24 * max(seconds[125_000], .1)
+
+
+def test_forgotten_words_encode_alike(library, monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE_WORDS", 5)
+    t = pieces.Transducer(PATH)
+    for text in texts()[-300:] * 2:
+        assert t.encode(text).tolist() == library.encode(text)
