@@ -112,6 +112,7 @@ class TrustFit:
     test_rows: int
     calibration: Calibration = field(default_factory=Calibration)
     loss_by_round: list = field(default_factory=list)
+    calibration_errors: dict = field(default_factory=dict)
 
 
 def trust_pipeline(trees: int = GBT_TREES, seed: int = SEED):
@@ -147,12 +148,12 @@ def fit_trust(features: DataFrame, trees: int = GBT_TREES, seed: int = SEED) ->
     scored = lambda rows: predicted(rows, model).select("label", "score")
     calibration = Calibration.fit(scored(half.where("_fits")))
     rest = scored(half.where("NOT _fits"))
-    metrics["calibration_error_raw"] = calibration_error(rest)
-    metrics["calibration_error"] = calibration_error(rest.withColumn("score", calibration.column(F.col("score"))))
+    errors = {"calibration_error_raw": calibration_error(rest),
+              "calibration_error": calibration_error(rest.withColumn("score", calibration.column(F.col("score"))))}
     loss = model.stages[-1].evaluateEachIteration(_staged(train, model))
     train_rows = train.count()
     df.unpersist()
-    return TrustFit(model, metrics, train_rows, int(got["n"]), calibration, list(loss))
+    return TrustFit(model, metrics, train_rows, int(got["n"]), calibration, list(loss), errors)
 
 
 def _staged(rows: DataFrame, model) -> DataFrame:

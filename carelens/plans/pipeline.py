@@ -110,7 +110,7 @@ def train(spark: SparkSession, vitals: DataFrame, summary: DataFrame, paths: Pat
         fit = trust.fit_trust(feats, trees=trees)
         t3 = time.time()
         store.save_trust_model(fit.model, paths.trust_model, fit.calibration)
-        log.update(fit.metrics, train_loss=fit.loss_by_round)
+        log.update({**fit.metrics, **fit.calibration_errors, "train_loss": fit.loss_by_round})
         held_out = trust.stratified_split(feats).where("is_test")
         shap = explain.global_importance(explain.explain_trust(held_out, fit.model, paths.trust_model))
         log.update({f"shap_{r.feature}": r.importance for r in shap.collect()})
