@@ -3,6 +3,11 @@
 quality rules -> SimHash near-dedup -> benchmark decontamination -> secret scan
 -> SentencePiece encoding.  Each stage works on all that its predecessor kept;
 all but the last return the columns of ``documents``.
+
+In every stage a null text counts as empty, an empty table gives no rows, and
+columns beside doc_id, text, lang and source pass through untouched whatever their
+names.  Rows that repeat a doc_id are one document for a verdict; a row without
+doc_id is named by its text.  Texts are read whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -47,7 +52,8 @@ STAGES = [
 ]
 
 # The quality verdict (robust estimates), XXH64 and piece encoding have no SQL;
-# tests/llm/test_pipeline.py holds the rows against a brute-force version.
+# tests/llm/test_language_pipeline.py recomputes near-duplicates and piece ids and
+# takes the other verdicts from their operators, which have tests of their own.
 ORACLE_SQL = None
 
 
