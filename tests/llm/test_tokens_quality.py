@@ -1,6 +1,8 @@
+import math
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 from helpers import awkward, docs
@@ -69,6 +71,102 @@ def test_outliers_go_and_clean_documents_stay(spark):
     assert kept.count() == 600 and "_g" in kept.columns
 
 
+def plain_mcd(x, rnd):
+    """Mean and regularised covariance of least determinant, exact shares, many starts."""
+    best = None
+    for start in range(30):
+        part = x if start == 0 else x[rnd.choice(len(x), min(len(x), 8), replace=False)]
+        for _ in range(25):
+            mean, cov = part.mean(0), quality.CONSISTENCY * np.cov(part.T, bias=True) + np.diag(np.square(quality.FLOORS))
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            part = x[np.argsort(d, kind="stable")[:math.ceil(quality.COVERAGE * len(x))]]
+        det = np.linalg.slogdet(cov)[1]
+        if best is None or det < best[0]:
+            best = det, mean, cov
+    return best
+
+
+def plain_vector(stats):
+    n, chars, symbols, lines, repeat = stats
+    return math.log1p(n), math.log(chars / n), math.log1p(10 * symbols / n), math.log1p(lines), repeat / n
+
+
+def mixed_table():
+    """Two large groups, one with a fifth of stuffed documents that lie together, and a small one."""
+    rnd = random.Random(12)
+    rows = []
+    for i in range(520):
+        lang, source = ("en", "a") if i < 250 else ("en", "b") if i < 450 else ("de", "a") if i < 510 else ("de", "c")
+        text = prose(rnd, int(60 * math.exp(rnd.random() * 2)))
+        if source == "b" and i % 5 == 0:
+            text = " ## ".join(prose(rnd, rnd.randint(300, 340)).split())
+        elif i % 41 == 0:
+            text += " &&& %%%" * (len(text) // 9)
+        elif i % 7 == 0:
+            text += "\n" + "\n".join([prose(rnd, 4)] * 2)
+        rows.append((i, text, lang, source))
+    return rows
+
+
+def test_verdicts_equal_a_plain_estimate(spark):
+    rows, rnd = mixed_table(), np.random.default_rng(2)
+    stats = {i: plain_statistics(t) for i, t, *_ in rows}
+    x = {i: np.array(plain_vector(s)) for i, s in stats.items()}
+    base = {i: s[0] < 50 or 100 * s[4] > 50 * s[0] for i, s in stats.items()}
+    fits = {}
+
+    def fit(*group):
+        if group not in fits:
+            own = np.stack([x[r[0]] for r in rows if r[2:2 + len(group)] == group and not base[r[0]]])
+            _, mean, cov = plain_mcd(own, rnd)
+            if group:
+                wide, w = fit(*group[:-1]), len(own) / (len(own) + quality.PRIOR_ROWS)
+                mean, cov = w * mean + (1 - w) * wide[0], w * cov + (1 - w) * wide[1]
+            fits[group] = mean, cov
+        return fits[group]
+
+    got = {r.doc_id: r for r in quality.judge(docs(spark, rows)).collect()}
+    near = 0
+    for i, _, lang, source in rows:
+        mean, cov = fit(lang, source)
+        want = (x[i] - mean) @ np.linalg.inv(cov) @ (x[i] - mean)
+        assert got[i].base_failed == base[i]
+        assert got[i].distance == pytest.approx(want, rel=0.15, abs=0.3)
+        if abs(want / quality.CUTOFF - 1) < 0.15:
+            near += 1
+        else:
+            assert got[i].kept == (not base[i] and want <= quality.CUTOFF)
+    assert near < 10 and 40 < sum(not r.kept for r in got.values()) < 70
+
+
+def test_least_determinant_of_the_starts_is_kept(spark):
+    table = docs(spark, mixed_table())
+    v = quality._vectors(quality.with_statistics(table)).where("NOT base_failed").selectExpr("'[]' _g", "_draw", *quality.FEATURES).cache()
+    params = quality.cut(quality._starts(v))
+    assert params.count() == quality.STARTS
+    for _ in range(quality.SHORT_STEPS):
+        params = quality.cut(quality._concentrate(v, params))
+    x = np.array([tuple(r) for r in v.select(*quality.FEATURES).collect()])
+    best = quality._fit(v).first()
+    assert best.det <= min(r.det for r in params.collect()) + 1e-12
+    assert best.det <= plain_mcd(x, np.random.default_rng(4))[0] + 0.02 and best.rows == len(x)
+
+
+def test_chi_square_quantiles():
+    # Printed tables: 5 degrees 11.070 and 20.515, 7 degrees 14.067.
+    assert quality.quantile(0.05, 5) == pytest.approx(11.070, abs=1e-3)
+    assert quality.quantile(0.001, 5) == pytest.approx(20.515, abs=1e-3)
+    assert quality.quantile(0.05, 7) == pytest.approx(14.067, abs=1e-3)
+
+
+def test_no_size_of_a_group_changes_verdicts_at_once(spark):
+    """A group that grows by one row moves every distance a little."""
+    rnd = random.Random(21)
+    rows = [(i, prose(rnd, rnd.randint(60, 300)), "en", "a" if i < 300 else "b") for i in range(500)]
+    one, two = ({r.doc_id: r.distance for r in quality.judge(docs(spark, t)).collect()} for t in (rows[:-1], rows))
+    assert all(abs(two[i] - d) < 0.1 + 0.1 * d for i, d in one.items())
+
+
 def test_quality_of_awkward_and_empty_tables(spark):
     rows = awkward()
     assert quality.judge(docs(spark, rows)).count() == len(rows)
