@@ -3,8 +3,10 @@
 The base patterns find assigned secrets, access keys and hex strings.  Beside
 them, every long mixed token is a candidate; the hash of each candidate and
 base value is aggregated over the corpus by distinct repository and owner.  A
-value held by several owners is a widely copied example; one that stays with a
-single owner and looks random is a live credential, and is added to the spans.
+value held by several owners, or by many repositories of one owner (a template
+that its author repeats), is a widely copied example; one that stays with a
+single owner in few repositories and looks random is a live credential, and is
+added to the spans.
 
 Scale: texts are read once into (row, spans, hashes), written to the checkpoint
 folder.  Frequencies are map-side combined counts of distinct (value,
@@ -39,8 +41,8 @@ KINDS = ("assign", "access", "hex", "owned")
 # Candidates of the method: tokens at least this long, of mixed characters.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 LEAST_ENTROPY = 3.2
-# A value with this many owners is a copied example.
-EXAMPLE_OWNERS = 2
+# A value with this many owners, or in this many repositories, is a copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 2, 3
 SPAN = "struct<kind:string,first:int,last:int,value:string,live_looking:boolean>"
 
 
@@ -80,9 +82,12 @@ def scan(text: str | None) -> dict:
 
 
 def scan_secrets(docs: DataFrame, repository=("source", "lang"), owner: str = "source",
-                 example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_examples
-    of every row, and ``found``: array of (kind, first, last, example).
+                 example_owners: int = EXAMPLE_OWNERS,
+                 example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_examples,
+    n_live of every row, and ``found``: array of (kind, first, last, example, live,
+    owners, repositories), the last two being the numbers of distinct owners and
+    repositories that hold the span's value; live means random-looking and no example.
 
     ``owner`` is who a text belongs to and ``repository`` the collection within
     (the test documents name only a source: owner = source, repository = source
@@ -116,20 +121,21 @@ def scan_secrets(docs: DataFrame, repository=("source", "lang"), owner: str = "s
     seen = (held.groupBy("value", "_owner").agg(F.count("*").alias("_r"))
             .groupBy("value").agg(F.count("*").alias("owners"), F.sum("_r").alias("repositories")))
     order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
-    judged = each.join(seen, "value").withColumn("example", F.col("owners") >= example_owners)
-    judged = judged.where("kind <> 'owned' OR (live_looking AND NOT example)")
+    judged = (each.join(seen, "value")
+              .withColumn("example", (F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories))
+              .withColumn("live", F.col("live_looking") & ~F.col("example")).where("kind <> 'owned' OR live"))
     # One row's spans are bounded by its text.
     found = judged.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(
-        "first", order[F.col("kind")].alias("_o"), "last", "kind", "example", "owners", "repositories"))).alias("_f"))
+        "first", order[F.col("kind")].alias("_o"), "last", "kind", "example", "live", "owners", "repositories"))).alias("_f"))
     rows = rows.drop("_spans", *key.values()).join(found, "_row", "left")
     f = F.coalesce(F.col("_f"), F.from_json(F.lit("[]"), rows.schema["_f"].dataType))
     number = lambda c: F.size(F.filter("found", c)).cast("bigint")
     return (rows.withColumn("_f", f).withColumn("found", F.transform("_f", lambda s: F.struct(
-        s.kind.alias("kind"), s.first.alias("first"), s["last"].alias("last"), s.example.alias("example"))))
+        *[s[c].alias(c) for c in ("kind", "first", "last", "example", "live", "owners", "repositories")])))
         .select(F.col("_doc").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256",
                 F.array_join(F.transform("found", lambda s: F.concat_ws(":", s.kind, s["first"], s["last"])), ",").alias("spans"),
                 number(lambda s: s.kind == "owned").alias("n_owned"),
-                number(lambda s: s.example).alias("n_examples"), "found"))
+                number(lambda s: s.example).alias("n_examples"), number(lambda s: s.live).alias("n_live"), "found"))
 
 
 def _masked(text: str, spans, mask: str) -> str:
@@ -142,15 +148,20 @@ def _masked(text: str, spans, mask: str) -> str:
     return "".join(out) + text[at:]
 
 
-def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, mask: str = "[SECRET]", examples: bool = True) -> DataFrame:
     """``docs`` with every found span replaced by ``mask`` (overlapping spans by
-    one) and n_chars, where there is one, set to the new length.  No row is
+    one) and n_chars, where there is one, set to the new length.  Base spans whose
+    value is a copied example are masked too, since a password copied by many can
+    still be a working one; ``examples=False`` leaves those in place.  No row is
     dropped; rows without spans are unchanged.  A row's spans follow from its text
     and the corpus alone, so rows are matched by doc_id and text: repeated ids
     with different texts, and rows without doc_id, are each masked by their own."""
     key, found = fresh("_key", docs), fresh("_found", docs)
     named = F.concat_ws(":", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256), F.col("doc_id").cast("string"))
-    hits = (scan_secrets(docs.withColumn("doc_id", named)).where(F.size("found") > 0).groupBy("doc_id")
+    hits = scan_secrets(docs.withColumn("doc_id", named))
+    if not examples:
+        hits = hits.withColumn("found", F.filter("found", lambda s: ~s.example))
+    hits = (hits.where(F.size("found") > 0).groupBy("doc_id")
             .agg(F.first(F.transform("found", lambda s: F.struct(s["first"], s["last"]))).alias(found))
             .withColumnRenamed("doc_id", key))
     hits = cut(hits)

@@ -49,6 +49,57 @@ def test_ownership_separates_live_from_copied(found):
     assert got[1020].n_examples == 1 and got[1020].spans
 
 
+def test_repositories_alone_decide(spark):
+    """One owner: in two repositories a value is live, in three it is an example."""
+    once, wide = "Qm4-tR8wZx1_kB7vN3pL9sD6yF2", "Hn5cV2bX8-jK3mQ7_wE4rT9yU1o"
+    rows = [(1, f"a {once}", "en", "a"), (2, f"a {once}", "de", "a"),
+            *[(10 + i, f"a {wide} password=hunter2hunter2", lang, "a") for i, lang in enumerate(("en", "de", "fr"))]]
+    got = {r.doc_id: r for r in secrets.scan_secrets(docs(spark, rows)).collect()}
+    assert all(got[i].n_owned == got[i].n_live == 1 for i in (1, 2))
+    assert [(s.kind, s.example, s.live, s.owners, s.repositories) for s in got[1].found] == [("owned", False, True, 1, 2)]
+    assert all([(s.kind, s.example, s.live, s.owners, s.repositories) for s in got[i].found]
+               == [("assign", True, False, 1, 3)] for i in (10, 11, 12))
+    more = {r.doc_id: r for r in secrets.scan_secrets(docs(spark, rows), example_repositories=4).collect()}
+    assert all(more[i].n_owned == 1 and more[i].n_examples == 0 for i in (10, 11, 12))
+
+
+def test_ownership_equals_brute_force(spark):
+    """Spans, counts and verdicts of random holdings, against plain sets."""
+    rnd = random.Random(6)
+    values = ["".join(rnd.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJK23456789-_") for _ in range(24)) for _ in range(12)]
+    rows = []
+    for i in range(150):
+        held = rnd.sample(values, rnd.randint(0, 2))
+        if held and rnd.random() < 0.3:
+            held[0] = "token=" + held[0]
+        k = min((values.index(v.removeprefix("token=")) for v in held), default=0)
+        rows.append((i, " | ".join(held), rnd.choice(["en", None, "de", "fr"][:1 + k % 4]), rnd.choice(["a", None, "b"][:1 + k % 3])))
+    holders = {}
+    for _, text, lang, source in rows:
+        for part in text.split(" | "):
+            holders.setdefault(part.removeprefix("token="), set()).add((source, lang))
+    for r in secrets.scan_secrets(docs(spark, rows)).collect():
+        _, text, lang, source = rows[r.doc_id]
+        want, at = [], 0
+        for part in text.split(" | ") if text else []:
+            v = part.removeprefix("token=")
+            owners, repos = len({s for s, _ in holders[v]}), len(holders[v])
+            example = owners >= 2 or repos >= 3
+            live = secrets.live_looking(v) and not example
+            if part != v or live:
+                want.append(("assign" if part != v else "owned", at, at + len(part), example, live, owners, repos))
+            at += len(part) + 3
+        assert [tuple(s) for s in r.found] == want
+        assert (r.n_examples, r.n_live) == (sum(w[3] for w in want), sum(w[4] for w in want))
+
+
+def test_examples_may_stay(spark):
+    rows = [(1, "password=hunter2hunter2 x", "en", "a"), (2, "password=hunter2hunter2 y", "en", "b"), (3, f"z {LIVE}", "en", "a")]
+    out = {r.doc_id: r.text for r in secrets.redact(docs(spark, rows), examples=False).collect()}
+    assert out == {1: rows[0][1], 2: rows[1][1], 3: "z [SECRET]"}
+    assert secrets.redact(docs(spark, rows)).where("text LIKE '%hunter2%'").count() == 0
+
+
 def test_redaction_and_awkward_tables(spark, found):
     rows = awkward() + [(50, f"x {LIVE} password=abcdefabcdef0123456789 y")]
     d = docs(spark, rows)
