@@ -4,10 +4,16 @@ Path-dependent TreeSHAP (Lundberg et al., 2018) in closed form per leaf: a
 leaf reached through features P (|P| <= depth) contributes, for i in P,
   v * sum_{S in P\\{i}} |S|!(|P|-|S|-1)!/|P|! * prod_{j in S} o_j * prod_{j in P\\S\\{i}} z_j * (o_i - z_i)
 where o_j is 1 when the row satisfies every split on j along the path and
-z_j the product of the cover ratios of those splits.  That is vectorised in
-numpy over a batch of rows inside ``mapInPandas``; the tree table
-(trees x 2^(depth+1) nodes, a fixed bound) is read from the saved model and
-shipped with the task.  Values are in log-odds, where MLlib's margin F gives
+z_j the product of the cover ratios of those splits.
+
+That depends on a row only through the bins its features fall into, between
+the distinct thresholds of the model.  So the leaves of all trees that share a
+set of features are added up, when the model is compiled, into grids over the
+bins of these features (at most ``CELLS`` cells; more leaves start another
+grid).  A row then costs one search for the bin of each feature and, for each
+grid, one look-up a feature: column expressions over literal arrays, all in
+the JVM.  The tree table (trees x 2^(depth+1) nodes, a fixed bound) is read
+from the saved model.  Values are in log-odds, where MLlib's margin F gives
 p = 1 / (1 + exp(-2F)).
 """
 
@@ -17,13 +23,15 @@ import itertools
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import TRUST_FEATURES, TRUST_FLAG_BELOW
 from .trust import _filled
 
+# Cells of one grid (a leaf alone needs 2^depth at most).
+CELLS = 4096
+
 
 def tree_table(spark, model_path: str, model):
     """(tree weights, nodes) of the GBT stage of a PipelineModel saved at
@@ -71,8 +79,7 @@ def _weights(d: int) -> list:
 def leaf_tables(leaves: list) -> list:
     """For each leaf, the contribution to each of its d features for every
     pattern of the d path conditions (bit k set = row satisfies the splits on
-    feature k): a (2^d, d) table.  Built once on the driver, so a row costs
-    d comparisons and one gather per leaf."""
+    feature k): a (2^d, d) table."""
     out = []
     for v, feats, edges, z in leaves:
         d = len(feats)
@@ -98,44 +105,91 @@ def leaf_tables(leaves: list) -> list:
 
 
 def compile_model(tables: list) -> dict:
-    """Index every distinct (feature, threshold) split once; each leaf then
-    refers to split columns.  MLlib bins features (maxBins), so there are few
-    distinct splits however many trees there are."""
-    splits: dict = {}
-    leaves = []
-    base = 0.0
-    for v, feats, edges, table, expected in tables:
-        base += expected
-        if table is None:
-            continue
-        conds = []
+    """``thresholds``: the distinct ones of each feature, ascending; ``grids``: of each
+    grid its features, an array per feature that gives each bin its share of the cell
+    number, and the values of each feature by cell; ``base``: the expected value."""
+    base = sum(expected for *_, expected in tables)
+    seen: dict = {}
+    for _, feats, edges, _, _ in tables:
         for f in feats:
-            conds.append([(splits.setdefault((f, thr), len(splits)), left) for thr, left in edges[f]])
-        # per feature a contiguous row of 2^d values, for fast gathers
-        leaves.append((feats, conds, np.ascontiguousarray(table.T)))
-    feat = np.array([f for f, _ in splits], dtype=np.int64)
-    thr = np.array([t for _, t in splits], dtype=float)
-    return {"feat": feat, "thr": thr, "leaves": leaves, "base": base}
-
-
-def shap_batch(model: dict, x: np.ndarray) -> tuple[np.ndarray, float]:
-    """SHAP values (n x features, log-odds) and the expected value."""
-    n, m = x.shape
-    le = (x[:, model["feat"]] <= model["thr"]).T.copy()   # one row per split: x <= thr
-    gt = ~le
-    phi_t = np.zeros((m, n))
-    pat = np.empty(n, dtype=np.uint8)
-    for feats, conds, table_t in model["leaves"]:
-        pat[:] = 0
-        for k, cs in enumerate(conds):
-            ok = None
-            for idx, left in cs:
-                c = le[idx] if left else gt[idx]
-                ok = c if ok is None else ok & c
-            pat += ok.view(np.uint8) << k
-        for k, f in enumerate(feats):
-            phi_t[f] += table_t[k].take(pat)
-    return 2.0 * phi_t.T, 2.0 * model["base"]
+            seen.setdefault(f, set()).update(t for t, _ in edges[f])
+    thresholds = {f: sorted(ts) for f, ts in sorted(seen.items())}
+    by_set: dict = {}
+    for _, feats, edges, table, _ in tables:
+        if table is not None:
+            # Bin b of a feature holds the values above b of its thresholds: x <= thresholds[k] where b <= k.
+            at = [[(thresholds[f].index(t), left) for t, left in edges[f]] for f in feats]
+            by_set.setdefault(tuple(feats), []).append((at, table))
+    grids = []
+    for feats, leaves in by_set.items():
+        held, cuts = [], [set() for _ in feats]
+        for at, table in sorted(leaves, key=lambda leaf: leaf[0]):
+            wider = [c | {k for k, _ in a} for c, a in zip(cuts, at)]
+            if held and math.prod(len(c) + 1 for c in wider) > CELLS:
+                grids.append(_grid(feats, held, cuts, thresholds))
+                held, wider = [], [{k for k, _ in a} for a in at]
+            held.append((at, table))
+            cuts = wider
+        grids.append(_grid(feats, held, cuts, thresholds))
+    return {"thresholds": thresholds, "grids": grids, "base": base}
+
+
+def _grid(feats: tuple, leaves: list, cuts: list, thresholds: dict) -> tuple:
+    """(features, place of each bin by feature, values of each cell by feature) of the
+    sum of ``leaves``, whose splits lie at the thresholds numbered ``cuts``."""
+    cuts = [sorted(c) for c in cuts]
+    shape = [len(c) + 1 for c in cuts]
+    values = np.zeros((len(feats), *shape))
+    for at, table in leaves:
+        pattern = np.zeros(shape, np.int64)
+        for k, (a, c) in enumerate(zip(at, cuts)):
+            cell = np.arange(len(c) + 1)
+            ok = np.ones(len(c) + 1, bool)
+            for bin_, left in a:
+                below = cell <= c.index(bin_)
+                ok &= below if left else ~below
+            pattern += (ok.astype(np.int64) << k).reshape([-1 if i == k else 1 for i in range(len(cuts))])
+        values += np.moveaxis(table[pattern], -1, 0)
+    strides = [math.prod(shape[k + 1:]) for k in range(len(shape))]
+    places = [np.searchsorted(c, np.arange(len(thresholds[f]) + 1)) * s for f, c, s in zip(feats, cuts, strides)]
+    return feats, places, values.reshape(len(feats), -1)
+
+
+def _literal(numbers, kind: str) -> Column:
+    """A literal array; the text is folded into one when the plan is optimised."""
+    return F.split(F.lit(",".join(map(repr, numbers.tolist()))), ",").cast(f"array<{kind}>")
+
+
+def _bin(x: Column, thresholds: list, low: int, high: int) -> Column:
+    """The number of thresholds below ``x`` (all for NaN), which is known to lie in low..high."""
+    if low == high:
+        return F.lit(low)
+    mid = (low + high) // 2
+    return F.when(x <= thresholds[mid], _bin(x, thresholds, low, mid)).otherwise(_bin(x, thresholds, mid + 1, high))
+
+
+def _sum(terms: list) -> Column:
+    """Their sum, as a tree of little depth."""
+    if not terms:
+        return F.lit(0.0)
+    half = len(terms) // 2
+    return terms[0] if len(terms) == 1 else _sum(terms[:half]) + _sum(terms[half:])
+
+
+def with_shap(rows: DataFrame, model: dict, features: str, n: int) -> DataFrame:
+    """Add ``_phi_0`` .. ``_phi_<n - 1>``, the SHAP values (log-odds) of the ``n`` values of
+    the array column ``features``; neither null nor an array of another length is expected."""
+    keep = rows.columns
+    bins = rows.select(*keep, *[_bin(F.get(features, F.lit(f)), t, 0, len(t)).alias(f"_bin_{f}")
+                                for f, t in model["thresholds"].items()])
+    cells = bins.select(*keep, *[
+        _sum([F.get(_literal(p, "int"), F.col(f"_bin_{f}")) for f, p in zip(feats, places)]).alias(f"_cell_{i}")
+        for i, (feats, places, _) in enumerate(model["grids"])])
+    terms: dict = {}
+    for i, (feats, _, values) in enumerate(model["grids"]):
+        for f, v in zip(feats, values):
+            terms.setdefault(f, []).append(F.get(_literal(2.0 * v, "double"), F.col(f"_cell_{i}")))
+    return cells.select(*keep, *[_sum(terms.get(f, [])).alias(f"_phi_{f}") for f in range(n)])
 
 
 _COMPILED: dict = {}
@@ -154,35 +208,19 @@ def explain_trust(features: DataFrame, model, model_path: str, digits: int | Non
                   calibration=None) -> DataFrame:
     """I11 + I12: score rows (calibrated if asked, rounded to one digit before the flag) and
     attach SHAP values as map<feature, value> and the base value."""
-    from ..session import ship_package
-    spark = features.sparkSession
-    ship_package(spark)
-    leaves = compiled_model(spark, model_path, model)
-    scaled = model.transform(_filled(features))
     from pyspark.ml.functions import vector_to_array
+    compiled = compiled_model(features.sparkSession, model_path, model)
     p = vector_to_array("probability")[1]
     p = p if calibration is None else calibration.column(p)
-    df = scaled.select("hadm_id", vector_to_array("features").alias("_x"),
-                       F.round((1 - p) * 100, 1).alias("_score"),
-                       # MLlib's margin F gives p = 1 / (1 + exp(-2F)): finite where p rounds to 0 or 1.
-                       (2 * vector_to_array("rawPrediction")[1]).alias("_margin"))
-
-    def run(batches):
-        for pdf in batches:
-            x = np.array(pdf["_x"].tolist(), dtype=float).reshape(len(pdf), len(TRUST_FEATURES))
-            phi, base = shap_batch(leaves, x)
-            yield pd.DataFrame({
-                "hadm_id": pdf["hadm_id"],
-                "trust_score": pdf["_score"],
-                "dq_flag": pdf["_score"] < TRUST_FLAG_BELOW,
-                "base_value": base,
-                "margin": pdf["_margin"],
-                "shap_values": [dict(zip(TRUST_FEATURES, (np.round(r, digits) if digits is not None
-                                                           else r).tolist())) for r in phi],
-            })
-
-    return df.mapInPandas(run, "hadm_id string, trust_score double, dq_flag boolean, "
-                               "base_value double, margin double, shap_values map<string,double>")
+    scored = model.transform(_filled(features)).select(
+        "hadm_id", vector_to_array("features").alias("_x"), F.round((1 - p) * 100, 1).alias("trust_score"),
+        # MLlib's margin F gives p = 1 / (1 + exp(-2F)): finite where p rounds to 0 or 1.
+        (2 * vector_to_array("rawPrediction")[1]).alias("margin"))
+    value = lambda f: F.col(f"_phi_{f}") if digits is None else F.round(f"_phi_{f}", digits)
+    return with_shap(scored, compiled, "_x", len(TRUST_FEATURES)).select(
+        "hadm_id", "trust_score", (F.col("trust_score") < TRUST_FLAG_BELOW).alias("dq_flag"),
+        F.lit(2.0 * compiled["base"]).alias("base_value"), "margin",
+        F.create_map(*[c for f, name in enumerate(TRUST_FEATURES) for c in (F.lit(name), value(f))]).alias("shap_values"))
 
 
 def global_importance(shap: DataFrame) -> DataFrame:

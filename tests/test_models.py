@@ -1,3 +1,4 @@
+import itertools
 import math
 import os
 import tempfile
@@ -75,6 +76,68 @@ def test_shap_sums_to_margin_minus_base(fitted):
         assert abs(sum(r.shap_values.values()) + r.base_value - r.margin) < 1e-6
 
 
+def _shapley(tree, w, x):
+    """Shapley values of one tree by definition: every subset of its features, the
+    others integrated out along the covers."""
+    used = sorted({n["featureIndex"] for n in tree.values() if n["leftChild"] >= 0})
+
+    def expected(nid, known):
+        n = tree[nid]
+        if n["leftChild"] < 0:
+            return w * n["prediction"]
+        a, b = tree[n["leftChild"]], tree[n["rightChild"]]
+        if n["featureIndex"] in known:
+            return expected((a if x[n["featureIndex"]] <= n["threshold"] else b)["id"], known)
+        return sum(c["rawCount"] * expected(c["id"], known) for c in (a, b)) / n["rawCount"]
+
+    value = {s: expected(0, s) for r in range(len(used) + 1) for s in itertools.combinations(used, r)}
+    out = np.zeros(len(x))
+    for f in used:
+        for s, v in value.items():
+            if f not in s:
+                share = math.factorial(len(s)) * math.factorial(len(used) - len(s) - 1) / math.factorial(len(used))
+                out[f] += share * (value[tuple(sorted((*s, f)))] - v)
+    return out
+
+
+@pytest.mark.parametrize("cells", [4096, 16])
+def test_shap_equals_shapley_values_by_definition(fitted, monkeypatch, cells):
+    feats, fit, path = fitted
+    spark = feats.sparkSession
+    monkeypatch.setattr(explain, "CELLS", cells)
+    monkeypatch.setattr(explain, "_COMPILED", {})
+    shap = explain.explain_trust(feats, fit.model, path, digits=None)
+    plan = shap._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "InArrow" not in plan
+    weights, nodes = explain.tree_table(spark, path, fit.model)
+    trees = {}
+    for n in nodes:
+        trees.setdefault(n["treeID"], {})[n["id"]] = n
+    x = {r.hadm_id: r.features.toArray() for r in fit.model.transform(trust._filled(feats)).select("hadm_id", "features").collect()}
+    got = {r.hadm_id: r for r in shap.collect()}
+    assert set(got) == set(x) and len(fit.model.stages[-1].trees) == len(trees)
+    for i in sorted(got)[::max(1, len(got) // 25)]:
+        want = 2 * sum(_shapley(tree, weights[t], x[i]) for t, tree in trees.items())
+        assert np.allclose([got[i].shap_values[f] for f in trust.TRUST_FEATURES], want, atol=1e-9)
+
+
+def test_shap_of_values_on_thresholds_nan_and_a_tree_of_one_leaf(spark):
+    node = lambda i, p, n, kids=(-1, -1), f=-1, t=None, tree=0: {
+        "treeID": tree, "id": i, "prediction": p, "rawCount": n, "leftChild": kids[0], "rightChild": kids[1], "featureIndex": f, "threshold": t}
+    nodes = [node(0, 0., 10, (1, 4), 0, .5), node(1, 0., 6, (2, 3), 1, .25), node(2, 1., 2), node(3, -2., 4), node(4, 3., 4),
+             node(0, 7., 10, tree=1)]
+    weights = {0: 1.0, 1: 0.1}
+    model = explain.compile_model(explain.leaf_tables(explain.compile_leaves(weights, nodes)))
+    xs = [[.5, .25, 0.], [.5, .250001, 1.], [.51, 0., 0.], [float("nan"), .1, 0.], [0., float("nan"), 0.], [-1., -1., 9.]]
+    rows = spark.createDataFrame(list(enumerate(xs)), "i int, x array<double>")
+    tree = {n["id"]: n for n in nodes if n["treeID"] == 0}
+    for r in explain.with_shap(rows, model, "x", 3).collect():
+        assert np.allclose([r._phi_0, r._phi_1, r._phi_2], 2 * _shapley(tree, 1.0, xs[r.i]))
+    assert abs(model["base"] - ((2 * 1 + 4 * -2 + 4 * 3) / 10 + .7)) < 1e-12
+    alone = explain.compile_model(explain.leaf_tables(explain.compile_leaves({1: 0.1}, nodes[-1:])))
+    assert {tuple(r) for r in explain.with_shap(rows.select("x"), alone, "x", 2).select("_phi_0", "_phi_1").collect()} == {(0.0, 0.0)}
+
+
 def test_shap_follows_a_refit_at_the_same_path(fitted, tmp_path):
     feats, _, _ = fitted
     path = str(tmp_path / "trust")
