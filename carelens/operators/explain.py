@@ -155,9 +155,9 @@ def _grid(feats: tuple, leaves: list, cuts: list, thresholds: dict) -> tuple:
     return feats, places, values.reshape(len(feats), -1)
 
 
-def _literal(numbers, kind: str) -> Column:
-    """A literal array; the text is folded into one when the plan is optimised."""
-    return F.split(F.lit(",".join(map(repr, numbers.tolist()))), ",").cast(f"array<{kind}>")
+def _literal(numbers, kind: str) -> str:
+    """SQL of a literal array; the text is folded into one when the plan is optimised."""
+    return f"cast(split('{','.join(map(repr, numbers.tolist()))}', ',') AS array<{kind}>)"
 
 
 def _bin(x: Column, thresholds: list, low: int, high: int) -> Column:
@@ -168,28 +168,21 @@ def _bin(x: Column, thresholds: list, low: int, high: int) -> Column:
     return F.when(x <= thresholds[mid], _bin(x, thresholds, low, mid)).otherwise(_bin(x, thresholds, mid + 1, high))
 
 
-def _sum(terms: list) -> Column:
-    """Their sum, as a tree of little depth."""
-    if not terms:
-        return F.lit(0.0)
-    half = len(terms) // 2
-    return terms[0] if len(terms) == 1 else _sum(terms[:half]) + _sum(terms[half:])
-
-
 def with_shap(rows: DataFrame, model: dict, features: str, n: int) -> DataFrame:
     """Add ``_phi_0`` .. ``_phi_<n - 1>``, the SHAP values (log-odds) of the ``n`` values of
     the array column ``features``; neither null nor an array of another length is expected."""
     keep = rows.columns
     bins = rows.select(*keep, *[_bin(F.get(features, F.lit(f)), t, 0, len(t)).alias(f"_bin_{f}")
                                 for f, t in model["thresholds"].items()])
+    # One SQL text a column: thousands of Column calls would take seconds.
     cells = bins.select(*keep, *[
-        _sum([F.get(_literal(p, "int"), F.col(f"_bin_{f}")) for f, p in zip(feats, places)]).alias(f"_cell_{i}")
+        F.expr(" + ".join(f"get({_literal(p, 'int')}, _bin_{f})" for f, p in zip(feats, places))).alias(f"_cell_{i}")
         for i, (feats, places, _) in enumerate(model["grids"])])
     terms: dict = {}
     for i, (feats, _, values) in enumerate(model["grids"]):
         for f, v in zip(feats, values):
-            terms.setdefault(f, []).append(F.get(_literal(2.0 * v, "double"), F.col(f"_cell_{i}")))
-    return cells.select(*keep, *[_sum(terms.get(f, [])).alias(f"_phi_{f}") for f in range(n)])
+            terms.setdefault(f, []).append(f"get({_literal(2.0 * v, 'double')}, _cell_{i})")
+    return cells.select(*keep, *[F.expr(" + ".join(terms.get(f, ["0D"]))).alias(f"_phi_{f}") for f in range(n)])
 
 
 _COMPILED: dict = {}
