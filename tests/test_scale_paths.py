@@ -85,3 +85,38 @@ def test_look_back_needs_one_range_exchange_and_splits_a_hot_admission(spark):
 def test_look_back_of_empty_and_single_rows(spark):
     ch = _readings(spark, n=1)
     assert detectors.time_gaps(ch).count() == 0 and detectors.spikes(ch.limit(0)).count() == 0
+
+
+def _plans(df):
+    """The plan before and after it has run."""
+    before = df._jdf.queryExecution().executedPlan().toString()
+    df.collect()
+    return before + df._jdf.queryExecution().executedPlan().toString()
+
+
+def _unless_broadcast(spark, make):
+    """``make()`` planned with the planner's own broadcasts off: what is small must say so."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        return make()
+    finally:
+        spark.conf.set(key, was)
+
+
+def test_split_and_quantiles_send_no_value_to_one_task(spark):
+    from carelens.operators import ranks
+    df = spark.range(3000).select(F.col("id").cast("string").alias("hadm_id"), (F.col("id") % 7 == 0).cast("int").alias("label"),
+                                  (F.col("id") % 50).cast("double").alias("x"), F.sha2(F.col("id").cast("string"), 256).alias("_key"))
+    split = _unless_broadcast(spark, lambda: ranks.first_share(df, "label", "_key", 5))
+    plan = _unless_broadcast(spark, lambda: _plans(split))
+    # Only the start of each range, one row for each, is joined by merging.
+    assert all("_range" in x for x in plan.splitlines() if "SortMergeJoin [label" in x)
+    keys = {g: sorted(r["_key"] for r in df.where(f"label = {g}").collect()) for g in (0, 1)}
+    want = {k for g in keys.values() for k in g[:-(-len(g) // 5)]}
+    assert {r["_key"] for r in split.where("is_first").collect()} == want
+    counts = ranks.value_counts(df, ["x"])
+    plan = _unless_broadcast(spark, lambda: _plans(ranks.quantiles(counts, 0.5)))
+    assert all("_range" in x for x in plan.splitlines() if "SortMergeJoin [name" in x)
+    assert ranks.quantiles(counts, 0.5).first()["quantile"] == 24.5
