@@ -3,10 +3,12 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from carelens.operators import anomaly, detectors
+from settings import SF_SMALL
 
 
 def _readings(spark, n=4000, seed=7, parts=13):
@@ -120,3 +122,44 @@ def test_split_and_quantiles_send_no_value_to_one_task(spark):
     plan = _unless_broadcast(spark, lambda: _plans(ranks.quantiles(counts, 0.5)))
     assert all("_range" in x for x in plan.splitlines() if "SortMergeJoin [name" in x)
     assert ranks.quantiles(counts, 0.5).first()["quantile"] == 24.5
+
+
+class _Stop(Exception):
+    pass
+
+
+def test_boosting_reads_no_more_partitions_than_the_rows_fill(spark, monkeypatch):
+    from carelens.operators import trust
+    seen = []
+
+    class Pipeline:
+        def fit(self, rows):
+            seen.append(rows.rdd.getNumPartitions())
+            raise _Stop
+    monkeypatch.setattr(trust, "trust_pipeline", lambda *a: Pipeline())
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        feats = spark.range(600).select(F.concat(F.lit("h"), "id").alias("hadm_id"), *[
+            F.rand(i).alias(c) for i, c in enumerate(trust.TRUST_FEATURES)], (F.col("id") % 3 == 0).cast("int").alias("has_dq_problem"))
+        label = feats.groupBy("hadm_id").agg(F.max("has_dq_problem").alias("has_dq_problem"))
+        with pytest.raises(_Stop):
+            trust.fit_trust(feats.drop("has_dq_problem").hint("merge").join(label, "hadm_id"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert 1 <= seen[0] < 16
+
+
+def test_a_query_builds_only_the_tables_it_uses(spark, monkeypatch):
+    from carelens.plans import catalog
+    from carelens.sources import fixtures
+    for module, name in ((catalog, "_MARTS"), (catalog, "_FITTED"), (fixtures, "_INGESTED")):
+        monkeypatch.setattr(module, name, {})
+    assert catalog.QUERIES["anomalous_rows"](spark, SF_SMALL).count() > 0
+    # The pivot is stored: the fits and the scoring do not group the readings again.
+    assert {k[0] for k in catalog._MARTS} == {"mart_icu_vitals", "scoring_pivot"}
+    assert {k[-1] for k in fixtures._INGESTED} == {"raw_chartevents", "raw_admissions"}
+    c = catalog.ScoreCtx(spark, SF_SMALL)
+    assert "Exchange" not in c.scores._jdf.queryExecution().executedPlan().toString()
+    a, b = (sorted(map(str, catalog.rounded_summary(x).collect())) for x in (c.summary_t, c.summary))
+    assert a == b and a
